@@ -209,9 +209,9 @@ def _(t):
 
 
 @query("collapse_duplicates", "C7", """
-    SELECT sample_id, chrom, start, "end", round(avg(beta), 6) AS beta FROM beta_points GROUP BY ALL""")
+    SELECT sample_id, chrom, start, "end", round(avg(beta), 9) AS beta FROM beta_points GROUP BY ALL""")
 def _(t):
-    return rounded(C.collapse_duplicates(t.beta_points, ["sample_id"]), 6, "beta")
+    return rounded(C.collapse_duplicates(t.beta_points, ["sample_id"]), 9, "beta")
 
 
 @query("disjoint_check", "C8", """
