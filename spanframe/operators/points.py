@@ -53,21 +53,21 @@ def region_context(regions: DataFrame, points: DataFrame, keys: Sequence[str] =
     return out
 
 
-def missing_between_tools(regions: DataFrame, focus: Sequence[str], keys: Sequence[str] = ("sample_id",),
-                          tool: str = "tool") -> DataFrame:
-    """For tool pairs with exactly one tool in ``focus``: pieces of ``tool`` that
+def missing_between_tools(regions: DataFrame, focus: Sequence[str], others: Sequence[str],
+                          keys: Sequence[str] = ("sample_id",), tool: str = "tool") -> DataFrame:
+    """For tool pairs of one ``focus`` and one other tool: pieces of ``tool`` that
     ``other_tool`` lacks, both directions."""
     merged = merge_intervals(regions, [*keys, tool])
-    others = regions.select(F.col(tool).alias("other_tool")).distinct()
-    in_focus, other_in_focus = F.col(tool).isin(list(focus)), F.col("other_tool").isin(list(focus))
-    asked = merged.join(F.broadcast(others), in_focus != other_in_focus)  # one row per tool name
+    names = [F.array(*[F.lit(n) for n in group]) for group in (others, focus)]
+    opposite = F.when(F.col(tool).isin(list(focus)), names[0]).when(F.col(tool).isin(list(others)), names[1])
+    asked = merged.withColumn("other_tool", F.explode(opposite))
     blockers = merged.withColumnRenamed(tool, "other_tool")
     return subtract(asked, blockers, [*keys, "other_tool"])
 
 
-def missing_context(regions: DataFrame, points: DataFrame, focus: Sequence[str], keys: Sequence[str] = ("sample_id",),
-                    tool: str = "tool") -> DataFrame:
-    pieces = missing_between_tools(regions, focus, keys, tool)
+def missing_context(regions: DataFrame, points: DataFrame, focus: Sequence[str], others: Sequence[str],
+                    keys: Sequence[str] = ("sample_id",), tool: str = "tool") -> DataFrame:
+    pieces = missing_between_tools(regions, focus, others, keys, tool)
     return region_context(pieces, points, keys, (tool, "other_tool"))
 
 
@@ -105,8 +105,8 @@ def region_point_summary(regions: DataFrame, points: DataFrame, keys: Sequence[s
 
 
 def region_features(beta: DataFrame, regions: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """Long sample x region matrix of mean values; (sample, region) without any
-    present value has a null row.
+    """Long sample x region matrix of mean values; a region on a measured
+    chromosome without any present value has a null row.
 
     Regions apply to every sample, so they are joined on position alone; Spark
     broadcasts the region side when it is below its size limit.
@@ -115,7 +115,7 @@ def region_features(beta: DataFrame, regions: DataFrame, sample: str = "sample_i
     pairs = range_join(beta.where(F.col("beta").isNotNull()).select(sample, "chrom", "start", "end", "beta"), distinct,
                        prefix="r_")
     means = pairs.groupBy(sample, F.col("r_region_index").alias("region_index")).agg(F.avg("beta").alias("value"))
-    grid = beta.select(sample).distinct().crossJoin(distinct.select("region_index"))  # the matrix itself
+    grid = beta.select(sample, "chrom").distinct().join(distinct.select("chrom", "region_index"), "chrom").drop("chrom")
     return grid.join(means, [sample, "region_index"], "left")
 
 

@@ -32,15 +32,16 @@ def tile_of(pos: str, shift: int = TILE_SHIFT) -> Column:
 
 def prefix_scan(df: DataFrame, part: Sequence[str], *, pos: str = "pos",
                 sums: Sequence[str] = (), maxes: Sequence[str] = (), later_mins: Sequence[str] = (),
-                next_pos: str | None = None, shift: int = TILE_SHIFT) -> DataFrame:
+                next_pos: str | None = None, shift: int = TILE_SHIFT, tile: Column | None = None) -> DataFrame:
     """Running values along ``pos``; ``df`` has one row per (part, pos).
 
     Adds ``<c>_before`` (sum, 0 when none, or max, null when none) over smaller
     positions, ``<c>_after`` (min over larger positions) and, in ``next_pos``,
-    the next larger position.
+    the next larger position. ``tile`` replaces the default tile number for
+    axes that are not base positions; it must not decrease along ``pos``.
     """
     part = list(part)
-    tiled = df.withColumn("_tile", tile_of(pos, shift)).repartition(*part, "_tile")
+    tiled = df.withColumn("_tile", tile_of(pos, shift) if tile is None else tile).repartition(*part, "_tile")
 
     across = Window.partitionBy(*part).orderBy("_tile")
     within = Window.partitionBy(*part, "_tile").orderBy(pos)
@@ -91,3 +92,16 @@ def ranked(df: DataFrame, part: Sequence[str], order: Sequence[str], *, block: s
     numbered = df.withColumn("_rn", F.row_number().over(within))
     return (numbered.join(offsets, [*part, block])
             .select(*df.columns, (F.col("_offset") + F.col("_rn")).cast("bigint").alias(name)))
+
+
+def bracket(queries: DataFrame, targets: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Distinct (part, pos) of ``queries`` with the nearest target position at or
+    below (``prev_pos``) and at or above (``next_pos``); null when there is none."""
+    part = list(part)
+    none = F.lit(None).cast("bigint")
+    marks = (queries.select(*part, "pos", none.alias("t"), F.lit(1).alias("q"))
+             .unionByName(targets.select(*part, "pos", F.col("pos").alias("t"), F.lit(0).alias("q")))
+             .groupBy(*part, "pos").agg(F.max("t").alias("t"), F.max("q").alias("q")))
+    return (prefix_scan(marks, part, maxes=["t"], later_mins=["t"]).where("q = 1")
+            .select(*part, "pos", F.coalesce("t", "t_before").alias("prev_pos"),
+                    F.coalesce("t", "t_after").alias("next_pos")))

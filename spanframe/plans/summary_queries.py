@@ -75,14 +75,14 @@ CTE["tool_missing"] = f"""
     SELECT sample_id, tool, other_tool, count(*) AS n_pieces, CAST(sum("end" - start) AS BIGINT) AS bp
     FROM tool_missing GROUP BY ALL""")
 def _(t):
-    pieces = P.missing_between_tools(t.regions, ["1", "2"])
+    pieces = P.missing_between_tools(t.regions, ["1", "2"], ["3", "4", "5"])
     return pieces.groupBy(*ST, "other_tool").agg(F.count("*").alias("n_pieces"),
                                                  F.sum(F.col("end") - F.col("start")).alias("bp"))
 
 
 @query("missing_context", "A4", context_sql("tool_missing", "sample_id, tool, other_tool"))
 def _(t):
-    return rounded_context(P.missing_context(t.regions, t.beta_points, ["1", "2"]))
+    return rounded_context(P.missing_context(t.regions, t.beta_points, ["1", "2"], ["3", "4", "5"]))
 
 
 @query("region_mean", "A5", f"""

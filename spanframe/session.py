@@ -14,6 +14,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the per-call stack capture costs more than planning for long expression lists
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
