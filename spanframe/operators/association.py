@@ -12,6 +12,7 @@ from spanframe.operators.points import region_mean
 from spanframe.operators.ranges import (boundaries, end_windows, mark_overlaps, merge_intervals, overlap_totals,
                                         overlaps_any, range_join)
 from spanframe.operators.scan import bracket
+from spanframe.session import materialize
 
 NEAR_BP = 150_000
 # Metric name -> (analysis mode, threshold in bp).
@@ -77,8 +78,8 @@ def boundary_metrics(regions: DataFrame, features: DataFrame, thresholds: Sequen
     """Median nearest-boundary distance each way, and precision, recall, F1 of
     boundaries within each threshold, per key."""
     keys = list(keys)
-    region_edges = boundaries(regions, keys)
-    feature_edges = boundaries(features)
+    region_edges = materialize(boundaries(regions, keys), "edges")
+    feature_edges = materialize(boundaries(features), "edges")
     # boundaries on a chromosome a key has no regions on are out of reach: they
     # count in the recall denominator only, so an equi-join on chrom is enough
     asked = region_edges.select(*keys, "chrom").distinct().join(feature_edges, "chrom")
@@ -121,12 +122,12 @@ def feature_association(regions: DataFrame, features: DataFrame, window_bp: int,
     if window_bp <= 0:
         raise ValueError("window_bp must be positive")
     keys = list(keys)
-    merged, feats = merge_intervals(regions, keys), merge_intervals(features)
+    merged, feats = materialize(merge_intervals(regions, keys), "merged"), materialize(merge_intervals(features), "features")
     windows = end_windows(merged, window_bp).select(
         *keys, "chrom", F.col("start").alias("_s"), F.col("win_start").alias("start"), F.col("win_end").alias("end"))
     matched = overlaps_any(windows, feats).select(*keys, "chrom", "_s").distinct().groupBy(*keys).agg(
         F.count("*").alias("regions_with_feature_at_either_end"))
-    touched = _touched(feats, merged, keys)
+    touched = materialize(_touched(feats, merged, keys), "touched")
     n_touched = touched.groupBy(*keys).agg(F.count("*").alias("features_touched"))
     sharing = overlaps_any(merged, touched.where("n_regions >= 2"), keys).groupBy(*keys).agg(
         F.count("*").alias("regions_sharing_feature"))
@@ -146,14 +147,18 @@ def region_detail(regions: DataFrame, features: DataFrame, keys: Sequence[str] =
     whether it shares a feature with another region of its key. ``features``
     carry a ``feature_id`` and are disjoint."""
     keys = list(keys)
-    base = overlap_totals(regions, features.select("chrom", "start", "end"), (), count="n_features", bp="total_overlap_bp")
-    pairs = range_join(regions.select(*keys, "chrom", "start", "end"), features.select("chrom", "start", "end"), prefix="f_")
+    coords = [*keys, "chrom", "start", "end"]
+    plain, spots = features.select("chrom", "start", "end"), regions.select(*coords).distinct()
+    totals = overlap_totals(spots, plain, (), count="n_features", bp="total_overlap_bp")
+    pairs = range_join(regions.select(*coords), plain, prefix="f_")
     shared = (pairs.groupBy(*keys, "chrom", F.col("f_start").alias("start"), F.col("f_end").alias("end"))
               .agg(F.count("*").alias("_n")).where("_n > 1"))
-    flagged = mark_overlaps(base, shared, keys, name="shares_feature")
-    near = nearest_feature(flagged, features, keys)
+    # each part reads the regions on its own: chaining them would repeat the earlier ones
+    flags = mark_overlaps(spots, shared, keys, name="shares_feature")
+    near = nearest_feature(spots, features, keys)
     length = F.col("end") - F.col("start")
-    return (near.withColumn("region_length", length)
+    return (regions.join(totals, coords).join(flags, coords).join(near, coords)
+            .withColumn("region_length", length)
             .withColumn("overlap_fraction", F.coalesce(safe_divide("total_overlap_bp", length), F.lit(0.0)))
             .withColumn("overlaps_feature", F.col("n_features") > 0))
 

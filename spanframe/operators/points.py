@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanframe.functions import HIGH_CUTOFF, LOW_CUTOFF, safe_divide
 from spanframe.operators.cleaning import validate_layout
 from spanframe.operators.ranges import merge_intervals, overlap_totals, range_join, subtract
+from spanframe.session import materialize
 
 
 def _coords(keys: Sequence[str]) -> list[str]:
@@ -57,7 +58,7 @@ def missing_between_tools(regions: DataFrame, focus: Sequence[str], others: Sequ
                           keys: Sequence[str] = ("sample_id",), tool: str = "tool") -> DataFrame:
     """For tool pairs of one ``focus`` and one other tool: pieces of ``tool`` that
     ``other_tool`` lacks, both directions."""
-    merged = merge_intervals(regions, [*keys, tool])
+    merged = materialize(merge_intervals(regions, [*keys, tool]), "merged")
     names = [F.array(*[F.lit(n) for n in group]) for group in (others, focus)]
     opposite = F.when(F.col(tool).isin(list(focus)), names[0]).when(F.col(tool).isin(list(others)), names[1])
     asked = merged.withColumn("other_tool", F.explode(opposite))
@@ -67,7 +68,7 @@ def missing_between_tools(regions: DataFrame, focus: Sequence[str], others: Sequ
 
 def missing_context(regions: DataFrame, points: DataFrame, focus: Sequence[str], others: Sequence[str],
                     keys: Sequence[str] = ("sample_id",), tool: str = "tool") -> DataFrame:
-    pieces = missing_between_tools(regions, focus, others, keys, tool)
+    pieces = materialize(missing_between_tools(regions, focus, others, keys, tool), "pieces")
     return region_context(pieces, points, keys, (tool, "other_tool"))
 
 
@@ -192,24 +193,25 @@ def overlap_categories(query: DataFrame, target: DataFrame, query_points: DataFr
     if isinstance(threshold, bool) or threshold <= 0 or (isinstance(threshold, float) and threshold > 1):
         raise ValueError(f"threshold: {threshold!r}")
     coords = _coords(keys)
-    merged = merge_intervals(target, keys)
-    covered = overlap_totals(query.select(*coords).distinct(), merged, keys, count="_pieces", bp="covered_bp")
-    counted = overlap_totals(covered, target, keys, count="n_overlaps", bp="_bp").drop("_pieces", "_bp")
+    merged = materialize(merge_intervals(target, keys), "merged")
+    spots = materialize(query.select(*coords).distinct(), "spots")
+    covered = overlap_totals(spots, merged, keys, count="_pieces", bp="covered_bp").drop("_pieces")
+    counted = overlap_totals(spots, target, keys, count="n_overlaps", bp="_bp").drop("_bp")
     # the largest single overlap needs pairs; equal targets give the same overlap
-    largest = (range_join(query.select(*coords).distinct(), target.select(*coords).distinct(), keys)
+    largest = (range_join(spots, target.select(*coords).distinct(), keys)
                .groupBy(*coords).agg(F.max("overlap_bp").alias("max_overlap_bp")))
     length = F.col("end") - F.col("start")
     fraction = F.col("covered_bp") / F.greatest(length, F.lit(1))
     enough = F.col("covered_bp") >= threshold if isinstance(threshold, int) else fraction >= threshold
     yes, no = ("shared", "unique") if side == "query" else ("captured", "missed")
-    out = (query.join(counted, coords).join(largest, coords, "left").na.fill(0, ["max_overlap_bp"])
+    out = (query.join(covered, coords).join(counted, coords).join(largest, coords, "left").na.fill(0, ["max_overlap_bp"])
            .withColumn("region_length_bp", length)
            .withColumn("covered_fraction", fraction)
            .withColumn("category", F.when(enough, yes).otherwise(no))
            .withColumn("n_qualifying_overlaps", F.when(enough, F.col("n_overlaps")).otherwise(0)))
-    own = region_point_summary(query.select(*coords).distinct(), query_points, keys, ()) \
+    own = region_point_summary(spots, query_points, keys, ()) \
         .withColumnRenamed("point_count", "n_query_points").withColumnRenamed("mean_beta", "avg_beta")
-    other = region_point_summary(query.select(*coords).distinct(), target_points, keys, ()) \
+    other = region_point_summary(spots, target_points, keys, ()) \
         .select(*coords, F.col("point_count").alias("n_target_points"))
     reduction = 1.0 - F.try_divide(F.col("n_query_points").cast("double"), F.col("n_target_points").cast("double"))
     return (out.join(own, coords).join(other, coords)
@@ -228,13 +230,13 @@ def signal_enrichment(regions: DataFrame, signal: DataFrame, peaks: DataFrame, s
                       keys: Sequence[str] = ("tool",)) -> DataFrame:
     """Mean signal inside merged regions over the genome-wide mean, and the share
     of peak bp inside regions over the regions' share of the genome."""
-    merged = merge_intervals(regions, keys)
+    merged = materialize(merge_intervals(regions, keys), "merged")
     inside = (range_join(signal, merged.select("chrom", *keys, "start", "end"), prefix="r_")
               .groupBy(*[F.col(f"r_{k}").alias(k) for k in keys])
               .agg(safe_divide(F.sum(F.col("value") * F.col("overlap_bp")), F.sum("overlap_bp")).alias("region_mean")))
     width = F.col("end") - F.col("start")
     overall = signal.agg(safe_divide(F.sum(F.col("value") * width), F.sum(width)).alias("genome_mean"))
-    merged_peaks = merge_intervals(peaks)
+    merged_peaks = materialize(merge_intervals(peaks), "peaks")
     peak_total = merged_peaks.agg(F.sum(width).alias("peak_bp"))
     genome = sizes.agg(F.sum("size").alias("genome_bp"))
     shared = overlap_totals(merged, merged_peaks, (), count="_n", bp="_bp").groupBy(*keys).agg(

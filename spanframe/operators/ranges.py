@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.operators.scan import TILE_SHIFT, prefix_scan, tile_of
+from spanframe.session import materialize
 
 #: Bin width 16,384 for intervals below ``SPAN_BINS`` bins, 524,288 above.
 BIN_SHIFT = 14
@@ -259,6 +260,45 @@ def exclude_near(a: DataFrame, b: DataFrame, proximity: int = 0, keys: Sequence[
     return marked.where("NOT _hit").drop("_hit")
 
 
+def _point_slots(points: DataFrame) -> DataFrame:
+    short = F.col("end") - F.col("start") <= 2
+    return points.withColumn("_slot", F.when(short, F.shiftright("start", BIN_SHIFT)).otherwise(
+        F.raise_error(F.lit("points are at most 2 long")).cast("bigint")))
+
+
+def _cover_slots(b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    merged = merge_intervals(b, keys)
+    return merged.select(*_part(keys), F.col("start").alias("_bs"), F.col("end").alias("_be"),
+                         F.explode(_slots(F.col("start") - 1, F.col("end") - 1, BIN_SHIFT, 0)).alias("_s4")) \
+        .withColumn("_slot", F.shiftright("_s4", 2)).drop("_s4")
+
+
+def _meets(part: Sequence[str]) -> list[Column]:
+    same = [F.col(f"p.{c}") == F.col(f"r.{c}") for c in [*part, "_slot"]]
+    return [*same, F.col("p.start") < F.col("r._be"), F.col("r._bs") < F.col("p.end")]
+
+
+def points_in(points: DataFrame, b: DataFrame, keys: Sequence[str] = (), how: str = "left_semi") -> DataFrame:
+    """Points (at most 2 long) that overlap some ``b`` (``left_semi``) or none
+    (``left_anti``). Each point has one bin, so the big side is shuffled once and
+    a bin holding many points is split by the adaptive skew join."""
+    joined = _point_slots(points).alias("p").join(_cover_slots(b, keys).alias("r"), _meets(_part(keys)), how)
+    return joined.select(*[F.col(f"p.{c}") for c in points.columns])
+
+
+def flag_points(points: DataFrame, sets: dict[str, DataFrame], keys: Sequence[str] = ()) -> DataFrame:
+    """Points with one flag per interval set. All joins share the points' bins, so
+    one shuffle of the points serves every set. A point of length 1 or 2 meets at
+    most one interval of a merged set, so no row is repeated."""
+    out = _point_slots(points)
+    columns = list(points.columns)
+    for name, b in sets.items():
+        joined = out.alias("p").join(_cover_slots(b, keys).alias("r"), _meets(_part(keys)), "left")
+        out = joined.select(*[F.col(f"p.{c}") for c in [*columns, "_slot"]], F.col("r._bs").isNotNull().alias(name))
+        columns.append(name)
+    return out.drop("_slot")
+
+
 def overlap_totals(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), *, count: str = "n_overlaps",
                    bp: str = "overlap_bp") -> DataFrame:
     """``a`` with the number of overlapping ``b`` rows and the summed overlap.
@@ -364,7 +404,7 @@ def pairwise_matrices(df: DataFrame, keys: Sequence[str] = ("sample_id",), tool:
     from spanframe.functions import safe_divide
 
     tooled = [*keys, tool]
-    merged = merge_intervals(df, tooled)
+    merged = materialize(merge_intervals(df, tooled), "merged")
     bp = merged.groupBy(*tooled).agg(F.sum(F.col("end") - F.col("start")).alias("bp"))
     rows = merged if merge_first else df.select(*tooled, "chrom", "start", "end")
     shared = (range_join(rows, rows, keys, split_long=not merge_first)
@@ -400,9 +440,10 @@ def consensus_consistency(segments: DataFrame, member: str = "sample_id", tool:
 
     cutoff = segments.agg(F.greatest(F.lit(2), F.ceil(F.countDistinct(member) / 2)).cast("bigint")
                           .alias("high_support_cutoff"))
-    consensus = consensus_regions(segments, (tool,), member).crossJoin(F.broadcast(cutoff))  # one row
+    consensus = consensus_regions(segments, (tool,), member).crossJoin(F.broadcast(cutoff))  # one row: a global count
     # consensus of a tool covers its own segments, so only the strong part needs measuring
-    strong = consensus.where("n_supporting_samples >= high_support_cutoff").select(tool, "chrom", "start", "end")
+    strong = materialize(consensus.where("n_supporting_samples >= high_support_cutoff")
+                         .select(tool, "chrom", "start", "end"), "strong")
     rows = segments.select(member, tool, "chrom", "start", "end")
     measured = overlap_totals(rows, strong, (tool,), count="_n", bp="_strong_bp")
     return (measured.groupBy(member, tool)

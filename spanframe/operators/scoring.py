@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from spanframe.functions import f1_score, safe_divide
 from spanframe.operators.cleaning import tag_intervals
 from spanframe.operators.points import region_mean
-from spanframe.operators.ranges import (mark_overlaps, merge_intervals, overlap_metrics, overlap_totals, overlaps_none,
+from spanframe.operators.ranges import (flag_points, merge_intervals, overlap_metrics, overlap_totals, overlaps_none,
                                         range_join, slop, tagged_depth)
 from spanframe.operators.scan import prefix_scan
+from spanframe.session import materialize
 
 SAMPLE = ("sample_id",)
 CALLER = ("sample_id", "tool")
@@ -115,11 +116,14 @@ def point_confusion(points: DataFrame, truth: DataFrame, calls: DataFrame, toler
     equal coordinates are counted once and weighted.
     """
     weighted = points.groupBy(*SAMPLE, "chrom", "start", "end").agg(F.count("*").alias("w"))
+    sets = {"is_truth": truth}
     if tolerance > 0:
-        band = tagged_depth({"wide": slop(truth.select(*SAMPLE, "chrom", "start", "end"), tolerance, sizes),
-                             "inner": truth}, SAMPLE).where("wide > 0 AND inner = 0")
-        weighted = mark_overlaps(weighted, band, SAMPLE, name="_band").where("NOT _band").drop("_band")
-    scored = mark_overlaps(weighted, truth, SAMPLE, name="is_truth")
+        wide = slop(truth.select(*SAMPLE, "chrom", "start", "end"), tolerance, sizes)
+        sets["_band"] = tagged_depth({"wide": wide, "inner": truth}, SAMPLE).where("wide > 0 AND inner = 0")
+    scored = flag_points(weighted, sets, SAMPLE)
+    if tolerance > 0:
+        scored = scored.where("NOT _band").drop("_band")
+    scored = materialize(scored, "scored")  # read for the totals and for the calls
     totals = scored.groupBy(*SAMPLE).agg(
         F.sum("w").alias("n"), F.coalesce(F.sum(F.when(F.col("is_truth"), F.col("w"))), F.lit(0)).alias("n_truth"))
     merged = merge_intervals(calls, CALLER)
@@ -197,8 +201,8 @@ def false_region_betas(false_regions: DataFrame, points: DataFrame) -> DataFrame
 
 def recovery_metrics(truth: DataFrame, calls: DataFrame, points: DataFrame, tolerance: int, sizes: DataFrame) -> DataFrame:
     """One wide row per sample and tool from all scores above."""
-    tagged_truth, tagged_calls = tag_truth(truth), tag_calls(calls)
-    pairs = score_pairs(tagged_truth, tagged_calls, tolerance, sizes)
+    tagged_truth, tagged_calls = materialize(tag_truth(truth), "truth"), materialize(tag_calls(calls), "calls")
+    pairs = materialize(score_pairs(tagged_truth, tagged_calls, tolerance, sizes), "pairs")
     counts = caller_sizes(tagged_truth, tagged_calls)
     measures = ["truth_hits", "recalled_hits", "recall", "precision", "f1", "per_region_recall_fraction", "mabe"]
     resolution = region_resolution(pairs, counts).groupBy(*CALLER).pivot("hit_level", list(HIT_LEVELS)).agg(

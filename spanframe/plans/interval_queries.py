@@ -14,7 +14,7 @@ SAME_SAMPLE = f"a.sample_id = b.sample_id AND {HITS}"
 
 @query("merge_intervals", "I1", "SELECT * FROM merged")
 def _(t):
-    return t.merged
+    return R.merge_intervals(t.regions, SAMPLE_TOOL)
 
 
 @query("merge_intervals_bridging_gaps", "I1", merge_sql("regions", "sample_id, tool", 1000))
@@ -105,7 +105,7 @@ def _(t):
 
 @query("points_in_any_region", "I9", f"SELECT * FROM points a WHERE EXISTS (SELECT 1 FROM merged b WHERE {SAME_SAMPLE})")
 def _(t):
-    return R.overlaps_any(t.points, t.regions, ["sample_id"])
+    return R.points_in(t.points, t.regions, ["sample_id"])
 
 
 @query("overlaps_none", "I10", f"SELECT * FROM regions a WHERE NOT EXISTS (SELECT 1 FROM features b WHERE {HITS})")

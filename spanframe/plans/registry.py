@@ -6,11 +6,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.operators import ranges
+from spanframe.session import materialize
 from spanframe.sources.tables import VIEW_SQL, duck_text, view
 
 
@@ -25,23 +27,24 @@ class Tables:
             return view(self.spark, self.sf_dir, name)
         raise AttributeError(name)
 
-    @property
+    # written once per instance: most queries read these more than once
+    @cached_property
     def merged(self) -> DataFrame:
-        return ranges.merge_intervals(self.regions, ["sample_id", "tool"])
+        return materialize(ranges.merge_intervals(self.regions, ["sample_id", "tool"]), "merged")
 
-    @property
+    @cached_property
     def merged_features(self) -> DataFrame:
-        return ranges.merge_intervals(self.features)
+        return materialize(ranges.merge_intervals(self.features), "features")
 
-    @property
+    @cached_property
     def truth(self) -> DataFrame:
         """Tool 1's merged regions, one truth set per sample."""
-        return ranges.merge_intervals(self.regions.where("tool = '1'"), ["sample_id"])
+        return self.merged.where("tool = '1'").drop("tool")
 
-    @property
+    @cached_property
     def calls(self) -> DataFrame:
         """The other tools' merged regions."""
-        return ranges.merge_intervals(self.regions.where("tool <> '1'"), ["sample_id", "tool"])
+        return self.merged.where("tool <> '1'")
 
     @property
     def beta_points(self) -> DataFrame:

@@ -12,6 +12,7 @@ from spanframe.operators import scoring as B
 from spanframe.plans.interval_queries import HITS, SAME_SAMPLE
 from spanframe.plans.registry import CTE, merge_sql, query, rounded
 from spanframe.plans.summary_queries import matrix, scores, shared_regions
+from spanframe.session import materialize
 from spanframe.sources.tables import table
 
 ST = ["sample_id", "tool"]
@@ -42,11 +43,11 @@ CTE["pairs"] = """
 
 
 def tagged(t):
-    return B.tag_truth(t.truth), B.tag_calls(t.calls)
+    return materialize(B.tag_truth(t.truth), "truth"), materialize(B.tag_calls(t.calls), "calls")
 
 
-def pairs(t):
-    truth, calls = tagged(t)
+def pairs(t, tags=None):
+    truth, calls = tags or tagged(t)
     return B.score_pairs(truth, calls, TOL, t.sizes)
 
 
@@ -82,7 +83,7 @@ CTE["best_hits"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s
            round(coalesce(share, 0) / n_truth, 9) AS per_region_recall_fraction, round(mabe, 4) AS mabe FROM j""")
 def _(t):
     truth, calls = tagged(t)
-    out = B.region_resolution(pairs(t), B.caller_sizes(truth, calls))
+    out = B.region_resolution(materialize(pairs(t, (truth, calls)), "pairs"), B.caller_sizes(truth, calls))
     return rounded(rounded(out, 9, "recall", "precision", "f1", "per_region_recall_fraction"), 4, "mabe")
 
 
@@ -132,7 +133,7 @@ def _(t):
     JOIN b ON b.sample_id = c.sample_id AND b.tool = c.tool""")
 def _(t):
     truth, calls = tagged(t)
-    out = B.fragmentation_absorption(pairs(t), B.caller_sizes(truth, calls))
+    out = B.fragmentation_absorption(materialize(pairs(t, (truth, calls)), "pairs"), B.caller_sizes(truth, calls))
     return rounded(out, 9, *[c for c in out.columns if c not in ST])
 
 
@@ -261,8 +262,8 @@ CTE["lad_detail"] = """
 
 
 def lads(t):
-    return C.tag_intervals(t.merged_features, prefix="").select(
-        "chrom", "start", "end", F.col("id").cast("bigint").alias("feature_id"))
+    return materialize(C.tag_intervals(t.merged_features, prefix="").select(
+        "chrom", "start", "end", F.col("id").cast("bigint").alias("feature_id")), "lads")
 
 
 @query("nearest_feature", "J6", """
