@@ -54,8 +54,13 @@ def group_kfold(samples: DataFrame, k: int, repeats: int, seed: int = 42, cohort
     bad = F.lit(False)
     for c in required:
         bad = bad | F.col(c).isNull()
-    checked = samples.select(*required).withColumn("patient_id", F.when(~bad, F.col("patient_id")).otherwise(
-        F.raise_error(F.lit("sample without patient, label or cohort")).cast("string")))
+    # the check guards both join keys: a null filter on a key cannot run before it
+    def guarded(column: str):
+        return F.when(~bad, F.col(column)).otherwise(
+            F.raise_error(F.lit("sample without patient, label or cohort")).cast("string"))
+
+    checked = samples.select("sample", guarded("patient_id").alias("patient_id"), "binary_label",
+                             guarded(cohort).alias(cohort))
     tumor, normal = (F.count_if(F.col("binary_label") == c) > 0 for c in ("Tumor", "Normal"))
     patients = checked.groupBy(cohort, "patient_id").agg(F.when(tumor & normal, 0).when(normal, 1).otherwise(2).alias("stratum"))
     part = [cohort, "repeat", "stratum"]

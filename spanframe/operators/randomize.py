@@ -141,7 +141,7 @@ def place_regions(segments: DataFrame, config: dict | None = None, seed: int = 4
     c = {**PLACEMENT, **(config or {})}
     fixed = manual or {}
 
-    def place(key, group: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         sample, chrom = key
         rng = np.random.default_rng(int(group["_seed"].iloc[0]))
         windows = list(zip(group["start"], group["end"]))
@@ -287,7 +287,7 @@ def permute_null(regions: DataFrame, sizes: DataFrame, n_permutations: int, seed
     blocks = shuffled.groupBy(*whole, "block").agg(
         F.count("*").alias("n_b"), F.sum("length").alias("bp_b"), F.first("n").alias("n"), F.first("free").alias("free"))
 
-    def split(key, group: pd.DataFrame) -> pd.DataFrame:
+    def split(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
         rng = np.random.default_rng(int(group["_seed"].iloc[0]))
         n = int(group["n"].iloc[0])
@@ -301,7 +301,7 @@ def permute_null(regions: DataFrame, sizes: DataFrame, n_permutations: int, seed
     seeded = blocks.withColumn("_seed", stable_seed(seed, F.concat_ws("|", *whole)))
     shares = seeded.groupBy(*whole).applyInPandas(split, f"{key_types}, block bigint, free_b bigint, at bigint")
 
-    def spread(key, group: pd.DataFrame) -> pd.DataFrame:
+    def spread(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("u")
         rng = np.random.default_rng(int(group["_seed"].iloc[0]))
         gaps = rng.multinomial(int(group["free_b"].iloc[0]), np.full(len(group), 1 / len(group)))
@@ -478,7 +478,7 @@ def random_matched_regions(reference: DataFrame, excluded: DataFrame, sizes: Dat
     fitting = count_points(materialize(placed, "candidates"), points.select("chrom", "start").distinct(), (),
                            name="n_points").where(F.col("n_points") >= min_points)
 
-    def choose(key, group: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         taken: dict[str, list[tuple[int, int]]] = {}
         rows, done = [], set()
         for r in group.sort_values(["slot", "attempt"]).itertuples(index=False):

@@ -195,12 +195,12 @@ def expand_draws(results: DataFrame, deterministic: Sequence[str]) -> DataFrame:
     return best_per_key(both, key, [("_first", False)]).drop("_first")
 
 
-def completeness(expected: Sequence[DataFrame], present: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Status per expected key. ``expected`` are dimension tables (a few names
-    each, such as samples and tools) whose combinations must all be present."""
-    grid = reduce(lambda x, y: x.crossJoin(F.broadcast(y)), expected)  # dimension tables: the list of expected keys
-    have = present.select(*on).distinct().withColumn("_have", F.lit(True))
-    return grid.join(have, list(on), "left").withColumn(
+def completeness(expected: DataFrame, names: dict[str, Sequence[str]], present: DataFrame) -> DataFrame:
+    """Status per expected key: every row of ``expected`` with every combination
+    of the listed ``names`` (tools, tracks: a few constants per column)."""
+    grid = expected
+    for column, values in names.items():
+        grid = grid.withColumn(column, F.explode(F.array(*[F.lit(v) for v in values])))
+    have = present.select(*grid.columns).distinct().withColumn("_have", F.lit(True))
+    return grid.join(have, grid.columns, "left").withColumn(
         "status", F.when(F.col("_have"), "present").otherwise("missing")).drop("_have")
-
-

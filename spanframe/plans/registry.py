@@ -24,7 +24,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEW_SQL:
-            return view(self.spark, self.sf_dir, name)
+            self.__dict__[name] = view(self.spark, self.sf_dir, name)
+            return self.__dict__[name]
         raise AttributeError(name)
 
     # written once per instance: most queries read these more than once
@@ -46,7 +47,7 @@ class Tables:
         """The other tools' merged regions."""
         return self.merged.where("tool <> '1'")
 
-    @property
+    @cached_property
     def beta_points(self) -> DataFrame:
         return self.points.withColumn("beta", F.col("meth") / F.col("coverage"))
 

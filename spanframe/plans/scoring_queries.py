@@ -684,6 +684,6 @@ def _(t):
     FROM sizes s CROSS JOIN (SELECT DISTINCT tool FROM regions) k""")
 def _(t):
     have = t.regions.where('sample_id = "P" AND end - start > 20300')
-    return W.completeness([t.sizes.select("chrom"), t.regions.select("tool").distinct()], have, ["chrom", "tool"])
+    return W.completeness(t.sizes.select("chrom"), {"tool": ["1", "2", "3", "4", "5"]}, have)
 
 
