@@ -270,7 +270,9 @@ def permute_null(regions: DataFrame, sizes: DataFrame, n_permutations: int, seed
     small group per (key, chrom, permutation) splits the free space over its
     blocks; one group per block then spreads its share over its gaps. Together
     that is the same multinomial, and no group grows with the chromosome.
+    Permutations of a single block skip the first step.
     """
+    lanes = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # Python groups stay spread out
     part = [*keys, "chrom"]
     whole = [*part, "perm"]
     rows = regions.groupBy(*part, "start", "end").agg(F.count("*").alias("_copies")) \
@@ -285,7 +287,8 @@ def permute_null(regions: DataFrame, sizes: DataFrame, n_permutations: int, seed
     shuffled = (rows.join(totals, part).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
                 .withColumn("u", order).withColumn("block", F.floor(F.col("u") * F.col("blocks")).cast("bigint")))
     blocks = shuffled.groupBy(*whole, "block").agg(
-        F.count("*").alias("n_b"), F.sum("length").alias("bp_b"), F.first("n").alias("n"), F.first("free").alias("free"))
+        F.count("*").alias("n_b"), F.sum("length").alias("bp_b"), F.first("n").alias("n"), F.first("free").alias("free"),
+        F.first("blocks").alias("blocks")).where("blocks > 1")
 
     def split(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
@@ -304,13 +307,16 @@ def permute_null(regions: DataFrame, sizes: DataFrame, n_permutations: int, seed
     def spread(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("u")
         rng = np.random.default_rng(int(group["_seed"].iloc[0]))
-        gaps = rng.multinomial(int(group["free_b"].iloc[0]), np.full(len(group), 1 / len(group)))
-        lengths = group["length"].to_numpy()
-        starts = int(group["at"].iloc[0]) + np.cumsum(gaps) + np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        n, lengths = len(group), group["length"].to_numpy()
+        if group["blocks"].iloc[0] == 1:
+            gaps, at = rng.multinomial(int(group["free"].iloc[0]), np.full(n + 1, 1 / (n + 1)))[:-1], 0
+        else:
+            gaps, at = rng.multinomial(int(group["free_b"].iloc[0]), np.full(n, 1 / n)), int(group["at"].iloc[0])
+        starts = at + np.cumsum(gaps) + np.concatenate([[0], np.cumsum(lengths)[:-1]])
         return group.assign(start=starts, end=starts + lengths)[[*whole, "start", "end"]]
 
-    placed = shuffled.select(*whole, "block", "u", "length").join(shares, [*whole, "block"]) \
-        .withColumn("_seed", stable_seed(seed, F.concat_ws("|", *whole, "block")))
+    placed = shuffled.select(*whole, "block", "u", "length", "blocks", "free").join(shares, [*whole, "block"], "left") \
+        .withColumn("_seed", stable_seed(seed, F.concat_ws("|", *whole, "block"))).repartition(lanes, *whole, "block")
     return placed.groupBy(*whole, "block").applyInPandas(spread, f"{key_types}, start bigint, end bigint")
 
 
