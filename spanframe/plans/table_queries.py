@@ -40,10 +40,10 @@ def _(t):
     bed3 = r.where("tool = '1'").select("sample_id", "chrom", "start", "end")
     bed4 = r.where("tool = '2'").select("sample_id", "chrom", "start", "end", F.lit("x").alias("label"))
     category = F.when(F.col("region_id") % 2 == 0, "PMD").otherwise("other")
-    lasso = r.where("tool = '3'").select("sample_id", "chrom", "start", "end", F.lit(1).alias("n"),
+    stats = r.where("tool = '3'").select("sample_id", "chrom", "start", "end", F.lit(1).alias("n"),
                                          F.lit(0.5).alias("m"), F.lit(0.1).alias("s"), category.alias("category"))
     registry = []
-    for tool, df, layout, header in (("1", bed3, "bed3", False), ("2", bed4, "bed4", True), ("3", lasso, "lasso7", False)):
+    for tool, df, layout, header in (("1", bed3, "bed3", False), ("2", bed4, "bed4", True), ("3", stats, "stats7", False)):
         path = S.write_table(df, f"{root}/{tool}", header=header, partition_by=["sample_id"])
         registry.append({"tool": tool, "layout": layout, "header": header, "path": path})
     registry[2]["category"] = "PMD"

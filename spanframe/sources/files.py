@@ -18,7 +18,7 @@ REGION_LAYOUTS = {
     "bed3": BED,
     "bed4": BED + ", label STRING",
     "bed6": BED + ", label STRING, score DOUBLE, strand STRING",
-    "lasso7": BED + ", num_cpgs BIGINT, meth DOUBLE, std DOUBLE, category STRING",
+    "stats7": BED + ", num_cpgs BIGINT, meth DOUBLE, std DOUBLE, category STRING",
 }
 
 
