@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.operators import ranges
-from spanframe.session import materialize
+from spanframe.session import materialize, ship_package
 from spanframe.sources.tables import VIEW_SQL, duck_text, view
 
 
@@ -21,6 +21,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ship_package(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEW_SQL:
