@@ -272,7 +272,12 @@ def permute_null(regions: DataFrame, sizes: DataFrame, n_permutations: int, seed
     that is the same multinomial, and no group grows with the chromosome.
     Permutations of a single block skip the first step.
     """
-    lanes = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # Python groups stay spread out
+    lanes = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def spread_out(df: DataFrame, *group: str) -> DataFrame:
+        """Small rows, costly groups: a numbered lane keeps partitions from being coalesced by size."""
+        return df.withColumn("_lane", F.pmod(F.xxhash64(*group), F.lit(lanes)).cast("int")).repartition(lanes, "_lane")
+
     part = [*keys, "chrom"]
     whole = [*part, "perm"]
     rows = regions.groupBy(*part, "start", "end").agg(F.count("*").alias("_copies")) \
@@ -302,7 +307,7 @@ def permute_null(regions: DataFrame, sizes: DataFrame, n_permutations: int, seed
 
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shuffled.select(*whole).schema.fields)
     seeded = blocks.withColumn("_seed", stable_seed(seed, F.concat_ws("|", *whole)))
-    shares = seeded.groupBy(*whole).applyInPandas(split, f"{key_types}, block bigint, free_b bigint, at bigint")
+    shares = spread_out(seeded, *whole).groupBy("_lane", *whole).applyInPandas(split, f"{key_types}, block bigint, free_b bigint, at bigint")
 
     def spread(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("u")
@@ -316,8 +321,8 @@ def permute_null(regions: DataFrame, sizes: DataFrame, n_permutations: int, seed
         return group.assign(start=starts, end=starts + lengths)[[*whole, "start", "end"]]
 
     placed = shuffled.select(*whole, "block", "u", "length", "blocks", "free").join(shares, [*whole, "block"], "left") \
-        .withColumn("_seed", stable_seed(seed, F.concat_ws("|", *whole, "block"))).repartition(lanes, *whole, "block")
-    return placed.groupBy(*whole, "block").applyInPandas(spread, f"{key_types}, start bigint, end bigint")
+        .withColumn("_seed", stable_seed(seed, F.concat_ws("|", *whole, "block")))
+    return spread_out(placed, *whole, "block").groupBy("_lane", *whole, "block").applyInPandas(spread, f"{key_types}, start bigint, end bigint")
 
 
 def null_checks(observed: DataFrame, permuted: DataFrame, sizes: DataFrame,
