@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructType
 
 #: Text bytes that are worked on at once.
 SLICE_BYTES = 1 << 21
@@ -27,6 +28,14 @@ def texts(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, n
     return flat, marks, null
 
 
+def with_fields(schema: StructType, **kinds: str) -> StructType:
+    """A new schema with further fields."""
+    out = StructType(list(schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, kind)
+    return out
+
+
 def row_slices(marks: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``limit`` bytes together; a longer row is alone in its run."""
     n, low = len(marks) - 1, 0

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanframe.llm.batches import SLICE_BYTES, texts
+from spanframe.llm.batches import SLICE_BYTES, texts, with_fields
 from spanframe.llm.splitter import Splitter, distinct, pieces
 from spanframe.session import ship_package
 
@@ -256,8 +256,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["token_ids"] if with_ids else [])
     kept = docs.drop(*new)
     tokens = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = kept.schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    schema = schema.add("token_ids", "array<int>") if with_ids else schema
+    schema = with_fields(kept.schema, n_tokens="long", ids_sha256="string", decoded_sha256="string",
+                         **({"token_ids": "array<int>"} if with_ids else {}))
 
     def run(batches):
         encoder, splitter = _encoder(ranks_path, tokens.value, pattern)
