@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import bpe, language, token_counts
+from spanframe.llm import bpe, exact_dedup, language, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +46,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = language.fit(docs.where("not held_out"))
     found = language.predict(docs.select("doc_id", "text", "held_out"), models)
     return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "n_symbols", "rejected")
+
+
+@query
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the lower half of the id range stands for what earlier loads have seen
+    edge = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("edge")).first()["edge"]
+    return exact_dedup.dedup(docs, F.col("doc_id") <= F.lit(edge)).drop("known")
+
+
+SQL["op3_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
