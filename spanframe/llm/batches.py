@@ -32,7 +32,7 @@ def with_fields(schema: StructType, **kinds: str) -> StructType:
     """A new schema with further fields."""
     out = StructType(list(schema.fields))
     for name, kind in kinds.items():
-        out = out.add(name, kind)
+        out = out.add(StructType.fromDDL(f"`{name}` {kind}")[0])
     return out
 
 
@@ -129,3 +129,15 @@ def byte_set(pattern_outside: str) -> np.ndarray:
     out = np.ones(256, bool)
     out[[ord(c) for c in pattern_outside]] = False
     return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = SLICE_BYTES) -> np.ndarray:
+    """``span_hashes`` of successive words, by stretches of bytes, so that memory follows ``chunk``."""
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + chunk, side="right")))
+        a, b = int(starts[low]), int(ends[high - 1])
+        out[low:high] = span_hashes(data[a:b], starts[low:high] - a, ends[low:high] - a)
+        low = high
+    return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import bpe, exact_dedup, language, token_counts
+from spanframe.llm import bpe, decontaminate, exact_dedup, language, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,11 @@ SQL["op3_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                         decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
