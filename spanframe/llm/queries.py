@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import bpe, decontaminate, exact_dedup, language, token_counts
+from spanframe.llm import bpe, decontaminate, exact_dedup, language, ngram_join, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                          decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
+@query
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
