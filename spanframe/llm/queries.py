@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import bpe, decontaminate, exact_dedup, language, ngram_join, token_counts
+from spanframe.llm import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,32 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = line_dedup.remove_repeats(docs, details=True)
+    return clean.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+LINE_SQL = """lines AS (
+    SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+cuts AS (
+    SELECT doc_id, i, s, substr(md5(lag(md5(line)) OVER (PARTITION BY doc_id, s ORDER BY i) || md5(line) || s), 32, 1)
+        IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS cut FROM lines, (VALUES ('0'), ('1'), ('2')) AS v(s)),
+ends AS (
+    SELECT DISTINCT a.doc_id, a.i AS f, coalesce(min(CASE WHEN b.cut THEN b.i END), max(b.i)) AS l
+    FROM lines a JOIN cuts b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + 1 AND a.i + 7 GROUP BY a.doc_id, a.i, b.s),
+pieces AS (
+    SELECT e.doc_id, f, l, string_agg(line, chr(10) ORDER BY i) AS piece FROM ends e JOIN lines x ON x.doc_id = e.doc_id AND x.i BETWEEN f AND l
+    GROUP BY e.doc_id, f, l HAVING length(string_agg(line, chr(10) ORDER BY i)) >= 100),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY doc_id, f) AS place FROM pieces),
+gone AS (SELECT DISTINCT x.doc_id, x.i FROM ranked r JOIN lines x ON x.doc_id = r.doc_id AND x.i BETWEEN f AND l WHERE place > 1),
+cleaned AS (
+    SELECT x.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(line, chr(10) ORDER BY x.i) FILTER (g.i IS NULL) AS text
+    FROM lines x LEFT JOIN gone g USING (doc_id, i) GROUP BY x.doc_id)"""
+
+SQL["op5_line_dedup"] = f"""WITH {LINE_SQL}
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(c.text, '')) AS text_sha256
+FROM documents d LEFT JOIN cleaned c USING (doc_id)"""
