@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, token_counts
+from spanframe.llm import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,3 +102,10 @@ cleaned AS (
 SQL["op5_line_dedup"] = f"""WITH {LINE_SQL}
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(c.text, '')) AS text_sha256
 FROM documents d LEFT JOIN cleaned c USING (doc_id)"""
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(4) == 2)
+    model = toxicity.fit(docs.where("not held_out"), table(spark, sf_dir, "labels").where(remainder(4) != 2))
+    return toxicity.score(docs.select("doc_id", "text", "held_out"), model).drop("text")
