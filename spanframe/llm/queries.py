@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, token_counts, toxicity
+from spanframe.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, ngram_join, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,3 +109,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(4) == 2)
     model = toxicity.fit(docs.where("not held_out"), table(spark, sf_dir, "labels").where(remainder(4) != 2))
     return toxicity.score(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.score_documents(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
