@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, ngram_join, token_counts, toxicity
+from spanframe.llm import bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, ngram_join, surrogates, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,3 +115,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_score.score_documents(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+
+
+@query
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a fixed key, so that runs can be compared; real use passes a secret one
+    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), secret=b"spanframe surrogate key")
