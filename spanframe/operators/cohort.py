@@ -140,7 +140,12 @@ def check_training_features(train: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"features without any training value: {empty}")
 
 
-def train_score(train: DataFrame, test: DataFrame, columns: Sequence[str], trees: int = 500, seed: int = 42) -> DataFrame:
+#: Spark's trees go no deeper; a forest without a depth limit is this deep at most.
+DEEPEST = 30
+
+
+def train_score(train: DataFrame, test: DataFrame, columns: Sequence[str], trees: int = 500, seed: int = 42,
+                depth: int = DEEPEST) -> DataFrame:
     """Mean imputation fitted on the training side, balanced random forest, and the
     test samples' probability of Tumor (label 1)."""
     columns = list(columns)
@@ -150,7 +155,7 @@ def train_score(train: DataFrame, test: DataFrame, columns: Sequence[str], trees
     stages = [Imputer(inputCols=columns, outputCols=filled, strategy="mean"),
               VectorAssembler(inputCols=filled, outputCol="features"),
               RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, seed=seed,
-                                     featureSubsetStrategy="sqrt", maxDepth=10)]
+                                     featureSubsetStrategy="sqrt", maxDepth=depth)]
     scored = Pipeline(stages=stages).fit(weighted).transform(test)
     return scored.withColumn("y_score", vector_to_array("probability")[1]).select(
         "sample_id", F.when(F.col("label") == 1, "Tumor").otherwise("Normal").alias("y_true"),
@@ -186,16 +191,24 @@ def run_feature_benchmark(beta: DataFrame, labels: DataFrame, folds: DataFrame,
     return classification_metrics(predictions, ["feature_set", "n_features", "fold"]), predictions
 
 
+def no_nulls(df: DataFrame, columns: Sequence[str]) -> None:
+    row = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(c) for c in columns]).first()
+    bad = [c for c in columns if row[c]]
+    if bad:
+        raise ValueError(f"features with missing values: {bad}")
+
+
 def holdout_classifier(train: DataFrame, test: DataFrame, columns: Sequence[str], classes: Sequence[str], trees: int = 300,
-                       seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(report, predictions) of a scaled random forest on a held-out set;
-    ``label`` is the class index."""
+                       seed: int = 42, depth: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
+    """(report, predictions) of a scaled random forest with balanced class weights
+    on a held-out set; ``label`` is the class index. A missing value raises."""
     columns = list(columns)
-    stages = [Imputer(inputCols=columns, outputCols=[f"{c}_f" for c in columns]),
-              VectorAssembler(inputCols=[f"{c}_f" for c in columns], outputCol="_v"),
+    no_nulls(train, columns)
+    no_nulls(test, columns)
+    stages = [VectorAssembler(inputCols=columns, outputCol="_v"),
               StandardScaler(inputCol="_v", outputCol="features", withMean=True),
-              RandomForestClassifier(labelCol="label", numTrees=trees, seed=seed)]
-    scored = Pipeline(stages=stages).fit(train).transform(test)
+              RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, seed=seed, maxDepth=depth)]
+    scored = Pipeline(stages=stages).fit(balanced_weights(train)).transform(test)
     names = F.array(*[F.lit(c) for c in classes])
     predictions = scored.select("sample_id", F.element_at(names, F.col("label").cast("int") + 1).alias("y_true"),
                                 F.element_at(names, F.col("prediction").cast("int") + 1).alias("y_pred"),
@@ -205,7 +218,8 @@ def holdout_classifier(train: DataFrame, test: DataFrame, columns: Sequence[str]
 
 def sample_pca(features: DataFrame, columns: Sequence[str], components: int = 2) -> tuple[DataFrame, list[float]]:
     """(sample components, explained ratios) after dropping all-null columns and
-    z-scaling; a remaining null raises. Component signs are arbitrary."""
+    z-scaling by the population std; a remaining null raises. Component signs are
+    arbitrary."""
     counts = features.agg(*[F.count(c).alias(c) for c in columns], F.count("*").alias("_rows")).first()
     kept = [c for c in columns if counts[c]]
     rows = features.na.drop("all", subset=kept)
@@ -213,7 +227,9 @@ def sample_pca(features: DataFrame, columns: Sequence[str], components: int = 2)
     scaler = StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True)
     model = Pipeline(stages=[assembler, scaler, PCA(k=components, inputCol="_z", outputCol="_p")]).fit(rows)
     parts = vector_to_array("_p")
-    out = model.transform(rows).select("sample_id", *[parts[i].alias(f"pc{i + 1}") for i in range(components)])
+    n = rows.count()
+    factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0  # Spark scales by the sample std
+    out = model.transform(rows).select("sample_id", *[(parts[i] * factor).alias(f"pc{i + 1}") for i in range(components)])
     return out, [float(x) for x in model.stages[-1].explainedVariance]
 
 

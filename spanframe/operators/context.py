@@ -13,45 +13,55 @@ from pyspark.sql import functions as F
 from spanframe.functions import HIGH_CUTOFF, LOW_CUTOFF, safe_divide
 from spanframe.operators.points import region_point_summary
 from spanframe.operators.ranges import label_points, merge_intervals
-from spanframe.operators.scan import TILE_SHIFT, prefix_scan
+from spanframe.operators.scan import prefix_scan
+from spanframe.session import materialize
 
 SAMPLE = ("sample_id",)
 
-# Cut-offs of the rule-based states.
-RULE_CUTOFFS = {"beta_low_max": 0.2, "beta_high_min": 0.8, "int_min": 0.3, "std_max": 0.35, "high_max": 0.5}
+# Cut-offs of the rule-based states (the last three for windows of 500 kb).
+RULE_CUTOFFS = {"beta_low_max": 0.28953450344841725, "beta_high_min": 0.694195675252982,
+                "int_min": 0.5604250370335937, "std_max": 0.26418485236146244, "high_max": 0.2462720810967043}
+# Fixed value: above it a point counts as high; the intermediate band ends at HIGH_CUTOFF.
+SURELY_HIGH = 0.8
 
 
 def context_features(points: DataFrame, windows: Sequence[int], keys: Sequence[str] = SAMPLE, low: float = LOW_CUTOFF,
-                     high: float = HIGH_CUTOFF, value: str = "beta") -> DataFrame:
+                     int_high: float = HIGH_CUTOFF, high: float = SURELY_HIGH, value: str = "beta") -> DataFrame:
     """Per position: its value and, per window size, the number, mean, std and
-    shares of high and intermediate points within half a window either side.
+    shares of high (over ``high``) and intermediate (``low`` to ``int_high``)
+    points within half a window either side. Values lie between 0 and 1.
 
-    Points are first combined per position. Each position is then sent to its
-    own tile and, near an edge, to the neighbouring tile too, so a range window
-    per tile sees every neighbour and a tile never exceeds its width in rows.
+    Running sums are read just before each window and just after it, so the work
+    follows the number of positions whatever the window, and windows may be wider
+    than a tile. Values and squares are added as decimals of 15 and 30 places,
+    so a difference of two sums is the sum of what lies between.
     """
     part = [*keys, "chrom"]
-    if max(windows) // 2 >= 1 << TILE_SHIFT:
-        raise ValueError("windows must be narrower than a tile")
-    v = F.col(value)
-    packed = points.groupBy(*part, "start").agg(
-        F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.count_if(v > high).alias("nh"),
-        F.count_if((v >= low) & (v <= high)).alias("ni"))
-    reach = max(windows) // 2
-    home = F.shiftright("start", TILE_SHIFT)
-    tiles = F.array_distinct(F.array(home, F.shiftright(F.col("start") - reach, TILE_SHIFT),
-                                     F.shiftright(F.col("start") + reach, TILE_SHIFT)))
-    spread = packed.withColumn("_home", home).withColumn("_tile", F.explode(tiles))
-    out = [F.col("start"), F.try_divide(F.col("s"), F.col("n")).alias(value)]
+    v = F.col(value).cast("decimal(18,15)")
+    columns = ["n", "s", "ss", "nh", "ni"]
+    packed = materialize(points.groupBy(*part, "start").agg(
+        F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0)).cast("decimal(30,15)").alias("s"),
+        F.coalesce(F.sum(v * v), F.lit(0)).cast("decimal(38,30)").alias("ss"),
+        F.count_if(F.col(value) > high).alias("nh"), F.count_if((F.col(value) >= low) & (F.col(value) <= int_high)).alias("ni"),
+        F.sum(value).alias("_sum")), "positions")
+    marks = F.array(*[F.struct(F.lit(w).alias("w"), (F.col("start") + at).alias("pos"), F.lit(sign).alias("sign"))
+                      for w in windows for at, sign in ((-(w // 2), -1), (w // 2 + 1, 1))])
+    asked = packed.select(*part, "start", F.explode(marks).alias("m")).select(*part, "start", "m.*")
+    zeros = [F.lit(0).cast(packed.schema[c].dataType).alias(c) for c in columns]
+    steps = (packed.select(*part, F.col("start").alias("pos"), *columns).unionByName(asked.select(*part, "pos", *zeros))
+             .groupBy(*part, "pos").agg(*[F.sum(c).cast(packed.schema[c].dataType).alias(c) for c in columns]))
+    sums = prefix_scan(steps, part, sums=columns).select(*part, "pos", *[F.col(f"{c}_before").alias(c) for c in columns])
+    inside = asked.join(sums, [*part, "pos"]).groupBy(*part, "start").agg(
+        *[F.sum(F.when(F.col("w") == w, F.when(F.col("sign") > 0, F.col(c)).otherwise(-F.col(c)))).alias(f"{c}_{w}") for w in windows for c in columns])
+    out = [F.try_divide(F.col("_sum"), F.col("n")).alias(value)]
     for w in windows:
-        frame = Window.partitionBy(*part, "_tile").orderBy("start").rangeBetween(-(w // 2), w // 2)
-        n, s, ss = (F.sum(c).over(frame) for c in ("n", "s", "ss"))
+        n, s, ss = (F.col(f"{c}_{w}").cast("double") for c in ("n", "s", "ss"))
         mean = safe_divide(s, n)
-        out += [n.alias(f"n_{w}"), mean.alias(f"mean_{w}"),
+        out += [F.col(f"n_{w}"), mean.alias(f"mean_{w}"),
                 F.sqrt(F.greatest(safe_divide(ss, n) - mean * mean, F.lit(0.0))).alias(f"std_{w}"),
-                safe_divide(F.sum("nh").over(frame), n).alias(f"fraction_high_{w}"),
-                safe_divide(F.sum("ni").over(frame), n).alias(f"fraction_intermediate_{w}")]
-    return spread.select(*part, "_home", "_tile", *out).where("_home = _tile").drop("_home", "_tile")
+                safe_divide(F.col(f"nh_{w}"), n).alias(f"fraction_high_{w}"),
+                safe_divide(F.col(f"ni_{w}"), n).alias(f"fraction_intermediate_{w}")]
+    return packed.select(*part, "start", "n", "_sum").join(inside, [*part, "start"]).select(*part, "start", *out)
 
 
 def states_by_rule(features: DataFrame, window: int, cutoffs: dict | None = None, value: str = "beta") -> DataFrame:
@@ -78,8 +88,10 @@ def states_by_cluster(features: DataFrame, columns: Sequence[str], k: int = 4, c
     return assigned.join(F.broadcast(ranks.select("_cluster", "state")), "_cluster").drop("_cluster")
 
 
-def states_to_regions(states: DataFrame, names: Sequence[str], keys: Sequence[str] = SAMPLE, min_points: int = 5) -> DataFrame:
-    """Runs of equal state over consecutive positions, with at least ``min_points``.
+def states_to_regions(states: DataFrame, names: Sequence[str], keys: Sequence[str] = SAMPLE, min_points: int = 5,
+                      width: int = 2) -> DataFrame:
+    """Runs of equal state over consecutive positions, with at least ``min_points``;
+    a run ends ``width`` (the length of a point) after its last position.
 
     A run is identified by how many positions of *other* states come before it,
     which needs running counts only. ``states`` has one row per position.
@@ -90,7 +102,7 @@ def states_to_regions(states: DataFrame, names: Sequence[str], keys: Sequence[st
     scanned = prefix_scan(counted, part, sums=[f"is_{i}" for i in range(len(names))])
     others = sum((F.when(F.col("state") != n, F.col(f"is_{i}_before")).otherwise(0) for i, n in enumerate(names)), F.lit(0))
     return (scanned.groupBy(*part, "state", others.alias("_run"))
-            .agg(F.min("pos").alias("start"), (F.max("pos") + 2).alias("end"), F.count("*").alias("n_points"))
+            .agg(F.min("pos").alias("start"), (F.max("pos") + width).alias("end"), F.count("*").alias("n_points"))
             .where(F.col("n_points") >= min_points).drop("_run"))
 
 

@@ -523,7 +523,7 @@ def select_samples(samples: DataFrame, n: int, min_group_size: int, seed: int =
                    anchor: str | None = None, all_normals_above: int = 800) -> DataFrame:
     """Stratified choice of samples: a minimum per eligible group, the rest in
     rounds over the groups with room, one optional anchor sample in place of the
-    last chosen; all normals are added for large requests."""
+    last chosen; all normals are added for large requests. Too few raises."""
     hashed = samples.withColumn("_h", key_hash(seed, "sample")).withColumn("_b", F.substring("_h", 1, 4))
     inside = ranked(hashed, [group], ["_h"], block="_b", name="_r")
     sizes = inside.groupBy(group).agg(F.count("*").alias("_size")).where(F.col("_size") >= min_group_size)
@@ -531,6 +531,9 @@ def select_samples(samples: DataFrame, n: int, min_group_size: int, seed: int =
     if not groups or n < groups * min_group_size:
         raise ValueError(f"{n} samples cannot give {min_group_size} to each of {groups} groups")
     eligible = inside.join(sizes, group)
+    have = sizes.agg(F.sum("_size").alias("n")).first()["n"]
+    if have < n:
+        raise ValueError(f"asked for {n} samples, found {have} in groups of {min_group_size} or more")
     # round k offers every group's k-th sample; inside a round the hash decides
     by_round = eligible.withColumn("_round", F.greatest(F.col("_r"), F.lit(min_group_size).cast("bigint")))
     # anchor first: it is always chosen when eligible

@@ -12,7 +12,7 @@ from spanframe.functions import safe_divide
 from spanframe.operators.scan import ranked
 
 # Parts of metric names where a lower value is better.
-LOWER_IS_BETTER = ("_mabe", "_distance_from_1", "avg_false_region_beta", "mean_false_regions_called")
+LOWER_IS_BETTER = ("_mabe", "_distance_from_1", "avg_false_pmd_beta", "mean_false_pmds_called")
 # Metrics whose best value is 1 -> the distance that orders them.
 NEAR_ONE = {
     "fragmentation_mean": "fragmentation_distance_from_1_mean",
@@ -60,8 +60,11 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str,
 
 
 def recurrent_top(regions: DataFrame, n: int) -> DataFrame:
-    """The n regions found in most samples, longer first, then by position."""
-    return regions.orderBy(F.desc("sample_count"), F.desc("length"), "chrom", "start").limit(n)
+    """The n regions found in most samples, longer first, then by position; fewer raises."""
+    top = regions.orderBy(F.desc("sample_count"), F.desc("length"), "chrom", "start").limit(n)
+    found = top.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") == n, True).otherwise(F.raise_error(
+        F.concat(F.lit(f"asked for {n} regions, found "), F.col("_n").cast("string")))).cast("boolean").alias("_ok"))
+    return top.crossJoin(F.broadcast(found)).where("_ok").drop("_ok")  # one row
 
 
 def top_variance(features: DataFrame, n: int, feature: str = "region_index", sample: str = "sample_id",

@@ -313,7 +313,10 @@ def wide_matrix(t):
     indexed = M.index_regions(sets.drop("feature_set").withColumn("feature_set", F.lit("all"))).drop("feature_set")
     n = indexed.count()
     wide = materialize(feature_matrix(region_features(beta, indexed), list(range(1, n + 1))), "wide")
-    return wide, labels, folds, [f"region_{i}" for i in range(1, n + 1)]
+    # the operators raise on missing values: use the regions that every sample has
+    columns = [f"region_{i}" for i in range(1, n + 1)]
+    held = wide.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in columns]).first()
+    return wide, labels, folds, [c for c in columns if held[c] == held["_rows"]]
 
 
 @query("holdout_classifier", "M8, B17")
@@ -327,8 +330,7 @@ def _(t):
 @query("sample_pca", "M9")
 def _(t):
     wide, _, _, columns = wide_matrix(t)
-    filled = wide.na.fill(0.5, columns)
-    out, ratios = M.sample_pca(filled, columns)
+    out, ratios = M.sample_pca(wide, columns)
     return out.withColumn("explained", F.lit(sum(ratios)))
 
 
@@ -349,7 +351,7 @@ def _(t):
 
 CTE["ctx"] = """
     SELECT sample_id, chrom, start, beta, count(*) OVER w AS n, avg(beta) OVER w AS m, stddev_pop(beta) OVER w AS sd,
-           avg(CASE WHEN beta > 0.7 THEN 1.0 ELSE 0.0 END) OVER w AS fh,
+           avg(CASE WHEN beta > 0.8 THEN 1.0 ELSE 0.0 END) OVER w AS fh,
            avg(CASE WHEN beta >= 0.2 AND beta <= 0.7 THEN 1.0 ELSE 0.0 END) OVER w AS fi
     FROM beta_points WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY start RANGE BETWEEN 5000 PRECEDING AND 5000 FOLLOWING)"""
 CTE["ctx_one"] = """
@@ -357,8 +359,8 @@ CTE["ctx_one"] = """
            round(any_value(sd), 6) AS sd, round(any_value(fh), 9) AS fh, round(any_value(fi), 9) AS fi
     FROM ctx GROUP BY sample_id, chrom, start"""
 CTE["states"] = """
-    SELECT *, CASE WHEN fi >= 0.3 AND sd <= 0.35 AND fh <= 0.5 THEN 'partial' WHEN beta <= 0.2 THEN 'low'
-                   WHEN beta >= 0.8 THEN 'high' ELSE 'other' END AS state FROM ctx_one"""
+    SELECT *, CASE WHEN fi >= 0.5604250370335937 AND sd <= 0.26418485236146244 AND fh <= 0.2462720810967043 THEN 'partial'
+                   WHEN beta <= 0.28953450344841725 THEN 'low' WHEN beta >= 0.694195675252982 THEN 'high' ELSE 'other' END AS state FROM ctx_one"""
 CTE["state_runs"] = """
     SELECT sample_id, chrom, state, min(start) AS start, max(start) + 2 AS "end", count(*) AS n_points FROM (
         SELECT *, sum(fresh) OVER (PARTITION BY sample_id, chrom ORDER BY start) AS run FROM (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from spanframe.functions.draws import beta_quantiles, binomial_quantiles, digamma, gamma_quantiles, gamma_shape
 from spanframe.operators import cohort as M
 from spanframe.operators import randomize as Z
+from spanframe.operators import ranking as W
 from spanframe.operators.cleaning import labelled_samples
 from spanframe.operators.summaries import cohort_manifest
 
@@ -117,3 +118,33 @@ def test_placement_respects_limits(spark):
     for s, e in got:
         assert e - s >= 150_000 and (0 <= s < e <= 4_000_000 or 6_000_000 <= s < e <= 9_000_000)
     assert all(b[0] - a[1] >= 1_000_000 for a, b in zip(got, got[1:]))
+
+
+def test_shortfalls_raise(spark):
+    regions = spark.createDataFrame([("chr1", 0, 10, 2, 10), ("chr1", 20, 30, 1, 10)], "chrom string, start bigint, end bigint, sample_count bigint, length bigint")
+    assert W.recurrent_top(regions, 2).count() == 2
+    with pytest.raises(Exception, match="asked for 3 regions, found 2"):
+        W.recurrent_top(regions, 3).collect()
+    samples = spark.createDataFrame([(f"s{i}", f"p{i % 2}", "Primary Tumor") for i in range(10)], "sample string, project_id string, sample_type string")
+    with pytest.raises(ValueError, match="asked for 50 samples, found 10"):
+        Z.select_samples(samples, 50, 2)
+
+
+def test_components_of_samples_by_population_std(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    x = rng.random((12, 5))
+    df = spark.createDataFrame([(f"s{i}", *map(float, row)) for i, row in enumerate(x)], "sample_id string, a double, b double, c double, d double, e double")
+    out, ratios = M.sample_pca(df, list("abcde"))
+    z = (x - x.mean(0)) / x.std(0)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    want = {f"s{i}": abs(u[i, :2] * s[:2]) for i in range(12)}
+    for r in out.collect():
+        assert np.allclose([abs(r.pc1), abs(r.pc2)], want[r.sample_id])
+    assert np.allclose(ratios, (s ** 2 / (s ** 2).sum())[:2])
+
+
+def test_holdout_raises_on_missing_values(spark):
+    train = spark.createDataFrame([("a", 0.1, 0), ("b", None, 1)], "sample_id string, x double, label int")
+    with pytest.raises(ValueError, match="missing values"):
+        M.holdout_classifier(train, train, ["x"], ["n", "t"])

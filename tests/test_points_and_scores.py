@@ -1,6 +1,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -158,6 +159,23 @@ def test_context_near_tile_edges(spark):
         assert got[p].n_1000 == len(near) and abs(got[p].mean_1000 - sum(near) / len(near)) < 1e-9
 
 
+def test_context_in_wide_windows(spark):
+    rng = np.random.default_rng(1)
+    pos = sorted(set(rng.integers(0, 9_000_000, 400).tolist()))
+    beta = rng.random(len(pos)).round(3)
+    df = spark.createDataFrame([("s", "chr1", p, p + 2, float(b)) for p, b in zip(pos, beta)],
+                               "sample_id string, chrom string, start bigint, end bigint, beta double")
+    out = G.context_features(df, [500_000, 4_000_000])
+    assert "RangeFrame" not in out._jdf.queryExecution().toString()
+    at = np.array(pos)
+    for r in out.collect():
+        for w in (500_000, 4_000_000):
+            near = beta[abs(at - r.start) <= w // 2]
+            assert r[f"n_{w}"] == len(near) and abs(r[f"mean_{w}"] - near.mean()) < 1e-12 and abs(r[f"std_{w}"] - near.std()) < 1e-7
+            assert abs(r[f"fraction_high_{w}"] - (near > 0.8).mean()) < 1e-12
+            assert abs(r[f"fraction_intermediate_{w}"] - ((near >= 0.2) & (near <= 0.7)).mean()) < 1e-12
+
+
 def test_state_runs(spark):
     states = spark.createDataFrame([("s", "chr1", i * 10, x) for i, x in enumerate("aabbaaab")],
                                    "sample_id string, chrom string, start bigint, state string")
