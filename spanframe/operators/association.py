@@ -17,19 +17,19 @@ from spanframe.session import materialize
 NEAR_BP = 150_000
 # Metric name -> (analysis mode, threshold in bp).
 ASSOCIATION_METRICS = {
-    "pct_regions_overlapping": ("overlap", 0),
-    "pct_regions_overlapping_gte_150kb": ("overlap", NEAR_BP),
-    "avg_distance_to_nearest": ("distance", 0),
-    "avg_distance_to_nearest_boundary": ("distance", 0),
-    "avg_distance_to_nearest_boundary_non_overlapping": ("distance", 0),
-    "avg_features_per_overlapping_region": ("overlap", 0),
-    "avg_features_per_region": ("overlap", 0),
-    "pct_regions_with_boundary_within_150kb": ("distance", NEAR_BP),
-    "pct_non_overlapping_within_150kb": ("distance", NEAR_BP),
-    "pct_regions_sharing_feature": ("overlap", 0),
-    "region_coverage_by_features": ("overlap", 0),
-    "pct_features_overlapping": ("overlap", 0),
-    "feature_coverage_by_regions": ("overlap", 0),
+    "pct_regions_overlapping_lads": ("overlap", 0),
+    "pct_regions_overlapping_lads_gte_150kb": ("overlap", NEAR_BP),
+    "avg_distance_to_nearest_lad": ("distance", 0),
+    "avg_distance_to_nearest_lad_boundary": ("distance", 0),
+    "avg_distance_to_nearest_lad_boundary_non_overlapping": ("distance", 0),
+    "avg_lads_per_overlapping_pmd": ("overlap", 0),
+    "avg_lad_per_pmd": ("overlap", 0),
+    "pct_regions_with_boundary_within_150kb_of_lad_boundary": ("distance", NEAR_BP),
+    "pct_non_overlapping_regions_within_150kb_of_lad_boundary": ("distance", NEAR_BP),
+    "pct_regions_sharing_lad": ("overlap", 0),
+    "pmd_coverage_by_lads": ("overlap", 0),
+    "pct_lads_overlapping": ("overlap", 0),
+    "lad_coverage_by_pmds": ("overlap", 0),
 }
 
 
@@ -195,19 +195,19 @@ def association_scores(regions: DataFrame, features: DataFrame, keys: Sequence[s
         return F.coalesce(safe_divide(top, bottom), zero)
 
     values = {
-        "pct_regions_overlapping": (part("_hit", "_n"), F.col("_hit")),
-        "pct_regions_overlapping_gte_150kb": (part("_hit_long", "_n"), F.col("_hit_long")),
-        "avg_distance_to_nearest": (F.col("_d"), none),
-        "avg_distance_to_nearest_boundary": (F.col("_db"), none),
-        "avg_distance_to_nearest_boundary_non_overlapping": (F.col("_db_free"), none),
-        "avg_features_per_overlapping_region": (F.coalesce("_per_hit", zero), none),
-        "avg_features_per_region": (F.coalesce("_per", zero), none),
-        "pct_regions_with_boundary_within_150kb": (part("_near", "_has"), F.col("_near")),
-        "pct_non_overlapping_within_150kb": (part("_free_near", "_free_has"), F.col("_free_near")),
-        "pct_regions_sharing_feature": (part("_share", "_hit"), F.col("_share")),
-        "region_coverage_by_features": (part("_obp", "_bp"), none),
-        "pct_features_overlapping": (part("_features_hit", "_nf"), F.col("_features_hit")),
-        "feature_coverage_by_regions": (part("_obp", "_fbp"), none),
+        "pct_regions_overlapping_lads": (part("_hit", "_n"), F.col("_hit")),
+        "pct_regions_overlapping_lads_gte_150kb": (part("_hit_long", "_n"), F.col("_hit_long")),
+        "avg_distance_to_nearest_lad": (F.col("_d"), none),
+        "avg_distance_to_nearest_lad_boundary": (F.col("_db"), none),
+        "avg_distance_to_nearest_lad_boundary_non_overlapping": (F.col("_db_free"), none),
+        "avg_lads_per_overlapping_pmd": (F.coalesce("_per_hit", zero), none),
+        "avg_lad_per_pmd": (F.coalesce("_per", zero), none),
+        "pct_regions_with_boundary_within_150kb_of_lad_boundary": (part("_near", "_has"), F.col("_near")),
+        "pct_non_overlapping_regions_within_150kb_of_lad_boundary": (part("_free_near", "_free_has"), F.col("_free_near")),
+        "pct_regions_sharing_lad": (part("_share", "_hit"), F.col("_share")),
+        "pmd_coverage_by_lads": (part("_obp", "_bp"), none),
+        "pct_lads_overlapping": (part("_features_hit", "_nf"), F.col("_features_hit")),
+        "lad_coverage_by_pmds": (part("_obp", "_fbp"), none),
     }
     empty = F.col("_n").isNull()
     rows = F.array(*[

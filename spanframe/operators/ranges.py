@@ -511,10 +511,11 @@ def split_signal_overlaps(signal: DataFrame, keys: Sequence[str] = ()) -> DataFr
     """Overlapping value rows cut at every boundary, shared pieces get the mean of
     the values covering them, equal neighbours are joined.
 
-    Values are summed as exact decimals, so the running sum returns to zero.
+    Values are summed as exact decimals of 18 places (below 1e20), so the running
+    sum returns to zero.
     """
     part = _part(keys)
-    exact = signal.withColumn("_v", F.col("value").cast("decimal(20,9)"))
+    exact = signal.withColumn("_v", F.col("value").cast("decimal(38,18)"))
     up = F.struct(F.col("start").alias("pos"), F.lit(1).cast("bigint").alias("n"), F.col("_v").alias("v"))
     down = F.struct(F.col("end").alias("pos"), F.lit(-1).cast("bigint").alias("n"), (-F.col("_v")).alias("v"))
     changes = (exact.select(*part, F.explode(F.array(up, down)).alias("e")).select(*part, "e.*")
@@ -525,7 +526,7 @@ def split_signal_overlaps(signal: DataFrame, keys: Sequence[str] = ()) -> DataFr
               .where("_n > 0")
               .withColumn("value", F.try_divide(F.col("_v").cast("double"), F.col("_n"))))
     # touching pieces with the same value can still differ in depth (1+1 over 2, then 1 over 1)
-    joined = merge_intervals(pieces.withColumn("_key", F.round("value", 9)), [*keys, "_key"])
+    joined = merge_intervals(pieces.withColumn("_key", F.col("value")), [*keys, "_key"])
     return joined.withColumnRenamed("_key", "value").select(*part, "start", "end", "value")
 
 

@@ -65,7 +65,10 @@ def prefix_scan(df: DataFrame, part: Sequence[str], *, pos: str = "pos",
         carried.append(F.lead("_t_first").over(across).alias("_c_first"))
         final.append(F.coalesce("_w_next", "_c_first").alias(next_pos))
 
-    carry = tiled.groupBy(*part, "_tile").agg(*summary).select(*part, "_tile", *carried)
+    # a column that only one branch reads would be pruned from the other, and the exchange made twice
+    extra = [c for c in df.columns if c not in {*part, *sums, *maxes, *later_mins}]
+    carry = tiled.groupBy(*part, "_tile").agg(*summary, F.max(F.xxhash64(*extra)).alias("_x")).where("_x IS NOT NULL")
+    carry = carry.select(*part, "_tile", *carried)
     local = tiled.select(
         *tiled.columns,
         *[F.sum(c).over(within.rowsBetween(start, -1)).alias(f"_w_{c}") for c in sums],

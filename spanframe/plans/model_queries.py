@@ -82,36 +82,33 @@ def _(t):
     return Z.placement_segments(t.points, SMALL)
 
 
-def placed(t):
-    return materialize(Z.place_regions(Z.placement_segments(t.points, SMALL), SMALL), "placed")
-
-
-@query("place_regions", "R5", """
-    SELECT sample_id, chrom, CAST(least(10, greatest(sum(("end" - start + 20000) // 40000), 0)) > 0 AS BOOLEAN) AS placed, true AS ok
-    FROM segments GROUP BY sample_id, chrom""")
-def _(t):
-    p = placed(t)
-    segments = Z.placement_segments(t.points, SMALL).withColumn("_s", F.col("start")).withColumn("_e", F.col("end"))
-    inside = R.label_points(p, segments, ["sample_id"], ["_e"])
-    length = F.col("end") - F.col("start")
-    gaps = R.merge_intervals(p, ["sample_id"], SMALL["min_gap_bp"] - 1).groupBy("sample_id", "chrom").agg(F.count("*").alias("_m"))
-    return (inside.groupBy("sample_id", "chrom").agg(
-        F.count("*").alias("_n"), F.count_if(F.col("_e").isNull() | (F.col("end") > F.col("_e"))).alias("_out"),
-        F.count_if((length < SMALL["min_len_bp"]) | (length > SMALL["max_len_bp"])).alias("_len"))
-        .join(gaps, ["sample_id", "chrom"])
-        .select("sample_id", "chrom", (F.col("_n").between(1, 10)).alias("placed"),
-                ((F.col("_out") == 0) & (F.col("_len") == 0) & (F.col("_m") == F.col("_n"))).alias("ok")))
-
-
-@query("inject", "R6, B15", """
-    SELECT sample_id, count(*) AS n_before, count(*) AS n_after, CAST(0 AS BIGINT) AS n_changed_keys,
-           CAST(0 AS BIGINT) AS n_out_of_range, true AS ok FROM points GROUP BY sample_id""")
+CTE["changed"] = """
+    SELECT sample_id, chrom, start, "end", CASE WHEN sample_id = 'P' AND start % 900 = 0 THEN coverage + 1 ELSE coverage END AS coverage,
+           CASE WHEN sample_id = 'F' THEN coverage - meth WHEN sample_id = 'O' AND start % 700 = 0 THEN coverage + 1 ELSE meth END AS meth,
+           EXISTS (SELECT 1 FROM merged_features f WHERE f.chrom = p.chrom AND f.start <= p.start AND p.start < f."end") AS in_truth FROM points p"""
+
+
+@query("injection_checks", "B15", """
+    WITH d AS (SELECT sample_id, count(*) AS n FROM (
+             SELECT sample_id, chrom, start, "end", coverage, sum(d) AS d FROM (
+                 SELECT sample_id, chrom, start, "end", coverage, 1 AS d FROM points UNION ALL
+                 SELECT sample_id, chrom, start, "end", coverage, -1 FROM changed) GROUP BY ALL HAVING sum(d) <> 0) GROUP BY sample_id),
+         b AS (SELECT sample_id, count(*) AS n_before FROM points GROUP BY sample_id),
+         c AS (SELECT sample_id, count(*) AS n_after, count(*) FILTER (in_truth) AS n_modified,
+                      count(*) FILTER (meth < 0 OR meth > coverage) AS n_out_of_range,
+                      round(avg(meth / coverage) FILTER (in_truth), 9) AS mean_beta_after FROM changed GROUP BY sample_id)
+    SELECT sample_id, n_before, n_after, n_modified, coalesce(d.n, 0) AS n_changed_keys, n_out_of_range, mean_beta_after,
+           (SELECT count(*) FROM merged_features) AS n_truth, n_before = n_after AND d.n IS NULL AND n_out_of_range = 0 AND n_modified > 0 AS ok
+    FROM b JOIN c USING (sample_id) LEFT JOIN d USING (sample_id)""")
 def _(t):
-    truth = placed(t)
-    spikes = Z.noise_spikes(truth, {"min_region_len_bp": 40_000, "spike_len_max_bp": 8_000})
-    after = materialize(Z.inject(t.points, truth, 42, spikes), "injected")
-    return Z.injection_checks(t.points, after, truth).select(
-        "sample_id", "n_before", "n_after", "n_changed_keys", "n_out_of_range", "ok")
+    # one sample changed as it should be, one with values out of range, one with other coverage
+    truth = t.merged_features.select(F.explode(F.array(*[F.lit(x) for x in "FOP"])).alias("sample_id"), "chrom", "start", "end")
+    marked = R.label_points(t.points, truth.withColumn("in_truth", F.lit(True)), ["sample_id"], ["in_truth"])
+    after = marked.select(
+        "sample_id", "chrom", "start", "end", F.expr("IF(sample_id = 'P' AND start % 900 = 0, coverage + 1, coverage)").alias("coverage"),
+        F.expr("CASE WHEN sample_id = 'F' THEN coverage - meth WHEN sample_id = 'O' AND start % 700 = 0 THEN coverage + 1 ELSE meth END").alias("meth"),
+        F.coalesce("in_truth", F.lit(False)).alias("in_truth"))
+    return rounded(Z.injection_checks(t.points, after, truth), 9, "mean_beta_after").drop("mean_beta_before")
 
 
 def wide_sizes(t):
@@ -199,15 +196,6 @@ def _(t):
     return Z.select_samples(t.samples, 60, 5).select("sample", "project_id")
 
 
-@query("random_search_configs", "R15")
-def _(t):
-    configs = Z.random_search_configs(t.spark, 25)
-    lengths = t.merged.withColumn("_l", F.col("end") - F.col("start"))
-    # 25 parameter sets, each applied to all regions
-    return (lengths.join(F.broadcast(configs), lengths["_l"] >= configs["min_len_bp"])
-            .groupBy(*configs.columns).agg(F.count("*").alias("n_regions"), F.sum("_l").alias("bp")))
-
-
 # --------------------------------------------------------------------- cohorts
 
 CTE["observed"] = """

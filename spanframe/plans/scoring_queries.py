@@ -298,19 +298,19 @@ CTE["lad_agg"] = """
            (SELECT count(*) FROM lads) AS nf, (SELECT sum("end" - start) FROM lads) AS fbp
     FROM lad_detail d GROUP BY d.sample_id, d.tool"""
 _ROWS = [
-    ("pct_regions_overlapping", "overlap", 0, "hit / n", "hit"),
-    ("pct_regions_overlapping_gte_150kb", "overlap", 150000, "hit_long / n", "hit_long"),
-    ("avg_distance_to_nearest", "distance", 0, "d", "NULL"),
-    ("avg_distance_to_nearest_boundary", "distance", 0, "db", "NULL"),
-    ("avg_distance_to_nearest_boundary_non_overlapping", "distance", 0, "dbf", "NULL"),
-    ("avg_features_per_overlapping_region", "overlap", 0, "coalesce(ph, 0)", "NULL"),
-    ("avg_features_per_region", "overlap", 0, "p", "NULL"),
-    ("pct_regions_with_boundary_within_150kb", "distance", 150000, "coalesce(near / nullif(has, 0), 0)", "near"),
-    ("pct_non_overlapping_within_150kb", "distance", 150000, "coalesce(fnear / nullif(fhas, 0), 0)", "fnear"),
-    ("pct_regions_sharing_feature", "overlap", 0, "coalesce(sh / nullif(hit, 0), 0)", "sh"),
-    ("region_coverage_by_features", "overlap", 0, "obp / rbp", "NULL"),
-    ("pct_features_overlapping", "overlap", 0, "fh / nf", "fh"),
-    ("feature_coverage_by_regions", "overlap", 0, "obp / fbp", "NULL"),
+    ("pct_regions_overlapping_lads", "overlap", 0, "hit / n", "hit"),
+    ("pct_regions_overlapping_lads_gte_150kb", "overlap", 150000, "hit_long / n", "hit_long"),
+    ("avg_distance_to_nearest_lad", "distance", 0, "d", "NULL"),
+    ("avg_distance_to_nearest_lad_boundary", "distance", 0, "db", "NULL"),
+    ("avg_distance_to_nearest_lad_boundary_non_overlapping", "distance", 0, "dbf", "NULL"),
+    ("avg_lads_per_overlapping_pmd", "overlap", 0, "coalesce(ph, 0)", "NULL"),
+    ("avg_lad_per_pmd", "overlap", 0, "p", "NULL"),
+    ("pct_regions_with_boundary_within_150kb_of_lad_boundary", "distance", 150000, "coalesce(near / nullif(has, 0), 0)", "near"),
+    ("pct_non_overlapping_regions_within_150kb_of_lad_boundary", "distance", 150000, "coalesce(fnear / nullif(fhas, 0), 0)", "fnear"),
+    ("pct_regions_sharing_lad", "overlap", 0, "coalesce(sh / nullif(hit, 0), 0)", "sh"),
+    ("pmd_coverage_by_lads", "overlap", 0, "obp / rbp", "NULL"),
+    ("pct_lads_overlapping", "overlap", 0, "fh / nf", "fh"),
+    ("lad_coverage_by_pmds", "overlap", 0, "obp / fbp", "NULL"),
 ]
 
 

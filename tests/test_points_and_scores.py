@@ -144,7 +144,7 @@ def test_association_zero_regions(spark):
     callers = spark.createDataFrame([("s", "t"), ("s", "silent")], "sample_id string, tool string")
     got = L.association_scores(regions, feats, callers=callers).collect()
     assert {r.score for r in got if r.tool == "silent"} == {0.0} and len(got) == 26
-    assert {r.metric: r.score for r in got if r.tool == "t"}["pct_regions_overlapping"] == 1.0
+    assert {r.metric: r.score for r in got if r.tool == "t"}["pct_regions_overlapping_lads"] == 1.0
 
 
 def test_context_near_tile_edges(spark):

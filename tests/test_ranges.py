@@ -180,3 +180,11 @@ def test_one_heavy_position(spark):
     assert len(joined) == 20_000 and ("x", "chr1", 77, 85) in joined
     totals = R.overlap_totals(heavy.limit(1), both, ["k"]).first()
     assert totals.n_overlaps == 10_001
+
+
+@pytest.mark.parametrize("name", ["overlaps_any", "overlaps_none", "exclude_near", "states_to_regions"])
+def test_scans_share_their_exchange(spark, name):
+    import __spark_entry__ as entry
+    out = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
