@@ -18,6 +18,12 @@ from spanframe.session import materialize
 ROLLING, LONGEST, LEAST_CHARS = 3, 8, 100
 
 _KEY = ["doc_id", "text_hash"]
+#: Hash residues that at most go out as a broadcast, to tell which texts need a join.
+RESIDUES = 1 << 20
+
+
+def _residue(text_hash: Column | str) -> Column:
+    return F.pmod(F.xxhash64(text_hash), F.lit(RESIDUES)).cast("int")
 
 
 def _lines(text: Column) -> Column:
@@ -26,14 +32,14 @@ def _lines(text: Column) -> Column:
 
 def _chunks(lines: Column, rolling: int, longest: int, least_chars: int) -> Column:
     """Array of (first, last, hash) over an array of lines; last is inclusive."""
-    hashes = F.transform(lines, F.md5)
-    # for each rolling hash: is there a cut after line j (1 <= j)
+    # arrays of one element: what stands in them is evaluated once, not again for each use
+    hashed = F.array(F.struct(F.transform(lines, F.md5).alias("h"), F.transform(lines, F.length).alias("n")))
 
-    def cut(s: int) -> Column:
-        return F.transform(hashes, lambda h, j: F.substring(F.md5(F.concat(F.get(hashes, j - 1), h, F.lit(str(s)))), 32, 1).isin(*"02468ace"))
+    def with_cuts(y: Column) -> Column:
+        def cut(s: int) -> Column:  # for each line: does a chunk end there by rolling hash s
+            return F.transform(y["h"], lambda h, j: F.substring(F.md5(F.concat(F.get(y["h"], j - 1), h, F.lit(str(s)))), 32, 1).isin(*"02468ace"))
 
-    cuts = [cut(s) for s in range(rolling)]
-    parts = F.struct(hashes.alias("h"), F.transform(lines, F.length).alias("n"), *[c.alias(f"c{s}") for s, c in enumerate(cuts)])
+        return F.struct(y["h"].alias("h"), y["n"].alias("n"), *[cut(s).alias(f"c{s}") for s in range(rolling)])
 
     def of(x: Column) -> Column:
         top = F.size(x["h"]) - 1
@@ -55,8 +61,7 @@ def _chunks(lines: Column, rolling: int, longest: int, least_chars: int) -> Colu
         every = F.when(top >= 1, F.flatten(F.transform(F.sequence(F.lit(0), top - 1), made)))
         return F.filter(every, lambda c: c["chars"] + c["last"] - c["first"] >= least_chars)
 
-    # the one-element array evaluates the parts once for all chunks
-    return F.flatten(F.transform(F.array(parts), of))
+    return F.flatten(F.transform(F.transform(hashed, with_cuts), of))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rolling: int = ROLLING, longest: int = LONGEST,
@@ -65,7 +70,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rol
 
     Hashes and places of all chunks are written once. Counts per hash are made
     before the shuffle; a hot chunk's places meet its first place in a plain
-    join. Only texts with repeated chunks are read again for the comparison.
+    join. Only texts with repeated chunks are shuffled for the comparison: a
+    broadcast of at most RESIDUES hash residues holds back most others.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     chunks = base.select(*_KEY, F.explode(_chunks(_lines(F.col("text")), rolling, longest, least_chars)).alias("c"))
@@ -75,8 +81,10 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rol
     often = chunks.groupBy("hash").agg(F.min(place).alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
     places = chunks.join(often, "hash").withColumn("won", place == F.col("winner"))
     wanted = places.groupBy(*_KEY).agg(F.collect_list(F.struct("hash", "first", "last", "won")).alias("own"))
+    wanted = materialize(wanted, "repeats")
     k = wanted.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "own")
-    met = base.dropDuplicates(_KEY).join(k, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")))
+    likely = base.withColumn("residue", _residue("text_hash")).join(F.broadcast(k.select(_residue("h").alias("residue")).distinct()), "residue", "left_semi")
+    met = likely.select(*_KEY, "text").dropDuplicates(_KEY).join(k, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")))
     pieces = met.select(*_KEY, _lines(F.col("text")).alias("lines"), F.explode("own").alias("o")).select(
         *_KEY, "o.hash", "o.first", "o.last", "o.won",
         F.array_join(F.slice("lines", F.col("o.first") + 1, F.col("o.last") - F.col("o.first") + 1), "\n").alias("piece"))
@@ -98,8 +106,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", det
     replace columns of these names. An empty table gives an empty table.
     """
     gone = repeated_lines(docs, key, text, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
-    met = docs.withColumn("_key", F.xxhash64(F.col(text)))
-    met = met.join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
+    gone = materialize(gone, "gone")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(text))).withColumn("_residue", _residue("_key"))
+    # texts that lose nothing, all but a few of them, do not take part in the join
+    some = F.broadcast(gone.select(_residue("_hash").alias("_residue")).distinct())
+    joined = keyed.join(some, "_residue", "left_semi").join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns] + [F.col("_gone")]
+    met = joined.select(*names).unionAll(keyed.join(some, "_residue", "left_anti").withColumn("_gone", F.lit(None).cast("array<int>")).select(*names))
     lines = _lines(F.col(text))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
