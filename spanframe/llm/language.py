@@ -106,6 +106,8 @@ class Models:
 
     def losses(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Negative log-likelihood of each word under each language."""
+        if not self.languages:
+            return np.zeros((len(starts), 0))
         symbols, place = _padded((points, starts, ends))
         hashes = gram_hashes(symbols)
         unknown = np.full((len(symbols), len(self.languages)), -np.log(ALPHABET), np.float32)
