@@ -364,7 +364,7 @@ def null_summary(observed: DataFrame, null_values: DataFrame, keys: Sequence[str
 # ------------------------------------------------------------- random regions
 
 def randomize_globally(regions: DataFrame, points: DataFrame, seed: int = 42, keys: Sequence[str] = ("sample_id", "tool"),
-                       tries: Sequence[int] = (8, 64, 512)) -> DataFrame:
+                       tries: Sequence[int] = (8, 64, 512, 4416)) -> DataFrame:
     """A random place of the same length for every region, within the observed
     bounds of its chromosome and clear of the original regions.
 
@@ -441,13 +441,16 @@ def fit_gamma_lengths(regions: DataFrame) -> dict:
 
 
 def random_matched_regions(reference: DataFrame, excluded: DataFrame, sizes: DataFrame, points: DataFrame, n: int,
-                           draws: int = 1, seed: int = 42, min_points: int = 1, attempts: int = 32) -> DataFrame:
+                           draws: int = 1, seed: int = 42, min_points: int = 1, attempts: int = 256, batch: int = 16) -> DataFrame:
     """``n`` random regions per draw: chromosomes by reference frequency, gamma
     lengths, anchored on an observed point of the allowed pool, at least
     ``min_points`` points, none overlapping another of its draw.
 
-    Spark makes and checks all candidates (draw, slot, attempt); a group of one
-    draw then takes the first fitting candidate per slot, at most n * attempts rows.
+    Each attempt first takes an anchor of the drawn chromosome and, should that
+    not fit, one of any chromosome. Rounds of ``batch`` attempts make candidates
+    for the slots still open only; a slot takes its first one clear of all
+    accepted regions, and of new ones that overlap the lowest slot stays while
+    the others try again. A slot open after ``attempts`` raises.
     """
     fit = fit_gamma_lengths(reference)
     pool = materialize(complement(excluded, sizes.select(
@@ -458,52 +461,60 @@ def random_matched_regions(reference: DataFrame, excluded: DataFrame, sizes: Dat
     anchors = materialize(ranked(inside.withColumn("_t", F.shiftright("start", 20)), ["chrom"], ["start"], block="_t",
                                  name="rank").select("chrom", "rank", F.col("start").alias("anchor"), "pool_start", "pool_end"),
                           "anchors")
-    # cumulative chromosome frequencies and anchor counts: one row per chromosome
-    per_chrom = (reference.groupBy("chrom").agg(F.count("*").alias("w"))
-                 .join(anchors.groupBy("chrom").agg(F.max("rank").alias("n_anchors")), "chrom"))
-    table = per_chrom.agg(F.array_sort(F.collect_list(F.struct("chrom", "w", "n_anchors"))).alias("c"))
-    total = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + x.w)
-    spark = reference.sparkSession
-    slots = (spark.range(draws).withColumnRenamed("id", "draw")
-             .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-             .withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))))
-    key = ["draw", "slot", "attempt"]
-    target = F.floor(unit_hash(f"{seed}-c", *key) * F.col("total")).cast("bigint")
+    # chromosome frequencies and anchor counts: one row per chromosome, as one array
+    counted = anchors.groupBy("chrom").agg(F.max("rank").alias("n_anchors"))
+    table = materialize(counted.join(reference.groupBy("chrom").agg(F.count("*").alias("w")), "chrom", "left").na.fill(0, ["w"])
+                        .agg(F.array_sort(F.collect_list(F.struct("chrom", "w", "n_anchors"))).alias("c")), "chromosomes")
+    observed = points.select("chrom", "start").distinct()
+    open_slots = materialize(reference.sparkSession.range(draws).withColumnRenamed("id", "draw")
+                             .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), "slots")
+    accepted = None
+    for first in range(0, 2 * attempts, 2 * batch):
+        last = min(first + 2 * batch, 2 * attempts) - 1
+        candidates = _matched_candidates(open_slots, first, last, table, anchors, fit, seed)
+        fitting = count_points(materialize(candidates, "candidates"), observed, (), name="n_points").where(F.col("n_points") >= min_points)
+        if accepted is not None:
+            fitting = mark_overlaps(fitting, accepted.select("draw", "chrom", "start", "end"), ["draw"], name="_hit").where("NOT _hit")
+        chosen = fitting.groupBy("draw", "slot").agg(F.min_by(F.struct("chrom", "start", "end", "n_points"), "try").alias("p"))
+        chosen = materialize(chosen.select("draw", "slot", "p.*"), "chosen")
+        clusters = merge_intervals(chosen, ["draw"], -1).withColumn("_cluster", F.col("start"))
+        marked = label_points(chosen, clusters, ["draw"], ["_cluster"])
+        new = marked.groupBy("draw", "chrom", "_cluster").agg(F.min(F.struct("slot", "start", "end", "n_points")).alias("p"))
+        new = new.select("draw", "p.slot", "chrom", "p.start", "p.end", "p.n_points")
+        accepted = materialize(new if accepted is None else accepted.unionByName(new), "accepted")
+        open_slots = materialize(open_slots.join(accepted.select("draw", "slot"), ["draw", "slot"], "left_anti"), "slots")
+        if open_slots.isEmpty():
+            return accepted
+    raise ValueError(f"{open_slots.count()} random regions found no place in {attempts} attempts")
+
+
+def _matched_candidates(slots: DataFrame, first: int, last: int, table: DataFrame, anchors: DataFrame, fit: dict, seed: int) -> DataFrame:
+    """Candidates (draw, slot, try) for tries ``first`` to ``last``; odd tries take any chromosome."""
+    key = ["draw", "slot", "try"]
+    anywhere = F.col("try") % 2 == 1
+    drawn = [F.col("draw"), F.col("slot"), F.shiftright("try", 1).alias("attempt")]
+    u = {x: unit_hash(f"{seed}-{x}", *drawn) for x in "cl"} | {x: unit_hash(f"{seed}-{x}", *key) for x in "as"}
+
+    def weight(x: Column) -> Column:
+        return F.when(anywhere, x.n_anchors).otherwise(x.w)
+
+    total = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + weight(x))
     pick = F.aggregate(
         "c", F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("string").alias("chrom"),
                       F.lit(None).cast("bigint").alias("n_anchors")),
-        lambda acc, x: F.when(acc.chrom.isNull() & (acc.seen + x.w > F.col("target")),
-                              F.struct((acc.seen + x.w).alias("seen"), x.chrom.alias("chrom"), x.n_anchors.alias("n_anchors")))
-        .otherwise(F.struct((acc.seen + x.w).alias("seen"), acc.chrom.alias("chrom"), acc.n_anchors.alias("n_anchors"))))
-    drawn = gamma_draw(unit_hash(f"{seed}-l", *key), fit["shape"], fit["scale"])
-    length = F.least(F.greatest(F.rint(drawn), F.lit(fit["min_length"])), F.lit(fit["max_length"])).cast("bigint")
-    asked = (slots.crossJoin(F.broadcast(table))  # one row: an array with an entry per chromosome
-             .withColumn("total", total).withColumn("target", target).withColumn("p", pick)
+        lambda acc, x: F.when(acc.chrom.isNull() & (acc.seen + weight(x) > F.col("target")),
+                              F.struct((acc.seen + weight(x)).alias("seen"), x.chrom.alias("chrom"), x.n_anchors.alias("n_anchors")))
+        .otherwise(F.struct((acc.seen + weight(x)).alias("seen"), acc.chrom.alias("chrom"), acc.n_anchors.alias("n_anchors"))))
+    length = F.least(F.greatest(F.rint(gamma_draw(u["l"], fit["shape"], fit["scale"])), F.lit(fit["min_length"])), F.lit(fit["max_length"])).cast("bigint")
+    asked = (slots.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(last)))).crossJoin(F.broadcast(table))  # one row
+             .withColumn("target", F.floor(u["c"] * total).cast("bigint")).withColumn("p", pick)
              .select(*key, F.col("p.chrom").alias("chrom"), length.alias("length"),
-                     (F.floor(unit_hash(f"{seed}-a", *key) * F.col("p.n_anchors")) + 1).cast("bigint").alias("rank")))
+                     (F.floor(u["a"] * F.col("p.n_anchors")) + 1).cast("bigint").alias("rank")))
     low = F.greatest("pool_start", F.col("anchor") - F.col("length") + 1)
     high = F.least(F.col("pool_end") - F.col("length"), F.col("anchor"))
-    placed = (asked.join(anchors, ["chrom", "rank"]).withColumn("_lo", low).withColumn("_hi", high).where("_lo <= _hi")
-              .withColumn("start", F.col("_lo") + F.floor(unit_hash(f"{seed}-s", *key) * (F.col("_hi") - F.col("_lo") + 1)).cast("bigint"))
-              .withColumn("end", F.col("start") + F.col("length")).select(*key, "chrom", "start", "end"))
-    fitting = count_points(materialize(placed, "candidates"), points.select("chrom", "start").distinct(), (),
-                           name="n_points").where(F.col("n_points") >= min_points)
-
-    def choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[str, list[tuple[int, int]]] = {}
-        rows, done = [], set()
-        for r in group.sort_values(["slot", "attempt"]).itertuples(index=False):
-            if r.slot in done or any(r.start < e and s < r.end for s, e in taken.get(r.chrom, [])):
-                continue
-            taken.setdefault(r.chrom, []).append((r.start, r.end))
-            done.add(r.slot)
-            rows.append((key[0], r.slot, r.chrom, r.start, r.end, r.n_points))
-        if len(rows) < n:
-            raise ValueError(f"draw {key[0]}: placed {len(rows)} of {n} random regions")
-        return pd.DataFrame(rows, columns=["draw", "slot", "chrom", "start", "end", "n_points"])
-
-    return fitting.groupBy("draw").applyInPandas(
-        choose, "draw bigint, slot int, chrom string, start bigint, end bigint, n_points bigint")
+    return (asked.join(anchors, ["chrom", "rank"]).withColumn("_lo", low).withColumn("_hi", high).where("_lo <= _hi")
+            .withColumn("start", F.col("_lo") + F.floor(u["s"] * (F.col("_hi") - F.col("_lo") + 1)).cast("bigint"))
+            .withColumn("end", F.col("start") + F.col("length")).select(*key, "chrom", "start", "end"))
 
 
 def sample_regions(regions: DataFrame, n: int, seed: int = 42, part: Sequence[str] = ()) -> DataFrame:
