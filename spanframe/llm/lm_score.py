@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm.batches import lower_ascii, row_slices, texts, word_hashes, word_spans
+from spanframe.llm.topk import commonest
 from spanframe.session import materialize, ship_package
 
 #: Words with an id of their own; classes for the rest. With the start mark, V = WORDS + CLASSES + 1 fits 11 bits.
@@ -45,7 +46,7 @@ def vocabulary(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.nd
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).toArrow().column("word").to_numpy()
+    top = commonest(materialize(counts, "words"), "word", "n", words).toArrow().column("word").to_numpy()
     return np.sort(top.astype(np.int64).view(np.uint64))
 
 
@@ -135,7 +136,8 @@ def fit(coded: DataFrame, target: DataFrame, known: np.ndarray, classes: int = C
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(both[0, own].astype(np.int64)), pa.array(both[1, own].astype(np.int64))],
                                              names=["pair", "n", "chosen"])
 
-    joined = coded.join(wanted, "doc_id", "left").select("ids", "chosen")
+    # one plan at every size: a target as large as the corpus must not depend on what still fits a broadcast
+    joined = coded.join(wanted.hint("merge"), "doc_id", "left").select("ids", "chosen")
     sums = joined.mapInArrow(run, "pair int, n long, chosen long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("chosen").alias("chosen"))
     got = sums.toArrow()
     pair = got.column("pair").to_numpy()
