@@ -406,8 +406,15 @@ def randomize_globally(regions: DataFrame, points: DataFrame, seed: int = 42, ke
 
 def randomized_summary(originals: DataFrame, randomized: DataFrame, points: DataFrame,
                        keys: Sequence[str] = ("sample_id", "tool")) -> DataFrame:
-    """Counts that show what a randomisation preserved and how much it overlaps."""
+    """Counts that show what a randomisation preserved and how much it overlaps, and
+    whether every chromosome has as many regions, and every length, as before."""
     keys = list(keys)
+
+    def preserved(name: str, what: Column) -> DataFrame:
+        both = originals.select(*keys, what.alias("_w"), F.lit(1).alias("_d")).unionByName(randomized.select(*keys, what.alias("_w"), F.lit(-1).alias("_d")))
+        return (both.groupBy(*keys, "_w").agg(F.sum("_d").alias("_d")).groupBy(*keys)
+                .agg((F.count_if(F.col("_d") != 0) == 0).alias(name)))
+
     bounds = points.groupBy("chrom").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
     bp = F.sum(F.col("end") - F.col("start"))
     a = originals.groupBy(*keys).agg(F.count("*").alias("n_original"), bp.alias("original_bp"))
@@ -417,7 +424,8 @@ def randomized_summary(originals: DataFrame, randomized: DataFrame, points: Data
         F.count_if((F.col("start") >= F.col("lo")) & (F.col("end") <= F.col("hi"))).alias("n_in_bounds"),
         F.count_if(F.col("_o") > 0).alias("n_overlapping"),
         F.count_if(F.col("placement_mode") == "best_effort_overlap").alias("n_best_effort"), F.sum("_o").alias("overlap_bp"))
-    return a.join(b, keys, "left")
+    return (a.join(b, keys, "left").join(preserved("chromosomes_preserved", F.col("chrom")), keys, "left")
+            .join(preserved("lengths_preserved", F.col("end") - F.col("start")), keys, "left"))
 
 
 def length_statistics(regions: DataFrame) -> DataFrame:

@@ -227,7 +227,8 @@ def bp_precision_recall(truth: DataFrame, calls: DataFrame, keys: Sequence[str]
 
 def classification_metrics(predictions: DataFrame, keys: Sequence[str], positive="Tumor", y_true: str = "y_true",
                            y_pred: str = "y_pred", y_score: str = "y_score") -> DataFrame:
-    """Balanced accuracy, macro F1, MCC, average precision and ROC AUC per group.
+    """Balanced accuracy, macro F1, MCC, average precision and ROC AUC per group,
+    and the same five for always saying positive.
 
     The ranked scores come from counts per distinct score and a tiled running
     sum, so ties are exact and no group is sorted in one task. With one class
@@ -243,14 +244,19 @@ def classification_metrics(predictions: DataFrame, keys: Sequence[str], positive
     sensitivity, specificity = safe_divide(tp, tp + fn), safe_divide(tn, tn + fp)
     f1_pos = F.coalesce(safe_divide(2 * tp, 2 * tp + fp + fn), zero)
     f1_neg = F.coalesce(safe_divide(2 * tn, 2 * tn + fn + fp), zero)
+    positives, negatives = tp + fn, fp + tn
     root = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     base = counts.select(
         *keys, "tp", "fp", "fn", "tn",
         F.coalesce((sensitivity + specificity) / 2, sensitivity, specificity).alias("balanced_accuracy"),
         ((f1_pos + f1_neg) / 2).alias("macro_f1"),
         F.coalesce(safe_divide(tp * tn - fp * fn, root), zero).alias("mcc"),
-        # a classifier that always says positive: AP is the positive share
-        safe_divide(tp + fn, tp + fp + fn + tn).alias("always_positive_average_precision"))
+        # a classifier that always says positive
+        safe_divide(positives, positives + negatives).alias("always_positive_average_precision"),
+        F.when((positives > 0) & (negatives > 0), 0.5).when(positives > 0, 1.0).otherwise(0.0).alias("always_positive_balanced_accuracy"),
+        F.when(negatives == 0, 1.0).otherwise(positives / (2 * positives + negatives)).alias("always_positive_macro_f1"),
+        zero.alias("always_positive_mcc"),
+        F.when((positives > 0) & (negatives > 0), 0.5).alias("always_positive_roc_auc"))
 
     per_score = predictions.groupBy(*keys, (-F.col(y_score)).alias("pos")).agg(
         F.count_if(is_pos).alias("p"), F.count_if(~is_pos).alias("n"))

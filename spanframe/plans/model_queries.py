@@ -142,11 +142,12 @@ def _(t):
 
 @query("randomize_globally", "R10", """
     SELECT sample_id, tool, count(*) AS n_original, CAST(sum("end" - start) AS BIGINT) AS original_bp, count(*) AS n_randomized,
-           CAST(sum("end" - start) AS BIGINT) AS randomized_bp, count(*) AS n_in_bounds FROM merged GROUP BY ALL""")
+           CAST(sum("end" - start) AS BIGINT) AS randomized_bp, count(*) AS n_in_bounds, true AS chromosomes_preserved,
+           true AS lengths_preserved FROM merged GROUP BY ALL""")
 def _(t):
     moved = materialize(Z.randomize_globally(t.merged, t.points), "moved")
     return Z.randomized_summary(t.merged, moved, t.points).select(
-        *ST, "n_original", "original_bp", "n_randomized", "randomized_bp", "n_in_bounds")
+        *ST, "n_original", "original_bp", "n_randomized", "randomized_bp", "n_in_bounds", "chromosomes_preserved", "lengths_preserved")
 
 
 @query("length_statistics", "R11", """

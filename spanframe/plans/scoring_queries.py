@@ -408,11 +408,15 @@ def preds(t):
            round((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn)
                  / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 9) AS mcc,
            round((tp + fn) / (tp + fp + fn + tn), 9) AS always_positive_average_precision,
+           CASE WHEN tp + fn = 0 THEN CAST(0 AS DOUBLE) WHEN fp + tn = 0 THEN 1 ELSE 0.5 END AS always_positive_balanced_accuracy,
+           CASE WHEN fp + tn = 0 THEN 1.0 ELSE round((tp + fn) / (2 * (tp + fn) + fp + tn), 9) END AS always_positive_macro_f1,
+           CAST(0 AS DOUBLE) AS always_positive_mcc,
+           CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN CAST(0.5 AS DOUBLE) END AS always_positive_roc_auc,
            round(ap, 9) AS average_precision, round(auc, 9) AS roc_auc
     FROM c JOIN a ON a.fold = c.fold""")
 def _(t):
     out = B.classification_metrics(preds(t), ["fold"])
-    return rounded(out, 9, "balanced_accuracy", "macro_f1", "mcc", "always_positive_average_precision",
+    return rounded(out, 9, "balanced_accuracy", "macro_f1", "mcc", "always_positive_average_precision", "always_positive_macro_f1",
                    "average_precision", "roc_auc")
 
 
