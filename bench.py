@@ -16,7 +16,7 @@ from spanframe.plans.registry import Tables
 from spanframe.session import local_session
 
 HEADLINE = [
-    "merge_intervals", "overlap_pairs", "subtract", "overlaps_any", "points_in_any_region", "overlap_metrics",
+    "merge_intervals", "overlap_pairs", "subtract", "overlaps_any", "points_in_any_region", "points_with_features", "overlap_metrics",
     "pairwise_matrices", "consensus_regions", "annotate_with_sources", "region_context", "region_mean",
     "collapse_duplicates", "region_features", "region_resolution", "point_confusion", "nearest_feature",
     "association_scores", "tag_intervals", "context_features", "states_to_regions", "group_kfold", "permute_null",
