@@ -20,7 +20,7 @@ WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 #: Matrix cells that are worked on at once.
 CELLS = 1 << 18
 #: Pieces whose result a worker keeps; when full, it starts anew. Speed only.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 120_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -91,7 +91,7 @@ class Encoder:
         self.kept: dict[bytes, tuple] = {}
 
     def pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple]:
-        """(ids, their decimal text, decoded bytes) of each byte span."""
+        """(number of ids, their decimal text, decoded bytes) of each byte span."""
         raw = data.tobytes()
         keys = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         if len(self.kept) > KEPT_PIECES:
@@ -99,7 +99,8 @@ class Encoder:
         kept = self.kept
         new = np.array([i for i, k in enumerate(keys) if k not in kept], np.int64)
         for i, ids in zip(new.tolist(), self.encode_spans(data, starts[new], ends[new])):
-            kept[keys[i]] = ids, ",".join([self.names[x] for x in ids]), self.decode(ids)
+            plain = self.decode(ids)
+            kept[keys[i]] = len(ids), ",".join([self.names[x] for x in ids]), keys[i] if plain == keys[i] else plain
         return [kept[k] for k in keys]
 
     def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, ...]]:
@@ -214,12 +215,12 @@ def encode_batch(batch: pa.RecordBatch, column: str, encoder: Encoder, splitter:
     counts = np.zeros(n, np.int64)
     id_sums, text_sums = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
     lists: list[list[int]] | None = [[] for _ in range(n)] if with_ids else None
-    for rows, body, starts, ends, _, _ in pieces(data, marks, splitter, SLICE_BYTES):
+    for rows, body, starts, ends, _, _ in pieces(data, marks, splitter, SLICE_BYTES // 2):
         if not len(starts):
             continue
         first, back = distinct(body, starts, ends)
         coded = encoder.pieces(body, starts[first], ends[first])
-        sizes = np.array([len(c[0]) for c in coded], np.int64)
+        sizes = np.array([c[0] for c in coded], np.int64)
         names, plain = np.empty(len(coded), object), np.empty(len(coded), object)
         names[:] = [c[1] for c in coded]
         plain[:] = [c[2] for c in coded]
@@ -235,7 +236,7 @@ def encode_batch(batch: pa.RecordBatch, column: str, encoder: Encoder, splitter:
             counts[row] += k
             if lists is not None:
                 for p in back[a:b].tolist():
-                    lists[row].extend(coded[p][0])
+                    lists[row].extend(map(int, coded[p][1].split(",")))
     return counts, [h.hexdigest() for h in id_sums], [h.hexdigest() for h in text_sums], lists
 
 
