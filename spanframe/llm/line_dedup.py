@@ -6,6 +6,11 @@ at the first line at or after the next where that hash is even (or after
 ``longest`` lines). So a chunk is settled by its own lines alone, wherever they
 stand in a document. Chunks that stand at more than one place are compared byte
 by byte with the first place, and then removed everywhere else.
+
+With ``whole`` the chunks are instead the shortest runs of ``least_chars``
+characters that start, and those that end, at each line; one line may do. Every
+line of a repeated passage of that length lies in one that is inside the
+passage, so the whole passage is found, whatever stands around it.
 """
 
 from __future__ import annotations
@@ -64,8 +69,44 @@ def _chunks(lines: Column, rolling: int, longest: int, least_chars: int) -> Colu
     return F.flatten(F.transform(F.transform(hashed, with_cuts), of))
 
 
+def _runs(lines: Column, least_chars: int) -> Column:
+    """Like ``_chunks``: for each line the shortest run of ``least_chars`` characters or more from it on, and the one up to it."""
+    hashed = F.array(F.struct(F.transform(lines, F.md5).alias("h"), F.transform(lines, F.length).alias("n")))
+
+    def of(x: Column) -> Column:
+        top = F.size(x["h"]) - 1
+
+        def steps(own: Column) -> Column:
+            """How many of these lines it takes, their line ends between them counted; null if all are too few."""
+            start = F.struct(F.lit(-1).alias("chars"), F.lit(0).alias("k"))
+            done = F.aggregate(own, start, lambda a, n: F.when(a["chars"] >= least_chars, a).otherwise(
+                F.struct((a["chars"] + n + 1).alias("chars"), (a["k"] + 1).alias("k"))))
+            return F.transform(F.array(done), lambda d: F.when(d["chars"] >= least_chars, d["k"]))[0]
+
+        # a line end counts as a character, so least_chars + 1 lines always do; mostly the first few do
+        def forth(i: Column) -> Column:
+            return F.coalesce(*[steps(F.slice(x["n"], i + 1, F.lit(w))) for w in (3, least_chars + 1)])
+
+        def back(i: Column) -> Column:
+            def own(w: int) -> Column:
+                first = F.greatest(i - (w - 1), F.lit(0))
+                return F.reverse(F.slice(x["n"], first + 1, i - first + 1))
+
+            return F.coalesce(*[steps(own(w)) for w in (3, least_chars + 1)])
+
+        def made(i: Column) -> Column:
+            ends = F.array(F.struct(i.alias("first"), (i + forth(i) - 1).alias("last")), F.struct((i - back(i) + 1).alias("first"), i.alias("last")))
+            some = F.array_distinct(F.filter(ends, lambda e: e["first"].isNotNull() & e["last"].isNotNull()))
+            return F.transform(some, lambda e: F.struct(
+                e["first"].alias("first"), e["last"].alias("last"), F.xxhash64(F.slice(x["h"], e["first"] + 1, e["last"] - e["first"] + 1)).alias("hash")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), top), made))
+
+    return F.flatten(F.transform(hashed, of))
+
+
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rolling: int = ROLLING, longest: int = LONGEST,
-                   least_chars: int = LEAST_CHARS) -> DataFrame:
+                   least_chars: int = LEAST_CHARS, whole: bool = True) -> DataFrame:
     """(doc_id, text_hash, gone): sorted numbers of the lines to remove, for the texts that lose any.
 
     Hashes and places of all chunks are written once. Counts per hash are made
@@ -74,7 +115,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rol
     broadcast of at most RESIDUES hash residues holds back most others.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    chunks = base.select(*_KEY, F.explode(_chunks(_lines(F.col("text")), rolling, longest, least_chars)).alias("c"))
+    chunks = base.select(*_KEY, F.explode(_runs(_lines(F.col("text")), least_chars) if whole
+                                            else _chunks(_lines(F.col("text")), rolling, longest, least_chars)).alias("c"))
     chunks = materialize(chunks.select(*_KEY, "c.first", "c.last", "c.hash").distinct(), "chunks")
     # a null id is the last of all
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "first")
@@ -97,11 +139,12 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", rol
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", details: bool = False, **options) -> DataFrame:
     """``docs`` without the lines of repeated chunks, in the same columns.
 
-    A chunk has two lines or more and ``least_chars`` characters or more; of
-    equal chunks the one in the smallest id stays (a null id comes last; within
-    a document, the first), so no line's first place is ever removed. A text
-    that loses all lines becomes empty; null stays null, and texts of one line
-    stay as they are. Rows equal in id and text are one document and keep the
+    A chunk has ``least_chars`` characters or more; of equal chunks the one in
+    the smallest id stays (a null id comes last; within a document, the first),
+    so no line's first place is ever removed. Without ``whole`` a chunk also has
+    two lines or more and ends at a cut, so that single lines, and parts of
+    passages without a cut, stay. A text that loses all lines becomes empty;
+    null stays null. Rows equal in id and text are one document and keep the
     same lines. With ``details``, ``n_lines`` and ``n_removed`` are added, and
     replace columns of these names. An empty table gives an empty table.
     """

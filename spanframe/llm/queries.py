@@ -78,7 +78,8 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    clean = line_dedup.remove_repeats(docs, details=True)
+    # the rule of the SQL below: cuts only, so single lines and parts of passages stay
+    clean = line_dedup.remove_repeats(docs, details=True, whole=False)
     return clean.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

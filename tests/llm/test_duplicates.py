@@ -179,3 +179,10 @@ def test_line_dedup_hard_rows(make):
 def test_line_dedup_is_native(make):
     plan = line_dedup.remove_repeats(make([(1, PASSAGE), (2, PASSAGE)]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_line_dedup_removes_single_lines(make):
+    line = "One line of a passage that several documents share, and that is long enough to be a passage by itself, word for word."
+    docs = [(1, f"Before.\n{line}\nAfter."), (2, line), (3, f"Other.\n{line}\nNeighbours."), (4, f"Short.\n{line[:60]}")]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(make(docs)).collect()}
+    assert got == {1: docs[0][1], 2: "", 3: "Other.\nNeighbours.", 4: docs[3][1]}
