@@ -181,6 +181,37 @@ def test_line_dedup_is_native(make):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def brute_gone(docs, least=100):
+    """Lines of all passages of ``least`` characters or more that stand at an earlier place too, by all pairs of places."""
+    lines = {i: t.split("\n") for i, t in docs}
+    first, gone = {}, {}
+    for i in sorted(lines):
+        own = lines[i]
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                piece = "\n".join(own[a: b + 1])
+                if len(piece) >= least and first.setdefault(piece, (i, a)) != (i, a):
+                    gone.setdefault(i, set()).update(range(a, b + 1))
+    return {i: "\n".join(x for k, x in enumerate(own) if k not in gone.get(i, ())) for i, own in lines.items()}
+
+
+def test_line_dedup_removes_whole_passages(make):
+    rng = random.Random(5)
+
+    def line(low, high):
+        return "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(low, high)))
+
+    single = line(110, 300)
+    passages = [[single], *[[line(*size) for _ in range(n)] for size, n in (((60, 90), 2), ((60, 90), 2), ((20, 40), 7), ((0, 9), 60), ((1, 1), 52), ((150, 200), 3), ((30, 120), 12))]]
+    passages.append([line(120, 150), "a short last line"])
+    docs = [(0, single), (1, single), (2, line(150, 200))]
+    for i in range(3, 60):
+        docs.append((i, "\n".join(x for p in rng.sample(passages, 3) for x in [line(5, 60), *p])))
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(make(docs)).collect()}
+    assert got == brute_gone(docs)
+    assert got[1] == "" and all(x not in got[59].split("\n") for p in passages for x in p if len(x) > 9)
+
+
 def test_line_dedup_removes_single_lines(make):
     line = "One line of a passage that several documents share, and that is long enough to be a passage by itself, word for word."
     docs = [(1, f"Before.\n{line}\nAfter."), (2, line), (3, f"Other.\n{line}\nNeighbours."), (4, f"Short.\n{line[:60]}")]
