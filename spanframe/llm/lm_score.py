@@ -1,26 +1,25 @@
 """Operator 6: cross-entropy difference of matched target and background models.
 
-Both models are word bigrams over one vocabulary: the commonest words of the
-whole corpus, and hash classes for all others. Both have the same order and the
-same smoothing (Witten-Bell over add-one unigrams), so that their losses differ
-only by what the two corpora say. Counts cover every document.
+Both models are word bigrams over one vocabulary, all words of the corpus. Both
+have the same order and the same smoothing (Witten-Bell over add-one unigrams),
+so that their losses differ only by what the two corpora say. Counts cover every
+document; they and the losses are distributed tables, and grow with the corpus.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.batches import lower_ascii, row_slices, texts, word_hashes, word_spans
+from spanframe.llm.batches import lower_ascii, mix, row_slices, texts, word_hashes, word_spans
 from spanframe.llm.topk import commonest
 from spanframe.session import materialize, ship_package
 
-#: Words with an id of their own; classes for the rest. With the start mark, V = WORDS + CLASSES + 1 fits 11 bits.
-WORDS, CLASSES = 2000, 47
+#: Words counted together before they are handed on, about; the mark of a text's start.
+STRETCH, START = 1 << 20, np.uint64(0x5BD1E995A5A5A5A5)
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -32,7 +31,7 @@ def _word_hashes(data: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.nd
     return word_hashes(low, starts, ends), first
 
 
-def vocabulary(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.ndarray:
+def vocabulary(docs: DataFrame, text: str = "text", words: int = 2000) -> np.ndarray:
     """Sorted hashes of the ``words`` commonest words (ties: the smaller hash), counted over all texts.
 
     Batches count first, so what is shuffled is one row for each distinct word of a batch.
@@ -50,154 +49,154 @@ def vocabulary(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.nd
     return np.sort(top.astype(np.int64).view(np.uint64))
 
 
-def _ids(hashes: np.ndarray, known: np.ndarray, classes: int) -> np.ndarray:
+def _ids(hashes: np.ndarray, known: np.ndarray | None, classes: int) -> np.ndarray:
+    """The hashes themselves; with ``known``, numbers of the known words and of hash classes for the others."""
+    if known is None:
+        return hashes
+    rest = np.uint64(len(known)) + hashes % np.uint64(classes)
     if not len(known):
-        return (hashes % np.uint64(classes)).astype(np.uint16)
+        return rest
     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, at, len(known) + (hashes % np.uint64(classes)).astype(np.int64)).astype(np.uint16)
+    return np.where(known[at] == hashes, at.astype(np.uint64), rest)
+
 
+def _bigrams(data: np.ndarray, marks: np.ndarray, known: np.ndarray | None, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key of the pair, previous word, word) of every word of the rows, and the number of words of each row."""
+    hashes, first = _word_hashes(data, marks)
+    word, n = _ids(hashes, known, classes), np.diff(first)
+    before = np.append(START, word[:-1])[: len(word)].astype(np.uint64)
+    before[first[:-1][n > 0]] = START
+    return mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + word), before, word, n
 
-def tokens(docs: DataFrame, known: np.ndarray, key: str = "doc_id", text: str = "text", classes: int = CLASSES) -> DataFrame:
-    """(doc_id, ids): every whole text as two-byte word ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+def blocks(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(block, doc_id, chosen, text): whole texts in written blocks of about two megabytes, and whether the id is in ``target``."""
+    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("chosen", F.lit(True))
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # null ids are in no target and would all meet in one task
+    met = named.where("doc_id is not null").join(wanted.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("chosen", F.lit(False)).alias("chosen"), "text")
+    rows = met.unionAll(named.where("doc_id is null").select("doc_id", F.lit(False).alias("chosen"), "text"))
 
     def run(batches):
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            data, marks, _ = texts(batch, "text")
+            _, marks, _ = texts(batch, "text")
             for low, high in row_slices(marks):
-                hashes, first = _word_hashes(data[marks[low]: marks[high]], marks[low: high + 1] - marks[low])
-                ids = _ids(hashes, shared.value, classes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low),
-                                                  pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "ids"])
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(high - low, block)), *part.columns], names=["block", *part.schema.names])
+                block += 1
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return materialize(rows.mapInArrow(run, "block long, doc_id long, chosen boolean, text string"), "blocks")
 
 
-def _pairs(ids: list[bytes], start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(previous word * size + word of every word of the rows, number of words of each row)."""
-    n = np.array([len(x) // 2 for x in ids], np.int64)
-    word = np.frombuffer(b"".join(ids), np.uint16).astype(np.int64)
-    before = np.append(start, word[:-1])[: len(word)]
-    heads = np.cumsum(n) - n
-    before[heads[n > 0]] = start
-    return before * size + word, n
+def count(coded: DataFrame, known: np.ndarray | None = None, classes: int = 0) -> DataFrame:
+    """(pair, prev, word, n, chosen): how often each pair of successive words stands in all texts, and in those of the target."""
+    shared = coded.sparkSession.sparkContext.broadcast(known)
 
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            data, marks, _ = texts(batch, "text")
+            own = np.asarray(batch.column("chosen"))
+            for low, high in row_slices(marks):
+                *found, n = _bigrams(data[marks[low]: marks[high]], marks[low: high + 1] - marks[low], shared.value, classes)
+                held.append((*found, np.repeat(own[low:high], n)))
+                if sum(len(x[0]) for x in held) >= STRETCH:
+                    yield out(held)
+                    held = []
+        if held:
+            yield out(held)
 
-@dataclass
-class Matched:
-    """Losses (nats) of each pair of successive ids under both models; the last id marks a text's start."""
+    def out(held):
+        pair, before, word, own = (np.concatenate(x) for x in zip(*held))
+        _, at, back = np.unique(pair, return_index=True, return_inverse=True)
+        sums = np.bincount(back, minlength=len(at)), np.bincount(back, weights=own, minlength=len(at)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (pair, before, word)], *map(pa.array, sums)], names=["pair", "prev", "word", "n", "chosen"])
 
-    known: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
+    sums = coded.select("chosen", "text").mapInArrow(run, "pair long, prev long, word long, n long, chosen long").groupBy("pair", "prev", "word")
+    return materialize(sums.agg(F.sum("n").alias("n"), F.sum("chosen").alias("chosen")), "pairs")
 
-    @property
-    def size(self) -> int:
-        return len(self.target)
 
+def losses(pairs: DataFrame, size: int | None = None) -> DataFrame:
+    """(pair, target, background): -log p(word | prev) of both models, Witten-Bell over add-one unigrams of ``size`` words.
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log p(b | a) from pair counts: Witten-Bell over add-one unigrams."""
-    size = len(counts)
-    word = counts.sum(0)
-    one = (word + 1) / (word.sum() + size)
-    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    prob = np.where(total > 0, (counts + kinds * one) / np.maximum(total + kinds, 1), one)
-    return (-np.log(prob)).astype(np.float32)
+    Without ``size`` it is the number of distinct words and one. What is
+    collected is one row of totals.
+    """
+    word = materialize(pairs.groupBy("word").agg(F.sum("n").alias("word_n"), F.sum("chosen").alias("word_chosen")), "unigrams")
+    prev = pairs.groupBy("prev").agg(*[f(c).alias(f"{name}_{c}") for c in ("n", "chosen") for name, f in (("prev", F.sum), ("kinds", lambda c: F.count_if(F.col(c) > 0)))])
+    total = word.agg(F.count("*").alias("words"), F.coalesce(F.sum("word_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("word_chosen"), F.lit(0)).alias("chosen")).first()
+    size = total["words"] + 1 if size is None else size
 
+    def loss(c: str) -> Column:
+        one = (F.col(f"word_{c}") + 1) / F.lit(float(total[c] + size))
+        seen, kinds = F.col(f"prev_{c}"), F.col(f"kinds_{c}")
+        return -F.log(F.when(seen > 0, (F.col(c) + kinds * one) / (seen + kinds)).otherwise(one))
 
-def fit(coded: DataFrame, target: DataFrame, known: np.ndarray, classes: int = CLASSES) -> Matched:
-    """Models from ``coded`` (doc_id, ids): all of it is the background, the ids in ``target`` the target.
+    return pairs.join(prev, "prev").join(word, "word").select("pair", loss("chosen").cast("float").alias("target"), loss("n").cast("float").alias("background"))
 
-    Each task adds up its pairs and hands on those that occur; at most V * V
-    sums reach the driver, whatever the corpus.
-    """
-    size = len(known) + classes + 1
-    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("chosen", F.lit(True))
 
-    def run(batches):
-        both = np.zeros((2, size * size), np.int32)
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            chosen = np.asarray(batch.column("chosen").fill_null(False))
-            pair, n = _pairs(ids, size - 1, size)
-            np.add(both[0], np.bincount(pair, minlength=size * size), out=both[0], casting="unsafe")
-            own = pair[np.repeat(chosen, n)]
-            np.add(both[1], np.bincount(own, minlength=size * size), out=both[1], casting="unsafe")
-            if both[0].max() > 1 << 30:
-                yield from out(both)
-                both[:] = 0
-        yield from out(both)
-
-    def out(both):
-        some = np.flatnonzero(both[0])
-        for k in range(0, len(some), 1 << 18):
-            own = some[k: k + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(both[0, own].astype(np.int64)), pa.array(both[1, own].astype(np.int64))],
-                                             names=["pair", "n", "chosen"])
-
-    # one plan at every size: a target as large as the corpus must not depend on what still fits a broadcast
-    joined = coded.join(wanted.hint("merge"), "doc_id", "left").select("ids", "chosen")
-    sums = joined.mapInArrow(run, "pair int, n long, chosen long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("chosen").alias("chosen"))
-    got = sums.toArrow()
-    pair = got.column("pair").to_numpy()
-    made = []
-    for name in ("chosen", "n"):
-        counts = np.zeros(size * size)
-        counts[pair] = got.column(name).to_numpy()
-        made.append(losses(counts.reshape(size, size)))
-    return Matched(known, *made)
-
-
-def score(coded: DataFrame, models: Matched) -> DataFrame:
+def score(coded: DataFrame, table: DataFrame, known: np.ndarray | None = None, classes: int = 0) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score): mean losses a word, and target minus background.
 
     The lower the score, the more a text is like the target. Texts without
-    words have null losses and a null score. The broadcast models have V * V
-    entries each.
+    words have null losses and a null score. Distinct pairs of a block meet
+    their losses in a join, so a common pair is one row a block; a group is one
+    block and its losses.
     """
-    shared = coded.sparkSession.sparkContext.broadcast(models)
+    shared = coded.sparkSession.sparkContext.broadcast(known)
 
-    def run(batches):
-        models = shared.value
-        target, background = models.target.ravel(), models.background.ravel()
+    def wanted(batches):
         for batch in batches:
-            column, n_rows = batch.column("ids").to_pylist(), batch.num_rows
-            n, sums = np.zeros(n_rows, np.int64), np.zeros((2, n_rows))
-            low = 0
-            while low < n_rows:  # bounded stretches of words
-                high, size = low, 0
-                while high < n_rows and (high == low or size + len(column[high]) <= 1 << 20):
-                    size += len(column[high])
-                    high += 1
-                pair, own = _pairs(column[low:high], models.size - 1, models.size)
-                n[low:high] = own
+            data, marks, _ = texts(batch, "text")
+            block = np.asarray(batch.column("block"))
+            edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))[: len(block)]
+            for low, high in zip(edges, np.append(edges[1:], len(block))):
+                pair = np.unique(_bigrams(data[marks[low]: marks[high]], marks[low: high + 1] - marks[low], shared.value, classes)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), block[low])), pa.array(pair.view(np.int64))], names=["block", "pair"])
+
+    found = coded.select("block", "text").mapInArrow(wanted, "block long, pair long").join(table, "pair").select("block", "pair", "target", "background")
+
+    def run(rows, held):
+        pair = held.column("pair").to_numpy().astype(np.int64).view(np.uint64)
+        pair, at = np.unique(pair, return_index=True)
+        loss = [held.column(c).to_numpy()[at] for c in ("target", "background")]
+        names, n, mean = [], [], []
+        for batch in rows.to_batches():
+            data, marks, _ = texts(batch, "text")
+            for low, high in row_slices(marks):
+                key, _, _, own = _bigrams(data[marks[low]: marks[high]], marks[low: high + 1] - marks[low], shared.value, classes)
+                place = np.searchsorted(pair, key)
+                sums = np.zeros((2, high - low))
                 some = np.flatnonzero(own)
                 if len(some):
                     heads = (np.cumsum(own) - own)[some]
-                    sums[0, low + some] = np.add.reduceat(target[pair], heads, dtype=np.float64)
-                    sums[1, low + some] = np.add.reduceat(background[pair], heads, dtype=np.float64)
-                low = high
-            mean = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *[pa.array(x, pa.float64(), from_pandas=True) for x in (*mean, mean[0] - mean[1])]],
-                                             names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+                    for k in range(2):
+                        sums[k, some] = np.add.reduceat(loss[k][place], heads, dtype=np.float64)
+                names.append(batch.column("doc_id").slice(low, high - low))
+                n.append(own)
+                mean.append(np.where(own > 0, sums / np.maximum(own, 1), np.nan))
+        n, mean = np.concatenate(n).astype(np.int64), np.concatenate(mean, axis=1)
+        return pa.Table.from_arrays([pa.chunked_array(names, pa.int64()), pa.array(n), *[pa.array(x, pa.float64(), from_pandas=True) for x in (*mean, mean[0] - mean[1])]],
+                                    names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
-    return coded.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    return coded.select("block", "doc_id", "text").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
-def score_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, classes: int = CLASSES) -> DataFrame:
+def score_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", words: int | None = None, classes: int = 47) -> DataFrame:
     """Score every document by the difference of its mean word losses; ``target`` lists the ids of the target corpus.
 
     One row for each row of ``docs``; rows that repeat count as often in the
     models as they stand there. Null ids are never in the target. Null and empty
     texts have no words: 0 tokens and null losses. With an empty target both
     models keep their smoothing and scores only say how common a text's words
-    are. The ids of the words are written once to the shared folder (two bytes a
-    word); counting joins that table, not the texts, with the target.
+    are. With ``words`` only so many of the commonest words are modelled, and all
+    others share ``classes`` hash classes. The texts are written once to the
+    shared folder, with what the target says of them.
     """
-    if words + classes + 1 > 1 << 12:
-        raise ValueError("the vocabulary is limited to 4,095 ids: its square is broadcast")
     ship_package(docs.sparkSession)
-    known = vocabulary(docs, text, words)
-    coded = materialize(tokens(docs, known, key, text, classes), "tokens")
-    return score(coded, fit(coded, target, known, classes))
+    known = None if words is None else vocabulary(docs, text, words)
+    coded = blocks(docs, target, key, text)
+    table = losses(count(coded, known, classes), None if known is None else len(known) + classes + 1)
+    return score(coded, table, known, classes)

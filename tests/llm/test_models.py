@@ -142,6 +142,35 @@ def test_lm_losses_by_hand(spark, make):
     assert lm_score.score_documents(make(HARD), target.limit(0)).count() == 10
 
 
+def test_lm_models_all_words(spark, make):
+    rng = random.Random(6)
+    # every word is far below the commonest 2,000, and only rare words tell the target
+    common = [f"c{k}" for k in range(2500)]
+    docs = [(i, " ".join(x for k in range(60) for x in (rng.choice(common), f"{'ab'[i % 2]}{(31 * i + k) % 3000}"))) for i in range(400)]
+    frame, target = make(docs), spark.createDataFrame([(i,) for i in range(0, 200, 2)], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.score_documents(frame, target).collect()}
+    pairs, uni, before = ({}, {}), ({}, {}), ({}, {})
+    for i, text in docs:
+        for m in (0, 1) if i < 200 and i % 2 == 0 else (1,):
+            for a, b in zip(["^", *text.split()], text.split()):
+                pairs[m][a, b] = pairs[m].get((a, b), 0) + 1
+                uni[m][b] = uni[m].get(b, 0) + 1
+    for m in (0, 1):
+        for (a, _), n in pairs[m].items():
+            total, kinds = before[m].get(a, (0, 0))
+            before[m][a] = total + n, kinds + 1
+    size = len(uni[1]) + 1
+    assert size > 5000
+    for i, text in docs:
+        for m, column in ((0, "loss_target"), (1, "loss_background")):
+            loss = 0.0
+            for a, b in zip(["^", *text.split()], text.split()):
+                one = (uni[m].get(b, 0) + 1) / (sum(uni[m].values()) + size)
+                total, kinds = before[m].get(a, (0, 0))
+                loss -= math.log((pairs[m].get((a, b), 0) + kinds * one) / (total + kinds) if total else one)
+            assert got[i][column] == pytest.approx(loss / 120, abs=1e-5)
+
+
 def test_lm_tells_quality(spark):
     got = QUERIES["op6_lm_scoring"](spark, SF)
     x = got.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
