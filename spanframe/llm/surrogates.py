@@ -4,9 +4,11 @@ Found are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, card and
 other long numbers, social security numbers, IBANs, secrets, and persons named
 with a title; later bare mentions of a person's names in the same text as well.
 An entity's normal form and the key alone settle its surrogate, so mentions of
-one entity stay mentions of one entity, in all documents. Numbers go through
-keyed permutations of their digits. All surrogates of the corpus are compared
-with each other and with all real entities; where two meet, one draws again.
+one entity stay mentions of one entity, in all documents. A first name has one gender in the whole corpus,
+whatever title stands before it. Numbers go through keyed permutations of their
+digits. All surrogates of the corpus are compared, as they are written, with
+each other and with all real entities, all names together and all digit strings
+together; where two meet, one draws again.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import re
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm.batches import with_fields
@@ -214,8 +216,27 @@ def mentions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, kind string, norm string")
 
 
+def written(kind: str, norm: str) -> tuple[Column, Column]:
+    """(family of kinds, written form) of columns of kinds and normal forms: what readers can take for the same."""
+    k, digits = F.col(kind), F.col(kind).isin("card", "ssn", "phone")
+    family = F.when((k == "family") | k.startswith("given"), "name").when(digits, "digits").otherwise(k)
+    return family, F.when(digits, F.regexp_replace(norm, "^.*:", "")).otherwise(F.col(norm))
+
+
+def genders(held: DataFrame) -> DataFrame:
+    """(kind, norm, settled): the first names whose kind in some documents is not the one of the corpus.
+
+    The gender that more documents give is settled; without one, or with as many for both, it stays open.
+    """
+    given = held.where(F.col("kind").startswith("given")).groupBy("norm", "kind").agg(F.count("*").alias("n"))
+    male, female = (F.coalesce(F.sum(F.when(F.col("kind") == f"given-{g}", F.col("n"))), F.lit(0)) for g in "mf")
+    by = given.groupBy("norm").agg(male.alias("m"), female.alias("f"), F.collect_set("kind").alias("kinds"))
+    settled = F.when(F.col("m") > F.col("f"), "given-m").when(F.col("f") > F.col("m"), "given-f").otherwise("given-x")
+    return by.select(F.explode("kinds").alias("kind"), "norm", settled.alias("settled")).where("kind <> settled")
+
+
 def assign(entities: DataFrame, secret: bytes, attempts: int = 64) -> DataFrame:
-    """(kind, norm, attempt, surrogate) for distinct (kind, norm), without two alike and none that is an entity itself.
+    """(kind, norm, attempt, surrogate) for distinct (kind, norm), without two written alike and none that is an entity itself.
 
     Where surrogates meet, the one drawn first stays (ties: the smaller entity);
     the others draw again, until none meet. Each round is one shuffle of the
@@ -235,11 +256,15 @@ def assign(entities: DataFrame, secret: bytes, attempts: int = 64) -> DataFrame:
     entities = materialize(entities.select("kind", "norm").distinct(), "entities")
     table = materialize(entities.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "surrogates")
     for _ in range(attempts):
-        real = entities.select("kind", F.col("norm").alias("surrogate"), F.lit(1).alias("real"), F.lit(None).cast("struct<attempt:int,norm:string>").alias("who"))
-        drawn = table.select("kind", "surrogate", F.lit(0).alias("real"), F.struct("attempt", "norm").alias("who"))
-        met = drawn.unionAll(real).groupBy("kind", "surrogate").agg(F.max("real").alias("real"), F.count("who").alias("n"), F.min("who").alias("keeps"))
+        who = F.struct("attempt", "norm", "kind")
+        family, form = written("kind", "norm")
+        real = entities.select(family.alias("family"), form.alias("form"), F.lit(1).alias("real"), F.lit(None).cast("struct<attempt:int,norm:string,kind:string>").alias("who"))
+        family, form = written("kind", "surrogate")
+        drawn = table.withColumns({"family": family, "form": form, "who": who})
+        met = drawn.select("family", "form", F.lit(0).alias("real"), "who").unionAll(real).groupBy("family", "form").agg(
+            F.max("real").alias("real"), F.count("who").alias("n"), F.min("who").alias("keeps"))
         met = met.where("n > 0 and (real = 1 or n > 1)")
-        bad = table.join(met, ["kind", "surrogate"]).where((F.col("real") == 1) | (F.struct("attempt", "norm") != F.col("keeps"))).select("kind", "norm", "attempt")
+        bad = drawn.join(met, ["family", "form"]).where((F.col("real") == 1) | (F.col("who") != F.col("keeps"))).select("kind", "norm", "attempt")
         bad = materialize(bad, "met")
         if bad.isEmpty():
             return table
@@ -255,15 +280,19 @@ def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "te
     are, byte for byte. Repeated rows are replaced alike. An empty table gives
     an empty table. A mention's surrogate follows from the key, so the texts
     are not joined with the table of surrogates; only entities that had to draw
-    again are handed to the documents that hold them, by a join on the id that
-    Spark sizes itself (few rows: surrogates seldom meet).
+    again, and first names of another gender than their title tells, are handed
+    to the documents that hold them, by a join on the id that Spark sizes itself.
     """
     spark = docs.sparkSession
     ship_package(spark)
     held = materialize(mentions(docs, key, text), "mentions")
-    again = assign(held, secret).where("attempt > 0").select("kind", "norm", "attempt")
-    redrawn = materialize(held.join(again, ["kind", "norm"]).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_set(F.struct("kind", "norm", "attempt")).alias("_redrawn")), "redrawn")
+    turned = materialize(genders(held), "genders")
+    named = held.join(turned, ["kind", "norm"], "left").withColumn("settled", F.coalesce("settled", "kind"))
+    table = assign(named.select(F.col("settled").alias("kind"), "norm"), secret)
+    again = table.where("attempt > 0").select(F.col("kind").alias("settled"), "norm", "attempt")
+    changed = named.join(again, ["settled", "norm"], "left").where("attempt is not null or settled <> kind")
+    redrawn = materialize(changed.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.collect_set(F.struct("kind", "norm", "settled", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias("_redrawn")), "redrawn")
     kept = docs.drop("n_entities")
     joined = kept.join(redrawn, kept[key].cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
 
@@ -275,10 +304,11 @@ def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "te
             count = [0] * len(values)
             for i, value in enumerate(values):
                 if value and (found := find(value)):
-                    tries = {(x["kind"], x["norm"]): x["attempt"] for x in other[i] or []}
+                    tries = {(x["kind"], x["norm"]): (x["settled"], x["attempt"]) for x in other[i] or []}
                     parts, head = [], 0
                     for a, b, kind, norm in found:
-                        parts += [value[head:a], render(kind, value[a:b], keyed.surrogate(kind, norm, tries.get((kind, norm), 0)))]
+                        settled, attempt = tries.get((kind, norm), (kind, 0))
+                        parts += [value[head:a], render(kind, value[a:b], keyed.surrogate(settled, norm, attempt))]
                         head = b
                     values[i], count[i] = "".join([*parts, value[head:]]), len(found)
             columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "_redrawn"]

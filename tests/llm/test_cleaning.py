@@ -125,6 +125,26 @@ def test_surrogates_draw_again_where_they_meet(spark, make):
             assert new.text[c:d].lower() == known[kind, norm]
 
 
+def test_surrogates_differ_over_all_names_and_all_digits(spark, make):
+    # first names of all kinds share stems and endings, far more names than two stems and an ending give
+    names = [f"N{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{'aeiou'[k // 676]}k" for k in range(5 * 676)]
+    rows = [(("given-m", "given-f", "given-x", "family")[k % 4], n.lower()) for k, n in enumerate(names)]
+    rows += [("given-x", surrogates.Keyed(b"k").surrogate(*rows[0], 0))]  # a real name of another kind
+    rows += [(kind, f"{k:09d}") for k in range(0, 10**9, 10**6) for kind in ("ssn", "phone")]
+    table = surrogates.assign(spark.createDataFrame(rows, "kind string, norm string"), b"k").collect()
+    for kinds in (("family", "given-m", "given-f", "given-x"), ("ssn", "phone")):
+        own = [r.surrogate for r in table if r.kind in kinds]
+        assert len(own) == len(set(own)) and not set(own) & {n for k, n in rows if k in kinds}
+
+
+def test_surrogates_of_a_first_name_have_one_gender(make):
+    docs = make([(1, "Dr Maria Keller came."), (2, "Frau Maria Weber left."), (3, "Frau Maria Keller."), (4, "Prof. Andrea Weber"), (5, "Herr Andrea Weber"), (6, "Frau Andrea Weber")])
+    got = {r.doc_id: r.text.replace(".", "").split() for r in surrogates.replace(docs, b"k").collect()}
+    assert got[1][1] == got[2][1] == got[3][1] and got[4][1] == got[5][1] == got[6][1] != got[1][1]
+    assert got[1][2] == got[3][2] and got[2][2] == got[4][2] == got[6][2]
+    assert got[1][1].endswith(("a", "elle"))
+
+
 def test_digit_permutations_are_one_to_one():
     keyed = surrogates.Keyed(b"k")
     for n in (1, 2, 3):
