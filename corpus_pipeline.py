@@ -65,7 +65,8 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: Models and exact near-duplicate components are beyond SQL; tests hold run() against a brute-force version.
+#: Models and exact near-duplicate components are beyond SQL. Tests hold single stages against brute force, and of run() only
+#: that it returns ids of its input and the token counts of unchanged texts.
 ORACLE_SQL = None
 
 
