@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm import (
-    bpe, decontaminate, exact_dedup, hard_negatives, language, line_dedup, lm_score, ngram_join, surrogates, token_counts, toxicity,
+    bpe, decontaminate, embedding_dedup, exact_dedup, hard_negatives, language, line_dedup, lm_score, ngram_join, surrogates, token_counts, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,20 @@ p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s
 SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, other_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY rank <= 10"""
+
+
+@query
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+SQL["op12_embedding_dedup"] = """WITH RECURSIVE r AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS MATERIALIZED (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM r UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u),
+low AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM e GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings d LEFT JOIN low ON low.u = d.vec_id LEFT JOIN n ON n.u = d.vec_id"""
