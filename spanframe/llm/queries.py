@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm import (
-    bpe, decontaminate, embedding_dedup, exact_dedup, hard_negatives, language, line_dedup, lm_score, ngram_join, surrogates, token_counts, toxicity,
+    bpe, conversation_repair, decontaminate, embedding_dedup, exact_dedup, hard_negatives, language, line_dedup, lm_score, ngram_join, surrogates,
+    token_counts, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +162,73 @@ low AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
 n AS (SELECT u, count(*) AS n_links FROM e GROUP BY u)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
 FROM embeddings d LEFT JOIN low ON low.u = d.vec_id LEFT JOIN n ON n.u = d.vec_id"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with planted faults by the checksum of their name; a dropped turn stays with ``present`` false."""
+    space = F.lit(" ")
+    name = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space))
+    fault = F.crc32(name.cast("binary")) % 20
+    text = F.coalesce("text", space)
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(fault == 4, "user").otherwise(F.coalesce("role", space))
+    times = F.explode(F.sequence(F.lit(1), F.when(fault == 3, 2).otherwise(1))).alias("copy")
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (fault != 0).alias("present"), times)
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.summarise(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
+SQL["op11_conversation_repair"] = r"""WITH RECURSIVE
+t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc),
+convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+d AS (SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(x.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+    FROM conversations x JOIN convs ON x.conv_id IS NOT DISTINCT FROM convs.conv_id),
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda s: ascii(s)::BIGINT)),
+    lambda r, b: xor(crc[(xor(r, b) & 255) + 1], r >> 8)), 4294967295) % 20 AS fault FROM d, t),
+turns AS (
+    SELECT c, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM f JOIN (VALUES (1), (2)) AS v(copy) ON fault <> 0 AND (copy = 1 OR fault = 3)),
+marked AS (
+    SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+        right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM turns),
+r AS (
+    SELECT *, row_number() OVER w AS i, left(role, 1) AS x, last = '' AS blank, last <> '' AND again AS dup,
+        last <> '' AND NOT again AND last NOT IN ('.', '!', '?') AS short, left(role, 1) || lead(left(role, 1)) OVER w AS pair
+    FROM marked WINDOW w AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, again)),
+ins(p, q, cost, edits) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (1, 2, 2, 'I'), (2, 3, 2, 'I'), (3, 2, 2, 'I'),
+    (0, 3, 4, 'II'), (1, 3, 4, 'II')),
+step(p, x, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+moves AS (
+    SELECT p, NULL AS x, p AS q, 3 AS cost, 'D' AS edit FROM ins WHERE p = q
+    UNION ALL SELECT p, x, q, 0, 'K' FROM step
+    UNION ALL SELECT p, NULL, q, 2, 'R' FROM step WHERE x <> 's'),
+dp AS (
+    SELECT c, 0::BIGINT AS i, 0 AS state, {'cost': 0, 'edits': ''} AS best FROM convs
+    UNION ALL
+    SELECT c, i, state, min({'cost': cost, 'edits': edits}) FROM (
+        SELECT dp.c, r.i, moves.q AS state, dp.best.cost + ins.cost + moves.cost + CASE WHEN moves.edit <> 'D' AND r.short THEN 1 ELSE 0 END AS cost,
+            dp.best.edits || ins.edits || moves.edit AS edits
+        FROM dp JOIN r ON r.c = dp.c AND r.i = dp.i + 1 JOIN ins ON ins.p = dp.state
+        JOIN moves ON moves.p = ins.q AND (moves.x IS NULL OR moves.x = r.x) AND (moves.edit = 'D' OR NOT (r.blank OR r.dup))) GROUP BY c, i, state),
+counts AS (
+    SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+        count(*) FILTER (short) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c),
+done AS (
+    SELECT dp.c, min({'cost': dp.best.cost + ins.cost, 'edits': dp.best.edits || ins.edits}) AS best
+    FROM dp LEFT JOIN counts ON counts.c = dp.c JOIN ins ON ins.p = dp.state AND ins.q IN (0, 3) WHERE dp.i = coalesce(n, 0) GROUP BY dp.c),
+edits AS (
+    SELECT c, j, e, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS place, count(*) FILTER (e <> 'D') OVER (PARTITION BY c) AS kept
+    FROM (SELECT c, unnest(range(1, length(best.edits) + 1)) AS j, unnest(string_split(best.edits, '')) AS e FROM done WHERE best.edits <> '')
+    WINDOW w AS (PARTITION BY c ORDER BY j)),
+texts AS (
+    SELECT edits.c, string_agg(CASE WHEN e = 'K' THEN role WHEN (place - kept % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END,
+        chr(10) ORDER BY j) AS repaired
+    FROM edits LEFT JOIN r ON r.c = edits.c AND r.i = edits.i WHERE e <> 'D' GROUP BY edits.c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, best.cost::BIGINT AS cost, best.edits AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM convs JOIN done USING (c) LEFT JOIN counts USING (c) LEFT JOIN texts USING (c)"""
