@@ -83,7 +83,7 @@ def cut(node: Node, length: int) -> Node:
 
 def same_letters(a: Node, b: Node) -> bool:
     """Letter by letter from the end to the node that both share; equal lengths."""
-    while a is not b:
+    while a is not b and a.up:
         if a.edit != b.edit:
             return False
         a, b = a.up[0], b.up[0]
