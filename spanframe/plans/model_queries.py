@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanframe.operators import cleaning as C
 from spanframe.operators import cohort as M
 from spanframe.operators import context as G
+from spanframe.operators import fold_features as FF
 from spanframe.operators import randomize as Z
 from spanframe.operators import ranges as R
 from spanframe.operators.points import region_features
@@ -267,13 +268,121 @@ def _(t):
     return M.split_validation(cohort_manifest(samples, 5), folds, 5, 3)
 
 
-@query("feature_sets", "M5, W3, R13, I11", """
-    SELECT s AS feature_set, CAST(40 AS BIGINT) AS n FROM (SELECT unnest(['recurrent', 'random_recurrent', 'islands']) AS s)""")
+# ---------------------------------------------------- region sets of every fold
+
+FOLDS, REPEATS, SIZES, DRAWS = 2, 2, [5, 20], 2
+CTE["study"] = """
+    SELECT DISTINCT sample_id, concat('P', CAST(CAST(substr(sample_id, 2) AS BIGINT) // 2 AS VARCHAR)) AS patient_id,
+           CASE WHEN CAST(substr(sample_id, 2) AS BIGINT) % 3 = 0 THEN 'Normal' ELSE 'Tumor' END AS binary_label, 'all' AS cohort_id FROM matrix"""
+CTE["study_patients"] = """
+    SELECT patient_id, CASE WHEN bool_or(binary_label = 'Tumor') AND bool_or(binary_label = 'Normal') THEN 0
+           WHEN bool_or(binary_label = 'Normal') THEN 1 ELSE 2 END AS stratum FROM study GROUP BY ALL"""
+CTE["study_dealt"] = f"""
+    SELECT patient_id, repeat, (row_number() OVER (PARTITION BY repeat, stratum ORDER BY {md5_sql(42, 'repeat', "'all'", 'patient_id')}) - 1
+           + CASE stratum WHEN 0 THEN 0 WHEN 1 THEN (SELECT count(*) FROM study_patients WHERE stratum = 0)
+                          ELSE (SELECT count(*) FROM study_patients WHERE stratum < 2) END) % {FOLDS} AS fold
+    FROM study_patients CROSS JOIN (SELECT CAST(x AS INTEGER) AS repeat FROM range(0, {REPEATS}) AS t(x)) AS q"""
+CTE["fold_members"] = f"""
+    SELECT CAST(repeat * {FOLDS} + f AS BIGINT) AS split, CAST(repeat AS BIGINT) AS repeat, CAST(f AS BIGINT) AS fold, sample_id, patient_id, binary_label, fold = f AS is_test
+    FROM study JOIN study_dealt USING (patient_id) CROSS JOIN (SELECT x AS f FROM range(0, {FOLDS}) AS t(x)) AS q"""
+CTE["fold_anchors"] = """
+    SELECT DISTINCT split, chrom, (start + "end") // 2 AS anchor_pos FROM matrix JOIN fold_members USING (sample_id) WHERE beta IS NOT NULL AND NOT is_test"""
+CTE["train_segments"] = """
+    SELECT split, binary_label, sample_id, chrom, start, "end" FROM cohort_segments JOIN fold_members USING (sample_id) WHERE NOT is_test"""
+CTE["train_merged"] = merge_sql("train_segments", "split, binary_label", 1000)
+CTE["train_regions"] = """
+    SELECT m.split, m.binary_label, m.chrom, m.start, m."end", count(DISTINCT s.sample_id) AS sample_count, m."end" - m.start AS length
+    FROM train_merged m JOIN train_segments s ON s.split = m.split AND s.binary_label = m.binary_label AND s.chrom = m.chrom AND s.start >= m.start AND s.start < m."end"
+    GROUP BY ALL"""
+CTE["seen_regions"] = """
+    SELECT r.*, (SELECT count(*) FROM fold_anchors a WHERE a.split = r.split AND a.chrom = r.chrom AND a.anchor_pos >= r.start AND a.anchor_pos < r."end")
+           AS training_observed_points FROM train_regions r"""
+CTE["eligible_tumor"] = "SELECT * FROM seen_regions WHERE binary_label = 'Tumor' AND training_observed_points > 0"
+CTE["eligible_normal"] = """
+    SELECT *, row_number() OVER (PARTITION BY split ORDER BY sample_count DESC, length DESC, chrom, start) AS place
+    FROM seen_regions WHERE binary_label = 'Normal' AND training_observed_points > 0"""
+CTE["eligible_islands"] = """
+    SELECT * FROM (SELECT split, chrom, start, "end", "end" - start AS length,
+        (SELECT count(*) FROM fold_anchors a WHERE a.split = s.split AND a.chrom = f.chrom AND a.anchor_pos >= f.start AND a.anchor_pos < f."end") AS training_observed_points
+        FROM (SELECT DISTINCT chrom, start, "end" FROM features) f CROSS JOIN (SELECT DISTINCT split FROM fold_members) s) WHERE training_observed_points > 0"""
+CTE["set_sizes"] = f"SELECT CAST(unnest({SIZES}) AS BIGINT) AS n_features"
+CTE["pmd_sets"] = """
+    SELECT split, 'PMD' AS feature_set, n_features, 0 AS feature_draw, row_number() OVER (PARTITION BY split, n_features
+           ORDER BY sample_count DESC, length DESC, chrom, start) - 1 AS region_index, chrom, start, "end", length, training_observed_points, sample_count
+    FROM eligible_tumor a CROSS JOIN set_sizes WHERE NOT EXISTS (SELECT 1 FROM eligible_normal b WHERE b.split = a.split AND b.chrom = a.chrom
+        AND b.place <= n_features AND b.start <= a."end" + 1000 AND b."end" >= a.start - 1000)"""
+
+
+def drawn_sql(source: str, name: str, count: str) -> str:
+    return f"""
+    SELECT split, '{name}' AS feature_set, n_features, feature_draw, place - 1 AS region_index, chrom, start, "end", length, training_observed_points, {count} AS sample_count
+    FROM (SELECT *, row_number() OVER (PARTITION BY split, feature_draw ORDER BY {md5_sql(f'42-{name}', 'split', 'feature_draw', 'chrom', 'start', '"end"')}) AS place
+          FROM {source} CROSS JOIN (SELECT x AS feature_draw FROM range(0, {DRAWS}) AS t(x)) AS q) CROSS JOIN set_sizes WHERE place <= n_features"""
+
+
+CTE["random_pmd_sets"] = drawn_sql("eligible_tumor", "Random PMD", "sample_count")
+CTE["island_sets"] = drawn_sql("eligible_islands", "CGI", "CAST(NULL AS BIGINT)")
+CTE["fold_sets"] = """
+    SELECT * FROM pmd_sets WHERE region_index < n_features UNION ALL SELECT * FROM random_pmd_sets UNION ALL SELECT * FROM island_sets"""
+
+
+def assigned(t):
+    """Grouped folds of the array samples: patients of two samples, every third sample normal."""
+    number = F.substring("sample_id", 2, 9).cast("bigint")
+    samples = materialize(matrix(t), "matrix").select("sample_id").distinct().select(
+        F.col("sample_id").alias("sample"), F.concat(F.lit("P"), F.expr("CAST(substr(sample_id, 2) AS BIGINT) DIV 2")).alias("patient_id"),
+        F.when(number % 3 == 0, "Normal").otherwise("Tumor").alias("binary_label"), F.lit("all").alias("cohort_id"))
+    return materialize(M.group_kfold(samples, FOLDS, REPEATS).withColumnRenamed("sample", "sample_id"), "assigned")
+
+
+def fold_sets(t, names, sizes=SIZES, draws=DRAWS):
+    return FF.fold_feature_sets(materialize(matrix(t), "matrix"), t.cohort_segments, t.features, assigned(t), t.sizes, FOLDS, REPEATS, sizes, draws, names=names)
+
+
+@query("fold_anchors", "M1, M4", "SELECT split, chrom, anchor_pos FROM fold_anchors")
+def _(t):
+    return FF.fold_anchors(matrix(t), assigned(t), FOLDS, REPEATS)
+
+
+@query("fold_feature_sets", "M5, M7, M2, M3, W3, R13, I11", "SELECT * FROM fold_sets")
+def _(t):
+    return fold_sets(t, ["PMD", "Random PMD", "CGI"])
+
+
+CTE["length_kinds"] = """
+    SELECT split, 'Random long' AS feature_set, length FROM eligible_tumor UNION ALL SELECT split, 'Random short', length FROM eligible_islands"""
+
+
+@query("fold_random_regions", "M5, R11, R12, I5", f"""
+    SELECT split, feature_set, n_features, d AS feature_draw, n_features AS n_regions, min_length, max_length, n_reference, CAST(0 AS BIGINT) AS n_overlapping,
+           CAST(0 AS BIGINT) AS n_on_training, CAST(0 AS BIGINT) AS n_without_point, CAST(0 AS BIGINT) AS n_outside, true AS lengths_follow
+    FROM (SELECT split, feature_set, min(length) AS min_length, max(length) AS max_length, count(*) AS n_reference FROM length_kinds GROUP BY ALL)
+    CROSS JOIN set_sizes CROSS JOIN (SELECT x AS d FROM range(0, {DRAWS}) AS t(x)) AS q""")
 def _(t):
-    recurrent = materialize(R.merge_with_provenance(t.regions.where("sample_id <> 'P'"), max_gap=0), "recurrent")
-    normal = materialize(R.merge_intervals(t.regions.where("sample_id = 'P' AND end - start > 20300")), "normal")
-    sets = M.feature_sets(recurrent, normal, t.features, 40, exclude_bp=1000)
-    return sets.groupBy("feature_set").agg(F.count("*").alias("n"))
+    """Sizes and reference lengths by set, and counts of what must not be: the placements themselves are random."""
+    beta, cohort = materialize(matrix(t), "matrix"), assigned(t)
+    members = materialize(FF.fold_members(cohort, FOLDS), "members")
+    sets = materialize(fold_sets(t, ["Random long", "Random short"]), "sets")
+    anchors = materialize(FF.fold_anchors(beta, cohort, FOLDS, REPEATS), "anchors")
+    whole = materialize(FF.fold_regions(t.cohort_segments, members, "Tumor"), "whole")
+    tumor = FF.observed_regions(whole, anchors).select("split", F.lit("Random long").alias("feature_set"), "length")
+    every = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(FOLDS * REPEATS)]))
+    islands = t.features.select("chrom", "start", "end").distinct().select(every.alias("split"), "chrom", "start", "end").withColumn("length", F.col("end") - F.col("start"))
+    short = FF.observed_regions(islands, anchors).select("split", F.lit("Random short").alias("feature_set"), "length")
+    kinds = tumor.unionByName(short).groupBy("split", "feature_set").agg(
+        F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.count("*").alias("n_reference"), F.avg("length").alias("mean_length"))
+    marked = R.mark_overlaps(sets, whole.select("split", "chrom", "start", "end"), ["split"], name="on_training")
+    marked = R.count_points(marked, anchors.select("split", "chrom", F.col("anchor_pos").alias("start")), ["split"], "n_points")
+    marked = R.overlap_totals(marked, sets.select(*FF.SET, "chrom", "start", "end"), FF.SET, count="n_own")
+    marked = marked.join(t.sizes, "chrom").join(kinds, ["split", "feature_set"])
+    out = marked.groupBy(*FF.SET, "min_length", "max_length", "n_reference").agg(
+        F.count("*").alias("n_regions"), F.count_if(F.col("n_own") > 1).alias("n_overlapping"), F.count_if("on_training").alias("n_on_training"),
+        F.count_if((F.col("n_points") < 1) | (F.col("n_points") != F.col("training_observed_points"))).alias("n_without_point"),
+        F.count_if((F.col("start") < 0) | (F.col("end") > F.col("size")) | (F.col("length") < F.col("min_length")) | (F.col("length") > F.col("max_length"))
+                   | (F.col("length") != F.col("end") - F.col("start"))).alias("n_outside"),
+        (F.avg("length") / F.avg("mean_length")).alias("_ratio"))
+    # a mean of five lengths or more lies within a factor of four of its gamma's mean
+    return out.withColumn("lengths_follow", F.col("_ratio").between(0.25, 4)).drop("_ratio")
 
 
 def cohort_tables(t, n=12):

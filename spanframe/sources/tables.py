@@ -60,6 +60,13 @@ VIEW_SQL = {
                CAST(p_partkey * 700 AS BIGINT) AS start, CAST(p_partkey * 700 + 1 AS BIGINT) AS {end},
                concat('cg', lpad(CAST(p_partkey AS {text}), 8, '0')) AS probe
         FROM part""",
+    # regions called in each sample of the arrays, at loci that samples share
+    "cohort_segments": """
+        SELECT concat('S', CAST(o_orderkey % 40 AS {text})) AS sample_id,
+               concat('chr', CAST((o_orderkey // 40) % 3 + 1 AS {text})) AS chrom,
+               CAST((o_custkey % 199 // 4) * 28000 + o_custkey % 199 % 4 * 2800 + o_orderkey % 50 AS BIGINT) AS start,
+               CAST((o_custkey % 199 // 4) * 28000 + o_custkey % 199 % 4 * 2800 + o_orderkey % 50 + 300 + (o_orderkey * 37) % 1400 AS BIGINT) AS {end}
+        FROM orders""",
     # biological samples of patients, by barcode
     "samples": """
         SELECT concat('TCGA-', 'A', CAST((o_custkey // 10000) % 10 AS {text}), '-',
