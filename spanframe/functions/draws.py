@@ -41,27 +41,6 @@ def gamma_quantiles(u: np.ndarray, shape: float, scale: float) -> np.ndarray:
     return np.interp(u, *_gamma_table(shape, scale))
 
 
-def binomial_quantiles(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Smallest k with P(X <= k) >= u, in log space so large n do not underflow."""
-    n = n.astype(np.int64)
-    out = np.zeros(len(n), dtype=np.int64)
-    if not len(n):
-        return out
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(int(n.max()), 1) + 1)))])
-    log_p, log_q = np.log(np.clip(p, 1e-300, 1)), np.log(np.clip(1 - p, 1e-300, 1))
-    reached = np.zeros(len(n))
-    live = np.arange(len(n))
-    for k in range(int(n.max()) + 1):
-        m = n[live]
-        reached[live] += np.exp(log_fact[m] - log_fact[k] - log_fact[m - k] + k * log_p[live] + (m - k) * log_q[live])
-        done = (reached[live] >= u[live]) | (m <= k)
-        out[live[done]] = k
-        live = live[~done]
-        if not len(live):
-            break
-    return out
-
-
 def beta_draw(u: Column, a: float, b: float) -> Column:
     @F.pandas_udf("double")
     def draw(values: pd.Series) -> pd.Series:
@@ -70,22 +49,6 @@ def beta_draw(u: Column, a: float, b: float) -> Column:
     return draw(u)
 
 
-def gamma_draw(u: Column, shape: float, scale: float) -> Column:
-    @F.pandas_udf("double")
-    def draw(values: pd.Series) -> pd.Series:
-        return pd.Series(gamma_quantiles(values.to_numpy(), shape, scale))
-
-    return draw(u)
-
-
-def binomial_draw(u: Column, n: Column, p: Column) -> Column:
-    @F.pandas_udf("bigint")
-    def draw(values: pd.Series, trials: pd.Series, rate: pd.Series) -> pd.Series:
-        return pd.Series(binomial_quantiles(values.to_numpy(), trials.to_numpy(), rate.to_numpy()))
-
-    return draw(u, n, p)
-
-
 def digamma(x: float) -> float:
     total = 0.0
     while x < 10:

@@ -7,17 +7,14 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions import key_hash, safe_divide
-from spanframe.operators.points import feature_matrix, region_features
-from spanframe.operators.ranges import count_points, exclude_near, merge_with_provenance
-from spanframe.operators.ranking import recurrent_top
+from spanframe.operators.ranges import count_points, merge_with_provenance
 from spanframe.operators.scan import ranked
-from spanframe.operators.scoring import classification_metrics, multiclass_report
-from spanframe.session import materialize
+from spanframe.operators.scoring import multiclass_report
 
 
 def observed_points(beta: DataFrame, min_samples: int = 1, sample: str = "sample_id") -> DataFrame:
@@ -101,22 +98,6 @@ def split_validation(manifest: DataFrame, folds: DataFrame, k: int, repeats: int
         "ok", F.coalesce(F.col("folds_ok"), F.lit(False)) & (F.col("n_jobs") == k * repeats)).drop("folds_ok")
 
 
-def feature_sets(recurrent: DataFrame, normal_top: DataFrame, islands: DataFrame, n: int, seed: int = 42,
-                 exclude_bp: int | None = None) -> DataFrame:
-    """Region sets of one fold: the most recurrent regions (optionally away from
-    the normal ones), random recurrent regions, random islands."""
-    from spanframe.operators.randomize import sample_regions
-    usable = recurrent if exclude_bp is None else exclude_near(recurrent, normal_top, exclude_bp)
-    coords = ["chrom", "start", "end"]
-    sets = {"recurrent": recurrent_top(usable, n), "random_recurrent": sample_regions(usable, n, seed),
-            "islands": sample_regions(islands, n, seed)}
-    out = None
-    for name, df in sets.items():
-        rows = df.select(*coords).withColumn("feature_set", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def index_regions(sets: DataFrame, key: Sequence[str] = ("feature_set",)) -> DataFrame:
     """A 1-based ``region_index`` per set, in position order."""
     blocked = sets.withColumn("_b", F.struct("chrom", F.shiftright("start", 20).alias("t")))
@@ -162,53 +143,29 @@ def train_score(train: DataFrame, test: DataFrame, columns: Sequence[str], trees
         F.when(F.col("prediction") == 1, "Tumor").otherwise("Normal").alias("y_pred"), "y_score")
 
 
-def run_feature_benchmark(beta: DataFrame, labels: DataFrame, folds: DataFrame, sets: DataFrame, n_folds: int,
-                          trees: int = 500, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(scores, predictions) over folds x feature sets.
+def _vectors(df: DataFrame, features: str) -> DataFrame:
+    """``_v``: the array of features as a vector; a missing value raises."""
+    bad = F.exists(features, lambda x: x.isNull() | F.isnan(x))
+    checked = F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("features with missing values")).cast("array<double>")).otherwise(F.col(features))
+    return df.withColumn("_v", array_to_vector(checked))
 
-    Region means of all sets are computed in one distributed job; only the model
-    fits loop, over small sample x feature tables. ``labels``: (sample_id, label),
-    ``folds``: (sample_id, fold), ``sets``: (feature_set, chrom, start, end).
-    """
-    indexed = materialize(index_regions(sets), "sets")
-    every = indexed.select("chrom", "start", "end").distinct()
-    numbered = index_regions(every.withColumn("feature_set", F.lit("all")))
-    means = materialize(region_features(beta, numbered), "features")
-    lookup = indexed.withColumnRenamed("region_index", "_i").join(
-        numbered.select("chrom", "start", "end", "region_index"), ["chrom", "start", "end"])
-    sizes = {r["feature_set"]: r["n"] for r in indexed.groupBy("feature_set").agg(F.count("*").alias("n")).collect()}
-    predictions = None
-    for name, n in sorted(sizes.items()):
-        mine = lookup.where(F.col("feature_set") == name).select("region_index", "_i")
-        long = means.join(mine, "region_index").select("sample_id", F.col("_i").alias("region_index"), "value")
-        wide = materialize(feature_matrix(long, list(range(1, n + 1))).join(labels, "sample_id").join(folds, "sample_id"), "wide")
-        columns = [f"region_{i}" for i in range(1, n + 1)]
-        for fold in range(n_folds):
-            scored = train_score(wide.where(F.col("fold") != fold), wide.where(F.col("fold") == fold), columns, trees, seed + fold)
-            rows = scored.withColumn("feature_set", F.lit(name)).withColumn("fold", F.lit(fold)).withColumn("n_features", F.lit(n))
-            predictions = rows if predictions is None else predictions.unionByName(rows)
-    predictions = materialize(predictions, "predictions")
-    return classification_metrics(predictions, ["feature_set", "n_features", "fold"]), predictions
-
-
-def no_nulls(df: DataFrame, columns: Sequence[str]) -> None:
-    row = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(c) for c in columns]).first()
-    bad = [c for c in columns if row[c]]
-    if bad:
-        raise ValueError(f"features with missing values: {bad}")
-
-
-def holdout_classifier(train: DataFrame, test: DataFrame, columns: Sequence[str], classes: Sequence[str], trees: int = 300,
+
+def sample_vectors(long: DataFrame, sample: str = "sample_id") -> tuple[DataFrame, int]:
+    """((sample, features), number of samples) over the regions that every sample has a value of, in the order of their index."""
+    n = long.select(sample).distinct().count()
+    present = long.where(F.col("value").isNotNull())
+    whole = present.groupBy("region_index").agg(F.count("*").alias("_n")).where(F.col("_n") == n).select("region_index")
+    listed = present.join(whole, "region_index").groupBy(sample).agg(F.sort_array(F.collect_list(F.struct("region_index", "value"))).alias("_f"))
+    return listed.select(sample, F.transform("_f", lambda x: x["value"]).alias("features")), n
+
+
+def holdout_classifier(train: DataFrame, test: DataFrame, classes: Sequence[str], features: str = "features", trees: int = 300,
                        seed: int = 42, depth: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
     """(report, predictions) of a scaled random forest with balanced class weights
     on a held-out set; ``label`` is the class index. A missing value raises."""
-    columns = list(columns)
-    no_nulls(train, columns)
-    no_nulls(test, columns)
-    stages = [VectorAssembler(inputCols=columns, outputCol="_v"),
-              StandardScaler(inputCol="_v", outputCol="features", withMean=True),
-              RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, seed=seed, maxDepth=depth)]
-    scored = Pipeline(stages=stages).fit(balanced_weights(train)).transform(test)
+    stages = [StandardScaler(inputCol="_v", outputCol="_z", withMean=True),
+              RandomForestClassifier(featuresCol="_z", labelCol="label", weightCol="weight", numTrees=trees, seed=seed, maxDepth=depth)]
+    scored = Pipeline(stages=stages).fit(balanced_weights(_vectors(train, features))).transform(_vectors(test, features))
     names = F.array(*[F.lit(c) for c in classes])
     predictions = scored.select("sample_id", F.element_at(names, F.col("label").cast("int") + 1).alias("y_true"),
                                 F.element_at(names, F.col("prediction").cast("int") + 1).alias("y_pred"),
@@ -216,20 +173,23 @@ def holdout_classifier(train: DataFrame, test: DataFrame, columns: Sequence[str]
     return multiclass_report(predictions, classes), predictions
 
 
-def sample_pca(features: DataFrame, columns: Sequence[str], components: int = 2) -> tuple[DataFrame, list[float]]:
-    """(sample components, explained ratios) after dropping all-null columns and
-    z-scaling by the population std; a remaining null raises. Component signs are
-    arbitrary."""
-    counts = features.agg(*[F.count(c).alias(c) for c in columns], F.count("*").alias("_rows")).first()
-    kept = [c for c in columns if counts[c]]
-    rows = features.na.drop("all", subset=kept)
-    assembler = VectorAssembler(inputCols=kept, outputCol="_v", handleInvalid="error")
+def sample_pca(rows: DataFrame, components: int = 2, features: str = "features") -> tuple[DataFrame, list[float]]:
+    """(sample components, explained ratios) of z-scored features (population std)
+    after dropping those that no row has; a remaining missing value raises.
+    Component signs are arbitrary."""
+    rows = rows.where(F.exists(features, lambda x: x.isNotNull()))
+    width = rows.agg(F.max(F.size(features)).alias("n")).first()["n"] or 0
+    # one counter a feature, over all rows
+    held = rows.select(F.posexplode(features).alias("_i", "_x")).groupBy("_i").agg(F.count("_x").alias("_n")).where("_n > 0")
+    kept = sorted(r["_i"] for r in held.select("_i").collect())
+    if len(kept) < width:
+        rows = rows.withColumn(features, F.array(*[F.col(features)[i] for i in kept]))
     scaler = StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True)
-    model = Pipeline(stages=[assembler, scaler, PCA(k=components, inputCol="_z", outputCol="_p")]).fit(rows)
+    model = Pipeline(stages=[scaler, PCA(k=components, inputCol="_z", outputCol="_p")]).fit(_vectors(rows, features))
     parts = vector_to_array("_p")
     n = rows.count()
     factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0  # Spark scales by the sample std
-    out = model.transform(rows).select("sample_id", *[(parts[i] * factor).alias(f"pc{i + 1}") for i in range(components)])
+    out = model.transform(_vectors(rows, features)).select("sample_id", *[(parts[i] * factor).alias(f"pc{i + 1}") for i in range(components)])
     return out, [float(x) for x in model.stages[-1].explainedVariance]
 
 

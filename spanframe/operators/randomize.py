@@ -1,4 +1,4 @@
-"""Backgrounds, injected truth, permutation nulls and random matched regions.
+"""Backgrounds, checks of injected truth, permutation nulls and random regions.
 
 Draws depend on keys and a seed only. Python works on column batches, or on
 groups whose size has a fixed bound (stated at each use).
@@ -10,35 +10,26 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions import clip, half_even, key_hash, safe_divide, stable_seed, unit_hash
-from spanframe.functions.draws import beta_draw, beta_quantiles, binomial_draw, gamma_draw, gamma_quantiles, gamma_shape
+from spanframe.functions.draws import beta_draw, gamma_quantiles, gamma_shape
 from spanframe.operators.cleaning import downsample
 from spanframe.operators.points import region_mean
-from spanframe.operators.ranges import (annotate_with_sources, complement, count_points, depth_segments, flag_points,
-                                        label_points, mark_overlaps, merge_intervals, overlap_totals,
-                                        supported_spans, tagged_depth)
+from spanframe.operators.ranges import (annotate_with_sources, depth_segments, flag_points, label_points, mark_overlaps,
+                                        merge_intervals, overlap_totals, supported_spans)
 from spanframe.operators.scan import ranked
 from spanframe.session import materialize
 
 SAMPLE = ("sample_id",)
 
-# Settings of the injected truth regions.
+# Settings of the segments that truth regions may take.
 PLACEMENT = {
-    "min_len_bp": 150_000, "max_len_bp": 20_000_000, "min_gap_bp": 1_000_000,
-    "per_chrom_min": 5, "per_chrom_max": 10, "length_sampling": "log_normal",
-    "length_mean_bp": 700_000, "length_std_bp": 1_000_000,
+    "min_len_bp": 150_000, "min_gap_bp": 1_000_000,
     "end_buffer_frac": 0.10, "center_buffer_frac": 0.10,
 }
-NOISE = {
-    "min_region_len_bp": 200_000, "spike_len_min_bp": 2_000, "spike_len_max_bp": 20_000,
-    "spikes_per_region_min": 1, "spikes_per_region_max": 4, "high_spike_fraction": 0.5,
-}
-# Fixed values: (share, a, b) of the Beta mixture inside injected regions, and the spike Betas.
-TRUTH_MIXTURE = [(0.80, 5.0, 5.0), (0.15, 1.5, 13.0), (0.05, 13.0, 1.5)]
-SPIKE_BETA = {"low": (1.2, 20.0), "high": (20.0, 1.2)}
+# The Beta of replaced points.
 BACKGROUND_BETA = (13.0, 1.5)
 
 
@@ -98,139 +89,6 @@ def placement_segments(points: DataFrame, config: dict | None = None, keys: Sequ
             .withColumn("capacity", F.floor((length + c["min_gap_bp"]) / (c["min_len_bp"] + c["min_gap_bp"])).cast("bigint")))
 
 
-def _draw_length(rng: np.random.Generator, c: dict, room: int) -> int:
-    low, high = c["min_len_bp"], min(c["max_len_bp"], room)
-    if c["length_sampling"] == "uniform":
-        return int(rng.integers(low, high + 1))
-    for _ in range(200):
-        if c["length_sampling"] == "normal":
-            value = rng.normal(c["length_mean_bp"], c["length_std_bp"])
-        else:
-            spread = np.log1p((c["length_std_bp"] / c["length_mean_bp"]) ** 2)
-            value = rng.lognormal(np.log(c["length_mean_bp"]) - spread / 2, np.sqrt(spread))
-        if low <= value <= high:
-            return int(value)
-    return low
-
-
-def _fill(free: list[tuple[int, int]], count: int, rng: np.random.Generator, c: dict) -> list[tuple[int, int]]:
-    """Place regions into free windows, each shrunk by the gap after a placement."""
-    placed = []
-    for _ in range(count):
-        room = [max(e - s, 0) for s, e in free]
-        if not room or max(room) < c["min_len_bp"]:
-            break
-        length = _draw_length(rng, c, max(room))
-        weight = np.array([max(r - length + 1, 0) for r in room], dtype=float)
-        i = int(rng.choice(len(free), p=weight / weight.sum()))
-        s, e = free.pop(i)
-        at = int(rng.integers(s, e - length + 1))
-        placed.append((at, at + length))
-        free += [(s, at - c["min_gap_bp"]), (at + length + c["min_gap_bp"], e)]
-    return sorted(placed)
-
-
-def place_regions(segments: DataFrame, config: dict | None = None, seed: int = 42,
-                  manual: dict | None = None) -> DataFrame:
-    """Truth regions (sample_id, chrom, start, end, truth_id) inside the segments.
-
-    One group per (sample, chrom). Its rows are segments of at least
-    ``min_len_bp`` that do not overlap, so a 250 Mb chromosome has at most
-    ~1,700 of them, whatever the number of points behind them.
-    """
-    c = {**PLACEMENT, **(config or {})}
-    fixed = manual or {}
-
-    def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        sample, chrom = key
-        rng = np.random.default_rng(int(group["_seed"].iloc[0]))
-        windows = list(zip(group["start"], group["end"]))
-        chosen = [tuple(i) for who in ("all_samples", sample) for i in fixed.get(who, {}).get(chrom, [])]
-        if chosen:
-            ordered = sorted(chosen)
-            for s, e in ordered:
-                if e - s < c["min_len_bp"] or not any(a <= s and e <= b for a, b in windows):
-                    raise ValueError(f"manual region {(s, e)} does not fit {sample} {chrom}")
-            if any(y[0] - x[1] < c["min_gap_bp"] for x, y in zip(ordered, ordered[1:])):
-                raise ValueError(f"manual regions of {sample} {chrom} are too close")
-            best = ordered
-        else:
-            capacity = int(group["capacity"].sum())
-            low, high = min(c["per_chrom_min"], capacity), min(c["per_chrom_max"], capacity)
-            want = int(rng.integers(low, high + 1))
-            best = []
-            for _ in range(50):
-                attempt = _fill(list(windows), want, rng, c)
-                best = max(best, attempt, key=len)
-                if len(best) == want:
-                    break
-        return pd.DataFrame({"sample_id": sample, "chrom": chrom, "start": [s for s, _ in best], "end": [e for _, e in best],
-                             "truth_id": [f"{sample}_{chrom}_PMD_{i:02d}" for i in range(1, len(best) + 1)]})
-
-    keyed = segments.withColumn("_seed", stable_seed(seed, F.concat_ws("|", "sample_id", "chrom")))
-    return keyed.groupBy("sample_id", "chrom").applyInPandas(
-        place, "sample_id string, chrom string, start bigint, end bigint, truth_id string")
-
-
-def noise_spikes(truth: DataFrame, config: dict | None = None, seed: int = 42) -> DataFrame:
-    """Disjoint low/high spikes inside long truth regions: candidate k of a region
-    comes from hashes of its key; a candidate meeting an earlier one is dropped."""
-    c = {**NOISE, **(config or {})}
-    region = ["sample_id", "chrom", "start", "end"]
-    many = c["spikes_per_region_max"] - c["spikes_per_region_min"] + 1
-    count = c["spikes_per_region_min"] + F.floor(unit_hash(f"{seed}-n", *region) * many)
-    long = truth.where(F.col("end") - F.col("start") >= c["min_region_len_bp"]).select(*region)
-    spread = c["spike_len_max_bp"] - c["spike_len_min_bp"] + 1
-    drawn = (long.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), count)))
-             .withColumn("len", c["spike_len_min_bp"] + F.floor(unit_hash(f"{seed}-l", *region, "k") * spread))
-             .withColumn("s", F.col("start") + F.floor(unit_hash(f"{seed}-s", *region, "k")
-                                                       * (F.col("end") - F.col("start") - F.col("len") + 1)))
-             .withColumn("kind", F.when(unit_hash(f"{seed}-h", *region, "k") < c["high_spike_fraction"], "high").otherwise("low")))
-    earlier = drawn.select(*region, F.col("k").alias("k2"), F.col("s").alias("s2"), (F.col("s") + F.col("len")).alias("e2"))
-    # at most spikes_per_region_max candidates per region meet each other
-    clash = (drawn.join(earlier, region)
-             .where((F.col("k2") < F.col("k")) & (F.col("s2") < F.col("s") + F.col("len")) & (F.col("s") < F.col("e2")))
-             .select(*region, "k").distinct())
-    return (drawn.join(clash, [*region, "k"], "left_anti")
-            .select("sample_id", "chrom", F.col("s").alias("start"), (F.col("s") + F.col("len")).alias("end"), "kind"))
-
-
-def inject(points: DataFrame, truth: DataFrame, seed: int = 42, spikes: DataFrame | None = None) -> DataFrame:
-    """Points with binomial methylation drawn inside truth regions (by start) and
-    their spikes. Adds ``in_truth``. Rows, coordinates and coverage stay."""
-    sets = {"inside": truth.select(*SAMPLE, "chrom", "start", "end")}
-    if spikes is not None:
-        for kind in SPIKE_BETA:
-            sets[kind] = spikes.where(F.col("kind") == kind).select(*SAMPLE, "chrom", "start", "end")
-    pieces = tagged_depth(sets, SAMPLE).where("inside > 0")
-    kind = F.when(F.col("low") > 0, "low").when(F.col("high") > 0, "high").otherwise("plain") if spikes is not None \
-        else F.lit("plain")
-    labelled = label_points(points, pieces.withColumn("_kind", kind), SAMPLE, ["_kind"])
-    key = [*SAMPLE, "chrom", "start", "end"]
-
-    @F.pandas_udf("double")
-    def rate(mix: pd.Series, u: pd.Series, which: pd.Series) -> pd.Series:
-        out = np.zeros(len(u))
-        values, m = u.to_numpy(), mix.to_numpy()
-        edge = 0.0
-        plain = (which == "plain").to_numpy()
-        for share, a, b in TRUTH_MIXTURE:
-            rows = plain & (m >= edge) & (m < edge + share)
-            out[rows] = beta_quantiles(values[rows], a, b)
-            edge += share
-        for name, (a, b) in SPIKE_BETA.items():
-            rows = (which == name).to_numpy()
-            out[rows] = beta_quantiles(values[rows], a, b)
-        return pd.Series(out)
-
-    p = rate(unit_hash(f"{seed}-mix", *key), unit_hash(f"{seed}-rate", *key), F.coalesce("_kind", F.lit("none")))
-    drawn = binomial_draw(unit_hash(f"{seed}-count", *key), F.coalesce("coverage", F.lit(0).cast("bigint")), p)
-    inside = F.col("_kind").isNotNull()
-    return (labelled.withColumn("in_truth", inside)
-            .withColumn("meth", F.when(inside, F.least(drawn, F.col("coverage"))).otherwise(F.col("meth")))
-            .select(*points.columns, "in_truth"))
-
-
 def injection_checks(before: DataFrame, after: DataFrame, truth: DataFrame) -> DataFrame:
     """Per sample: same rows, coordinates and coverage, meth within coverage, truth
     and modified rows present, mean beta inside truth before and after."""
@@ -448,83 +306,6 @@ def fit_gamma_lengths(regions: DataFrame) -> dict:
     return fit
 
 
-def random_matched_regions(reference: DataFrame, excluded: DataFrame, sizes: DataFrame, points: DataFrame, n: int,
-                           draws: int = 1, seed: int = 42, min_points: int = 1, attempts: int = 256, batch: int = 16) -> DataFrame:
-    """``n`` random regions per draw: chromosomes by reference frequency, gamma
-    lengths, anchored on an observed point of the allowed pool, at least
-    ``min_points`` points, none overlapping another of its draw.
-
-    Each attempt first takes an anchor of the drawn chromosome and, should that
-    not fit, one of any chromosome. Rounds of ``batch`` attempts make candidates
-    for the slots still open only; a slot takes its first one clear of all
-    accepted regions, and of new ones that overlap the lowest slot stays while
-    the others try again. A slot open after ``attempts`` raises.
-    """
-    fit = fit_gamma_lengths(reference)
-    pool = materialize(complement(excluded, sizes.select(
-        "chrom", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end")), (), fit["min_realistic_length"]), "pool")
-    inside = label_points(points.select("chrom", "start").distinct().withColumn("end", F.col("start") + 1),
-                          pool.withColumn("pool_start", F.col("start")).withColumn("pool_end", F.col("end")), (),
-                          ["pool_start", "pool_end"]).where("pool_start IS NOT NULL")
-    anchors = materialize(ranked(inside.withColumn("_t", F.shiftright("start", 20)), ["chrom"], ["start"], block="_t",
-                                 name="rank").select("chrom", "rank", F.col("start").alias("anchor"), "pool_start", "pool_end"),
-                          "anchors")
-    # chromosome frequencies and anchor counts: one row per chromosome, as one array
-    counted = anchors.groupBy("chrom").agg(F.max("rank").alias("n_anchors"))
-    table = materialize(counted.join(reference.groupBy("chrom").agg(F.count("*").alias("w")), "chrom", "left").na.fill(0, ["w"])
-                        .agg(F.array_sort(F.collect_list(F.struct("chrom", "w", "n_anchors"))).alias("c")), "chromosomes")
-    observed = points.select("chrom", "start").distinct()
-    open_slots = materialize(reference.sparkSession.range(draws).withColumnRenamed("id", "draw")
-                             .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), "slots")
-    accepted = None
-    for first in range(0, 2 * attempts, 2 * batch):
-        last = min(first + 2 * batch, 2 * attempts) - 1
-        candidates = _matched_candidates(open_slots, first, last, table, anchors, fit, seed)
-        fitting = count_points(materialize(candidates, "candidates"), observed, (), name="n_points").where(F.col("n_points") >= min_points)
-        if accepted is not None:
-            fitting = mark_overlaps(fitting, accepted.select("draw", "chrom", "start", "end"), ["draw"], name="_hit").where("NOT _hit")
-        chosen = fitting.groupBy("draw", "slot").agg(F.min_by(F.struct("chrom", "start", "end", "n_points"), "try").alias("p"))
-        chosen = materialize(chosen.select("draw", "slot", "p.*"), "chosen")
-        clusters = merge_intervals(chosen, ["draw"], -1).withColumn("_cluster", F.col("start"))
-        marked = label_points(chosen, clusters, ["draw"], ["_cluster"])
-        new = marked.groupBy("draw", "chrom", "_cluster").agg(F.min(F.struct("slot", "start", "end", "n_points")).alias("p"))
-        new = new.select("draw", "p.slot", "chrom", "p.start", "p.end", "p.n_points")
-        accepted = materialize(new if accepted is None else accepted.unionByName(new), "accepted")
-        open_slots = materialize(open_slots.join(accepted.select("draw", "slot"), ["draw", "slot"], "left_anti"), "slots")
-        if open_slots.isEmpty():
-            return accepted
-    raise ValueError(f"{open_slots.count()} random regions found no place in {attempts} attempts")
-
-
-def _matched_candidates(slots: DataFrame, first: int, last: int, table: DataFrame, anchors: DataFrame, fit: dict, seed: int) -> DataFrame:
-    """Candidates (draw, slot, try) for tries ``first`` to ``last``; odd tries take any chromosome."""
-    key = ["draw", "slot", "try"]
-    anywhere = F.col("try") % 2 == 1
-    drawn = [F.col("draw"), F.col("slot"), F.shiftright("try", 1).alias("attempt")]
-    u = {x: unit_hash(f"{seed}-{x}", *drawn) for x in "cl"} | {x: unit_hash(f"{seed}-{x}", *key) for x in "as"}
-
-    def weight(x: Column) -> Column:
-        return F.when(anywhere, x.n_anchors).otherwise(x.w)
-
-    total = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + weight(x))
-    pick = F.aggregate(
-        "c", F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("string").alias("chrom"),
-                      F.lit(None).cast("bigint").alias("n_anchors")),
-        lambda acc, x: F.when(acc.chrom.isNull() & (acc.seen + weight(x) > F.col("target")),
-                              F.struct((acc.seen + weight(x)).alias("seen"), x.chrom.alias("chrom"), x.n_anchors.alias("n_anchors")))
-        .otherwise(F.struct((acc.seen + weight(x)).alias("seen"), acc.chrom.alias("chrom"), acc.n_anchors.alias("n_anchors"))))
-    length = F.least(F.greatest(F.rint(gamma_draw(u["l"], fit["shape"], fit["scale"])), F.lit(fit["min_length"])), F.lit(fit["max_length"])).cast("bigint")
-    asked = (slots.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(last)))).crossJoin(F.broadcast(table))  # one row
-             .withColumn("target", F.floor(u["c"] * total).cast("bigint")).withColumn("p", pick)
-             .select(*key, F.col("p.chrom").alias("chrom"), length.alias("length"),
-                     (F.floor(u["a"] * F.col("p.n_anchors")) + 1).cast("bigint").alias("rank")))
-    low = F.greatest("pool_start", F.col("anchor") - F.col("length") + 1)
-    high = F.least(F.col("pool_end") - F.col("length"), F.col("anchor"))
-    return (asked.join(anchors, ["chrom", "rank"]).withColumn("_lo", low).withColumn("_hi", high).where("_lo <= _hi")
-            .withColumn("start", F.col("_lo") + F.floor(u["s"] * (F.col("_hi") - F.col("_lo") + 1)).cast("bigint"))
-            .withColumn("end", F.col("start") + F.col("length")).select(*key, "chrom", "start", "end"))
-
-
 def sample_regions(regions: DataFrame, n: int, seed: int = 42, part: Sequence[str] = ()) -> DataFrame:
     """Exactly ``n`` distinct coordinates per ``part``; fewer available raises."""
     coords = [*part, "chrom", "start", "end"]
@@ -562,19 +343,3 @@ def select_samples(samples: DataFrame, n: int, min_group_size: int, seed: int =
         normals = samples.where("sample_type = 'Solid Tissue Normal'")
         chosen = chosen.unionByName(normals.join(chosen.select("sample"), "sample", "left_anti"))
     return chosen.withColumn("is_anchor", F.coalesce(F.col("sample") == F.lit(anchor), F.lit(False)))
-
-
-def random_search_configs(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """Parameter sets for a sweep: log-uniform window sizes, uniform integers."""
-    def log_uniform(name: str, low: float, high: float) -> Column:
-        u = unit_hash(f"{seed}-{name}", "config_id")
-        return F.exp(np.log(low) + u * float(np.log(high) - np.log(low))).cast("bigint").alias(name)
-
-    def whole(name: str, low: int, high: int) -> Column:
-        return (low + F.floor(unit_hash(f"{seed}-{name}", "config_id") * (high - low + 1))).cast("bigint").alias(name)
-
-    return spark.range(n).withColumnRenamed("id", "config_id").select(
-        "config_id", log_uniform("small_window_bp", 1_000, 20_000), log_uniform("large_window_bp", 20_000, 200_000),
-        whole("min_cpgs", 3, 12), whole("min_len_bp", 1_000, 20_000), whole("merge_gap_bp", 0, 100_000))
-
-

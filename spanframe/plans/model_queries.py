@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from math import lgamma
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from spanframe.functions.draws import digamma
 from spanframe.operators import cleaning as C
 from spanframe.operators import cohort as M
 from spanframe.operators import context as G
@@ -160,25 +164,37 @@ def _(t):
     return rounded(rounded(rounded(out, 4, "mean_length"), 9, "mean_log_length"), 2, "variance")
 
 
-@query("fit_gamma_lengths", "R11")
+@query("fit_gamma_lengths", "R11", """
+    SELECT round(avg("end" - start), 4) AS mean_length, count(*) AS n_observations, true AS stationary, true AS quarter FROM regions""")
 def _(t):
+    """At the maximum of the likelihood: shape * scale is the mean, and log(shape) - digamma(shape) the gap between log mean and mean log.
+    The least realistic length is the gamma's 25 % quantile."""
     fit = Z.fit_gamma_lengths(t.regions)
-    # the fit, and how many regions reach its smallest realistic length
-    return t.regions.agg(F.lit(fit["shape"]).alias("shape"), F.lit(fit["scale"]).alias("scale"),
-                         F.count_if(F.col("end") - F.col("start") >= fit["min_realistic_length"]).alias("n_realistic"))
-
-
-@query("random_matched_regions", "R12, I5", """
-    SELECT CAST(d AS BIGINT) AS draw, CAST(20 AS BIGINT) AS n, true AS ok FROM range(0, 4) AS r(d)""")
+    gap = np.log(fit["mean_length"]) - fit["mean_log_length"]
+    stationary = abs(np.log(fit["shape"]) - digamma(fit["shape"]) - gap) < 1e-9
+    x = (np.arange(200_000) + 0.5) / 200_000 * fit["min_realistic_length"]
+    mass = float(np.exp((fit["shape"] - 1) * np.log(x) - x / fit["scale"] - lgamma(fit["shape"]) - fit["shape"] * np.log(fit["scale"])).mean() * fit["min_realistic_length"])
+    return t.regions.agg(F.round(F.lit(fit["shape"] * fit["scale"]), 4).alias("mean_length"), F.count("*").alias("n_observations"),
+                         F.lit(bool(stationary)).alias("stationary"), F.lit(abs(mass - 0.25) < 1e-3).alias("quarter"))
+
+
+@query("random_matched_regions", "R12, R11, I5", """
+    SELECT tool, d AS draw, CAST(20 AS BIGINT) AS n, min("end" - start) AS min_length, max("end" - start) AS max_length, count(*) AS n_reference,
+           CAST(0 AS BIGINT) AS n_on_excluded, CAST(0 AS BIGINT) AS n_overlapping, CAST(0 AS BIGINT) AS n_outside
+    FROM regions CROSS JOIN (SELECT x AS d FROM range(0, 2) AS t(x)) AS q GROUP BY tool, d""")
 def _(t):
-    excluded = materialize(t.merged.where("sample_id = 'P'").select("chrom", "start", "end"), "excluded")
-    reference = t.regions.where("tool = '1'")
-    points = materialize(t.points.select("chrom", "start", "end").distinct(), "points")
-    found = materialize(Z.random_matched_regions(reference, excluded, wide_sizes(t), points, 20, draws=4, min_points=2), "random")
-    hit = R.mark_overlaps(found, excluded, (), name="_x")
-    deepest = R.depth_segments(found, ["draw"]).groupBy("draw").agg(F.max("depth").alias("_d"))
-    return (hit.groupBy("draw").agg(F.count("*").alias("n"), F.count_if(F.col("_x")).alias("_hit"), F.min("n_points").alias("_p"))
-            .join(deepest, "draw").select("draw", "n", ((F.col("_hit") == 0) & (F.col("_d") == 1) & (F.col("_p") >= 2)).alias("ok")))
+    """Every tool's regions as reference, all features excluded, two points or more; the places themselves are random."""
+    reference = t.regions.select(F.lit(0).cast("bigint").alias("split"), F.col("tool").alias("kind"), "chrom", "start", "end", (F.col("end") - F.col("start")).alias("length"))
+    excluded = t.merged_features.withColumn("split", F.lit(0).cast("bigint"))
+    anchors = materialize(t.points.select(F.lit(0).cast("bigint").alias("split"), "chrom", F.col("start").alias("anchor_pos")).distinct(), "points")
+    found = materialize(FF.placed_regions(reference, excluded, t.sizes, anchors, 20, draws=2, min_points=2).drop("split"), "random")
+    marked = R.mark_overlaps(found, t.merged_features, (), name="_x")
+    marked = R.overlap_totals(marked, found.select("kind", "draw", "chrom", "start", "end"), ["kind", "draw"], count="_own")
+    lengths = reference.groupBy("kind").agg(F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.count("*").alias("n_reference"))
+    marked = marked.join(lengths, "kind").join(t.sizes, "chrom")
+    wrong = (F.col("n_points") < 2) | (F.col("end") > F.col("size")) | (F.col("start") < 0) | ~F.col("length").between(F.col("min_length"), F.col("max_length"))
+    return marked.groupBy(F.col("kind").alias("tool"), F.col("draw").cast("bigint").alias("draw"), "min_length", "max_length", "n_reference").agg(
+        F.count("*").alias("n"), F.count_if("_x").alias("n_on_excluded"), F.count_if(F.col("_own") > 1).alias("n_overlapping"), F.count_if(wrong).alias("n_outside"))
 
 
 @query("sample_regions", "R13", f"""
@@ -385,51 +401,63 @@ def _(t):
     return out.withColumn("lengths_follow", F.col("_ratio").between(0.25, 4)).drop("_ratio")
 
 
-def cohort_tables(t, n=12):
-    """Sample labels, folds and the longest shared regions over the array matrix."""
-    beta = materialize(matrix(t), "matrix")
-    number = F.substring("sample_id", 2, 9).cast("bigint")
-    samples = beta.select("sample_id").distinct()
-    labels = samples.withColumn("label", F.when(number % 3 == 0, 0).otherwise(1))
-    folds = samples.withColumn("fold", F.floor(number / 2) % 2)
-    feats = M.regions_by_observed_points(t.merged_features, M.observed_points(beta, 10), 2)
-    top = feats.orderBy(F.desc(F.col("end") - F.col("start")), "chrom", "start").limit(2 * n)
-    sets = materialize(top.withColumn("feature_set", F.when(F.pmod("start", F.lit(2)) == 0, "even").otherwise("odd")), "sets")
-    return beta, labels, folds, sets
+CTE["benchmark_sets"] = """
+    SELECT unnest(['Always cancer', 'PMD', 'Random PMD', 'CGI', 'Random long', 'Random short']) AS feature_set"""
 
 
-@query("run_feature_benchmark", "M6, M7, A7")
+@query("fold_benchmark", "M6, M7, A7, B16", """
+    WITH n AS (SELECT split, repeat, fold, count(*) FILTER (binary_label = 'Tumor') AS positives, count(*) FILTER (binary_label = 'Normal') AS negatives
+               FROM fold_members WHERE is_test AND repeat = 0 GROUP BY ALL)
+    SELECT split, repeat, fold, CAST(0 AS BIGINT) AS feature_draw, feature_set, CAST(5 AS BIGINT) AS n_features, positives, negatives, true AS in_range,
+           CASE WHEN feature_set = 'Always cancer' THEN round(positives / (2 * positives + negatives), 9) END AS always_macro_f1,
+           CASE WHEN feature_set = 'Always cancer' THEN round(positives / (positives + negatives), 9) END AS always_precision
+    FROM n CROSS JOIN benchmark_sets""")
 def _(t):
-    beta, labels, folds, sets = cohort_tables(t)
-    scores, _ = M.run_feature_benchmark(beta, labels, folds, sets, 2, trees=20)
-    return scores.select("feature_set", "n_features", "fold", "tp", "fp", "fn", "tn", "balanced_accuracy", "mcc", "roc_auc")
+    """Forests are random, so their rows are held to what must be so: test classes counted, scores within their ranges."""
+    once = assigned(t).where("repeat = 0")
+    scores, _, _ = FF.run_fold_benchmark(materialize(matrix(t), "matrix"), t.cohort_segments, t.features, once, t.sizes, FOLDS, 1, [5], trees=100)
+    always = F.col("feature_set") == "Always cancer"
+    inside = F.col("balanced_accuracy").between(0, 1) & F.col("roc_auc").between(0, 1) & F.col("average_precision").between(0, 1) & F.col("mcc").between(-1, 1)
+    return scores.select("split", "repeat", "fold", "feature_draw", "feature_set", "n_features", (F.col("tp") + F.col("fn")).alias("positives"),
+                         (F.col("tn") + F.col("fp")).alias("negatives"), inside.alias("in_range"),
+                         F.when(always, F.round("macro_f1", 9)).alias("always_macro_f1"), F.when(always, F.round("average_precision", 9)).alias("always_precision"))
+
+
+def vectors(t):
+    """Mean values of the cohort's samples over all regions with two observed points or more that no sample lacks."""
+    beta = materialize(matrix(t), "matrix")
+    regions = M.regions_by_observed_points(t.merged_features, M.observed_points(beta, 10), 2)
+    indexed = materialize(M.index_regions(regions.withColumn("feature_set", F.lit("all"))).drop("feature_set"), "indexed")
+    rows, _ = M.sample_vectors(materialize(region_features(beta, indexed), "features"))
+    number = F.substring("sample_id", 2, 9).cast("bigint")
+    return materialize(rows.withColumn("label", F.when(number % 3 == 0, 0).otherwise(1)).withColumn("fold", F.floor(number / 2) % 2), "vectors")
 
 
-def wide_matrix(t):
-    from spanframe.operators.points import feature_matrix
-    beta, labels, folds, sets = cohort_tables(t)
-    indexed = M.index_regions(sets.drop("feature_set").withColumn("feature_set", F.lit("all"))).drop("feature_set")
-    n = indexed.count()
-    wide = materialize(feature_matrix(region_features(beta, indexed), list(range(1, n + 1))), "wide")
-    # the operators raise on missing values: use the regions that every sample has
-    columns = [f"region_{i}" for i in range(1, n + 1)]
-    held = wide.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in columns]).first()
-    return wide, labels, folds, [c for c in columns if held[c] == held["_rows"]]
+CTE["held_out"] = """
+    SELECT CASE WHEN binary_label = 'Normal' THEN 'Normal' ELSE 'Tumor' END AS class, count(*) AS n FROM study
+    WHERE (CAST(substr(sample_id, 2) AS BIGINT) // 2) % 2 = 1 GROUP BY ALL"""
 
 
-@query("holdout_classifier", "M8, B17")
+@query("holdout_classifier", "M8, B17", """
+    SELECT class, n AS support, true AS in_range FROM held_out
+    UNION ALL SELECT unnest(['macro', 'micro']), CAST(sum(n) AS BIGINT), true FROM held_out""")
 def _(t):
-    wide, labels, folds, columns = wide_matrix(t)
-    rows = wide.join(labels, "sample_id").join(folds, "sample_id")
-    report, _ = M.holdout_classifier(rows.where("fold = 0"), rows.where("fold = 1"), columns, ["Normal", "Tumor"], trees=30)
-    return report
+    rows = vectors(t)
+    report, _ = M.holdout_classifier(rows.where("fold = 0"), rows.where("fold = 1"), ["Normal", "Tumor"])
+    inside = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
+    return report.select("class", "support", inside.alias("in_range"))
 
 
-@query("sample_pca", "M9")
+@query("sample_pca", "M9", """
+    SELECT count(DISTINCT sample_id) AS n_samples, 0.0 AS mean_pc1, 0.0 AS mean_pc2, 0.0 AS dot, true AS ordered, true AS explained_fits FROM matrix""")
 def _(t):
-    wide, _, _, columns = wide_matrix(t)
-    out, ratios = M.sample_pca(wide, columns)
-    return out.withColumn("explained", F.lit(sum(ratios)))
+    """Components have arbitrary signs; checked: mean 0, no correlation, variances in order and as the explained ratios say."""
+    out, ratios = M.sample_pca(vectors(t))
+    squares = [F.sum(F.col(c) * F.col(c)) for c in ("pc1", "pc2")]
+    total = squares[0] / ratios[0]
+    return out.agg(F.count("*").alias("n_samples"), F.abs(F.round(F.avg("pc1"), 6)).alias("mean_pc1"), F.abs(F.round(F.avg("pc2"), 6)).alias("mean_pc2"),
+                   F.abs(F.round(F.avg(F.col("pc1") * F.col("pc2")), 6)).alias("dot"), (squares[0] >= squares[1]).alias("ordered"),
+                   (F.abs(squares[1] / total - ratios[1]) < 1e-6).alias("explained_fits"))
 
 
 @query("completed_run_checks", "M10", """
