@@ -33,16 +33,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand elsewhere already."""
-    return _documents(line_dedup.remove_repeats(docs.select(*COLUMNS)))
+    """Texts without the passages that stand elsewhere already; a document of nothing else goes."""
+    clean = line_dedup.remove_repeats(docs.select(*COLUMNS), details=True)
+    return _documents(clean.where("n_removed = 0 or n_removed < n_lines"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    groups = ngram_join.similar_groups(docs)
-    dropped = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    return _documents(kept)
+    """Of each group of near duplicates, the row with the smallest id (nulls last).
+
+    Rows are numbered first, so repeated and null ids are rows like others.
+    """
+    numbered = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = ngram_join.similar_groups(numbered, key="row").select(F.col("doc_id").alias("row"), "component_id")
+    placed = groups.join(numbered.select("row", "doc_id"), "row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = placed.groupBy("component_id").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("component_id", "f.row")
+    dropped = placed.join(first.withColumnRenamed("row", "first"), "component_id").where("row <> first").select("row")
+    return _documents(numbered.join(materialize(dropped, "near-duplicates"), "row", "left_anti"))
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

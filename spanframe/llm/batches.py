@@ -6,14 +6,56 @@ very long texts needs no more memory than one with short ones.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.types import StructType
 
-#: Text bytes that are worked on at once.
-SLICE_BYTES = 1 << 21
+#: Text bytes that are worked on at once, and bytes that are hashed at once.
+SLICE_BYTES, HASHED_BYTES = 1 << 19, 1 << 17
+#: Longer byte spans are hashed by BLAKE2b: sums of powers modulo 2**64 meet on patterns of some hundred bytes, whatever the base.
+LONG_SPAN = 64
+
+#: Tables that workers keep between tasks, by the operator that uses them.
+KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """The worker's tables of one operator."""
+    return KEPT.setdefault(name, {})
+
+
+def _enter(name: str) -> None:
+    for other, tables in KEPT.items():
+        if other != name:
+            tables.clear()
+
+
+def _leave() -> None:
+    """Give freed memory back to the machine: a worker outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
+def lean(name: str, run):
+    """``run`` over a task's batches, without the tables of other operators before it and with freed memory given back after it."""
+
+    def task(batches):
+        _enter(name)
+        try:
+            yield from run(batches)
+        finally:
+            _leave()
+
+    return task
 
 
 def texts(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,6 +78,18 @@ def with_fields(schema: StructType, **kinds: str) -> StructType:
     return out
 
 
+def free_names(taken, *names: str) -> list[str]:
+    """The names, each with underscores until no column has it."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_slices(marks: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``limit`` bytes together; a longer row is alone in its run."""
     n, low = len(marks) - 1, 0
@@ -50,20 +104,17 @@ def row_slices(marks: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 ... base**n modulo 2**64, kept for the next call."""
-    kept = _POWERS.get(str(base))
-    if kept is None or len(kept) <= n:
-        size = 1 << max(10, int(n).bit_length())
-        out = np.full(size, base, np.uint64)
+    held = _POWERS.get(int(base))
+    if held is None or len(held) <= n:
+        out = np.full(1 << max(10, int(n).bit_length()), base, np.uint64)
         out[0] = 1
-        kept = np.multiply.accumulate(out)
-        if size <= 1 << 23:
-            _POWERS[str(base)] = kept
-    return kept[: n + 1]
+        held = _POWERS[int(base)] = np.multiply.accumulate(out)
+    return held[: n + 1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,11 +126,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand.
-
-    A running sum of ``value(byte) * base**i`` gives every span in two lookups.
-    """
+def _short_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A running sum of ``value(byte) * base**i`` gives every span in two lookups."""
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_BASE, n)[:n], out=total[1:])
@@ -131,13 +179,22 @@ def byte_set(pattern_outside: str) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = SLICE_BYTES) -> np.ndarray:
-    """``span_hashes`` of successive words, by stretches of bytes, so that memory follows ``chunk``."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of successive byte spans; equal bytes give equal hashes wherever they stand.
+
+    Short spans are hashed together by stretches of HASHED_BYTES, so memory does
+    not follow the text; the few longer than LONG_SPAN one by one.
+    """
     out = np.empty(len(starts), np.uint64)
+    long = ends - starts > LONG_SPAN
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]: ends[i]].tobytes(), digest_size=8).digest(), "little")
+    short = np.flatnonzero(~long)
+    first, last = starts[short], ends[short]
     low = 0
-    while low < len(starts):
-        high = max(low + 1, int(np.searchsorted(ends, starts[low] + chunk, side="right")))
-        a, b = int(starts[low]), int(ends[high - 1])
-        out[low:high] = span_hashes(data[a:b], starts[low:high] - a, ends[low:high] - a)
+    while low < len(short):
+        high = max(low + 1, int(np.searchsorted(last, first[low] + HASHED_BYTES, side="right")))
+        a, b = int(first[low]), int(last[high - 1])
+        out[short[low:high]] = _short_hashes(data[a:b], first[low:high] - a, last[low:high] - a)
         low = high
     return out

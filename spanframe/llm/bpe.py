@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanframe.llm.batches import SLICE_BYTES, texts, with_fields
+from spanframe.llm.batches import SLICE_BYTES, kept, lean, texts, with_fields
 from spanframe.llm.splitter import Splitter, distinct, pieces
 from spanframe.session import ship_package
 
@@ -198,14 +198,12 @@ def tiktoken_splitter(pattern: str) -> Splitter:
     return Splitter(together)
 
 
-_ENCODERS: dict[tuple, tuple[Encoder, Splitter]] = {}
-
-
 def _encoder(key: str, tokens: list[bytes], pattern: str) -> tuple[Encoder, Splitter]:
-    if (key, pattern) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key, pattern] = Encoder(tokens), tiktoken_splitter(pattern)
-    return _ENCODERS[key, pattern]
+    encoders = kept("bpe")
+    if (key, pattern) not in encoders:
+        encoders.clear()
+        encoders[key, pattern] = Encoder(tokens), tiktoken_splitter(pattern)
+    return encoders[key, pattern]
 
 
 def encode_batch(batch: pa.RecordBatch, column: str, encoder: Encoder, splitter: Splitter, with_ids: bool):
@@ -215,7 +213,7 @@ def encode_batch(batch: pa.RecordBatch, column: str, encoder: Encoder, splitter:
     counts = np.zeros(n, np.int64)
     id_sums, text_sums = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
     lists: list[list[int]] | None = [[] for _ in range(n)] if with_ids else None
-    for rows, body, starts, ends, _, _ in pieces(data, marks, splitter, SLICE_BYTES // 2):
+    for rows, body, starts, ends, _, _ in pieces(data, marks, splitter, SLICE_BYTES):
         if not len(starts):
             continue
         first, back = distinct(body, starts, ends)
@@ -255,9 +253,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     spark = docs.sparkSession
     ship_package(spark)
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["token_ids"] if with_ids else [])
-    kept = docs.drop(*new)
+    rows = docs.drop(*new)
     tokens = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    schema = with_fields(kept.schema, n_tokens="long", ids_sha256="string", decoded_sha256="string",
+    schema = with_fields(rows.schema, n_tokens="long", ids_sha256="string", decoded_sha256="string",
                          **({"token_ids": "array<int>"} if with_ids else {}))
 
     def run(batches):
@@ -268,4 +266,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
             extra += [pa.array(lists, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *new])
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(lean("bpe", run), schema)

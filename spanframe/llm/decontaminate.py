@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.batches import lower_ascii, row_slices, texts, window_hashes, with_fields, word_hashes, word_spans
+from spanframe.llm.batches import lean, lower_ascii, row_slices, texts, window_hashes, with_fields, word_hashes, word_spans
 from spanframe.session import materialize, ship_package
 
 WINDOW = 13
@@ -50,7 +50,7 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
                                               pa.array([r[3] for r in rows], pa.binary())], names=["item", "width", "hash", "phrase"])
 
     chosen = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "item string, width int, hash long, phrase binary").distinct()
+    return chosen.mapInArrow(lean("contamination", run), "item string, width int, hash long, phrase binary").distinct()
 
 
 class WindowSet:
@@ -123,7 +123,7 @@ def _scan(docs: DataFrame, shared, text: str, more: bool) -> DataFrame:
                 [*kept, pa.array(n_words), pa.array(n_hit), pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], span_type),
                  pa.array([sorted(s) for s in items], pa.list_(pa.string()))], names=[*names, *_SCHEMA])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean("contamination", run), schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -183,7 +183,7 @@ def remove_spans(marked: DataFrame, text: str = "text") -> DataFrame:
             columns[at] = pa.array(new, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return marked.mapInArrow(run, marked.schema)
+    return marked.mapInArrow(lean("contamination", run), marked.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:

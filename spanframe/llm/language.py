@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.batches import mix, row_slices, texts, with_fields
+from spanframe.llm.batches import kept, lean, mix, row_slices, texts, with_fields, word_hashes
 from spanframe.session import ship_package
 
 ORDER = 5
@@ -26,23 +26,23 @@ ORDER = 5
 ALPHABET = 4096
 WORD_START, WORD_END = 1, 2
 #: Slice of text that is worked on at once, and words whose scores a worker keeps (speed only).
-SLICE_BYTES, KEPT_WORDS = 1 << 20, 400_000
+SLICE_BYTES, KEPT_WORDS = 1 << 19, 100_000
 UNDETERMINED = "und"
 
-_TABLES: list[np.ndarray] = []
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """(is a letter, simple lower case) by code point."""
-    if not _TABLES:
+    tables = kept("language")
+    if not tables:
         chars = [chr(c) for c in range(0x110000)]
-        _TABLES.append(np.array([c.isalpha() for c in chars]))
+        letter = np.array([c.isalpha() for c in chars])
         lower = np.arange(0x110000, dtype=np.uint32)
         for i in np.flatnonzero([c.isupper() or c.istitle() for c in chars]).tolist():
             if len(low := chars[i].lower()) == 1:
                 lower[i] = ord(low)
-        _TABLES.append(lower)
-    return _TABLES[0], _TABLES[1]
+        tables.update(letter=letter, lower=lower)
+    return tables["letter"], tables["lower"]
 
 
 def words_of(data: np.ndarray, marks: np.ndarray):
@@ -220,11 +220,7 @@ class Scorer:
         total, symbols = np.zeros((n, len(self.models.languages))), np.zeros(n, np.int64)
         if not len(starts):
             return total, symbols
-        value = np.zeros(len(points) + 1, np.uint64)
-        power = np.multiply.accumulate(np.full(len(points), 0x9E3779B97F4A7C15, np.uint64))
-        np.cumsum(_symbol(points) * power, out=value[1:])
-        inverse = np.multiply.accumulate(np.full(len(points), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
-        keys = mix((value[ends] - value[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        keys = word_hashes(points.astype("<u4").view(np.uint8), starts * 4, ends * 4)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.kept) > KEPT_WORDS:
             self.kept, self.loss = {}, self.loss[:0]
@@ -263,14 +259,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """Fit the models and their rejection thresholds on a bounded sample of labelled rows.
 
     About ``per_language`` rows of each language are taken, those with the
-    smallest hash of ``key``; a fifth of them is held back for the thresholds.
+    smallest hash of ``key`` and text, so null and repeated ids are sampled like
+    others and repeated rows count once; a fifth of them is held back for the thresholds.
     Rows without text or language are not used. What reaches the driver is the
     sample's word counts, bounded by the sample. Without labelled rows the
     result has no languages, and every text is undetermined.
     """
     spark = labelled.sparkSession
     ship_package(spark)
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
     rows = rows.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
     if len(sizes) > max_languages:
@@ -279,7 +276,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         return fit_models({})
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     part = (F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)))
-    sample = rows.where(part < share[F.col("lang")]).withColumn("back", F.pmod(F.xxhash64(F.col("h")), F.lit(5)) == 0)
+    # rows equal in id and text are one, so a row repeated millions of times adds one
+    sample = rows.where(part < share[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("back", F.pmod(F.xxhash64(F.col("h")), F.lit(5)) == 0)
 
     def count(batches):
         for batch in batches:
@@ -295,7 +293,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()),
                                               pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = sample.where("not back").select("lang", "text").mapInArrow(count, _WORDS_SCHEMA).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = sample.where("not back").select("lang", "text").mapInArrow(lean("language", count), _WORDS_SCHEMA).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     vocabulary: dict[str, tuple[list, list]] = {}
     got = words.toArrow()
     for name, word, n in zip(got.column("lang").to_pylist(), got.column("word").to_pylist(), got.column("n").to_pylist()):
@@ -332,7 +330,7 @@ def predict(docs: DataFrame, models: Models, text: str = "text", sharpness: floa
     spark = docs.sparkSession
     ship_package(spark)
     new = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "n_symbols": "long", "rejected": "boolean"}
-    kept = docs.drop(*new)
+    rows = docs.drop(*new)
     shared = spark.sparkContext.broadcast(models)
 
     def run(batches):
@@ -350,4 +348,4 @@ def predict(docs: DataFrame, models: Models, text: str = "text", sharpness: floa
                 [*batch.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(entropy, pa.float64(), from_pandas=True),
                  pa.array(symbols), pa.array(rejected)], names=[*batch.schema.names, *new])
 
-    return kept.mapInArrow(run, with_fields(kept.schema, **new))
+    return rows.mapInArrow(lean("language", run), with_fields(rows.schema, **new))

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.llm.batches import free_names
 from spanframe.session import materialize
 
 ROLLING, LONGEST, LEAST_CHARS = 3, 8, 100
@@ -148,19 +149,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", det
     same lines. With ``details``, ``n_lines`` and ``n_removed`` are added, and
     replace columns of these names. An empty table gives an empty table.
     """
-    gone = repeated_lines(docs, key, text, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    of, hashed, lost, own, residue = free_names(docs.columns, "_id", "_hash", "_gone", "_key", "_residue")
+    gone = repeated_lines(docs, key, text, **options).select(F.col("doc_id").alias(of), F.col("text_hash").alias(hashed), F.col("gone").alias(lost))
     gone = materialize(gone, "gone")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text))).withColumn("_residue", _residue("_key"))
+    keyed = docs.withColumn(own, F.xxhash64(F.col(text))).withColumn(residue, _residue(own))
     # texts that lose nothing, all but a few of them, do not take part in the join
-    some = F.broadcast(gone.select(_residue("_hash").alias("_residue")).distinct())
-    joined = keyed.join(some, "_residue", "left_semi").join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
-    names = [F.col(f"`{c}`") for c in docs.columns] + [F.col("_gone")]
-    met = joined.select(*names).unionAll(keyed.join(some, "_residue", "left_anti").withColumn("_gone", F.lit(None).cast("array<int>")).select(*names))
+    some = F.broadcast(gone.select(_residue(hashed).alias(residue)).distinct())
+    joined = keyed.join(some, residue, "left_semi").join(gone, F.col(key).eqNullSafe(F.col(of)) & (F.col(own) == F.col(hashed)), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns] + [F.col(lost)]
+    met = joined.select(*names).unionAll(keyed.join(some, residue, "left_anti").withColumn(lost, F.lit(None).cast("array<int>")).select(*names))
     lines = _lines(F.col(text))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    clean = F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     out = {text: clean}
     if details:
         out |= {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-                "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+                "n_removed": F.coalesce(F.size(lost), F.lit(0)).cast("long")}
     return met.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns], *[v.alias(c) for c, v in out.items() if c not in docs.columns])

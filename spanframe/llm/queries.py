@@ -40,7 +40,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remainder(divisor: int) -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+    # a null id is as an empty one
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
 @query
@@ -55,7 +56,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # the lower half of the id range stands for what earlier loads have seen
-    edge = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("edge")).first()["edge"]
+    edge = docs.agg(((F.min("doc_id").cast("decimal(20,0)") + F.max("doc_id")) / 2).alias("edge")).first()["edge"]
     return exact_dedup.dedup(docs, F.col("doc_id") <= F.lit(edge)).drop("known")
 
 

@@ -224,8 +224,22 @@ def pieces(data: np.ndarray, marks: np.ndarray, splitter: Splitter, limit: int,
 
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of one piece for each distinct byte string, number of that string for each piece)."""
-    from spanframe.llm.batches import span_hashes
+    """(index of one piece for each distinct byte string, number of that string for each piece).
 
-    _, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    Hashes find the repeats, and every piece is compared byte by byte with the one that stands for it.
+    """
+    from spanframe.llm.batches import word_hashes
+
+    _, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, other = ends - starts, starts[first[back]]
+    same = np.array_equal(size, size[first[back]])
+    if same:
+        shift = np.repeat(other - starts, size)
+        at = np.arange(len(shift)) + np.repeat(starts - (np.cumsum(size) - size), size)
+        same = np.array_equal(data[at], data[at + shift])
+    if not same:  # two strings under one hash
+        raw, numbers = data.tobytes(), {}
+        back = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+        first = np.zeros(len(numbers), np.int64)
+        first[back[::-1]] = np.arange(len(back))[::-1]
     return first, back

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanframe.llm.batches import SLICE_BYTES, texts, with_fields
+from spanframe.llm.batches import SLICE_BYTES, kept, lean, texts, with_fields
 from spanframe.llm.splitter import Splitter, distinct, pieces
 from spanframe.session import ship_package
 
@@ -148,6 +148,9 @@ class CountTransducer:
             if (missing := to < 0).any():
                 for k in np.unique(key[missing]).tolist():
                     self._compile(k >> 8, k & 255)
+                if len(self.states) > self.limit and len(order) > 1:  # too many states for one run: start again with half the spans
+                    half = len(order) // 2
+                    return np.concatenate([self.run(data, starts[:half], ends[:half]), self.run(data, starts[half:], ends[half:])])
                 to = self.follow.ravel()[key]
             total[:n] += self.adds.ravel()[key]
             state[:n] = to
@@ -164,14 +167,12 @@ def library_splitter() -> Splitter:
     return Splitter(lambda strings: [len(split.pre_tokenize_str(s)) == 1 for s in strings])
 
 
-_COMPILED: dict[str, tuple[CountTransducer, Splitter]] = {}
-
-
 def _compiled(key: str, model: dict) -> tuple[CountTransducer, Splitter]:
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[key] = CountTransducer(model), library_splitter()
-    return _COMPILED[key]
+    compiled = kept("tokens")
+    if key not in compiled:
+        compiled.clear()
+        compiled[key] = CountTransducer(model), library_splitter()
+    return compiled[key]
 
 
 def count_batch(batch: pa.RecordBatch, column: str, transducer: CountTransducer, splitter: Splitter, special: bytes):
@@ -202,7 +203,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
     spark = docs.sparkSession
     ship_package(spark)
     new = ["n_bytes", "n_tokens", "over_limit"]
-    kept = docs.drop(*new)
+    plain = docs.drop(*new)
     model = spark.sparkContext.broadcast(read_model(tokenizer_path))
 
     def run(batches):
@@ -212,4 +213,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(count), pa.array(count > limit)],
                                              names=[*batch.schema.names, *new])
 
-    return kept.mapInArrow(run, with_fields(kept.schema, n_bytes="long", n_tokens="long", over_limit="boolean"))
+    return plain.mapInArrow(lean("tokens", run), with_fields(plain.schema, n_bytes="long", n_tokens="long", over_limit="boolean"))
