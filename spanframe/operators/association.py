@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import f1_score, safe_divide
 from spanframe.operators.points import region_mean
+from spanframe.operators.medians import with_medians
 from spanframe.operators.ranges import (boundaries, end_windows, mark_overlaps, merge_intervals, overlap_totals,
                                         overlaps_any, range_join)
 from spanframe.operators.scan import bracket
@@ -91,8 +92,9 @@ def boundary_metrics(regions: DataFrame, features: DataFrame, thresholds: Sequen
     total = feature_edges.agg(F.count("*").alias("n_feature_boundaries"))
 
     def side(df, median, hits):
-        return df.groupBy(*keys).agg(F.count("*").alias(f"_{hits}"), F.median("d").alias(median),
-                                     *[F.count_if(F.col("d") <= t).alias(f"_{hits}_{t}") for t in thresholds])
+        far = materialize(df.select(*keys, "d"), "distances")
+        stats = far.groupBy(*keys).agg(F.count("*").alias(f"_{hits}"), *[F.count_if(F.col("d") <= t).alias(f"_{hits}_{t}") for t in thresholds])
+        return with_medians(stats, far, keys, {median: F.col("d")})
 
     out = (side(forward, "median_region_to_feature_bp", "near")
            .join(side(backward, "median_feature_to_region_bp", "reached"), keys, "left")

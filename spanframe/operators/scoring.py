@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanframe.functions import f1_score, safe_divide
 from spanframe.operators.cleaning import tag_intervals
 from spanframe.operators.points import region_mean
+from spanframe.operators.medians import with_medians
 from spanframe.operators.ranges import (flag_points, merge_intervals, overlap_metrics, overlap_totals, overlaps_none,
                                         range_join, slop, tagged_depth)
 from spanframe.operators.scan import prefix_scan
@@ -172,13 +173,14 @@ def directional_fragmentation(segments: DataFrame, first: str, second: str) -> D
         a = segments.where(F.col("tool") == source).select(*SAMPLE, "chrom", "start", "end")
         b = segments.where(F.col("tool") == target).select(*SAMPLE, "chrom", "start", "end")
         n = F.col("n_overlaps")
-        stats = (overlap_totals(a, b, SAMPLE).withColumn("_len", F.col("end") - F.col("start")).groupBy(*SAMPLE)
+        counted = materialize(overlap_totals(a, b, SAMPLE), "overlaps").withColumn("_len", F.col("end") - F.col("start"))
+        stats = (counted.groupBy(*SAMPLE)
                  .agg(F.count("*").alias("n_source_segments"), F.avg(n).alias("mean_target_overlaps"),
-                      F.median(n).alias("median_target_overlaps"),
                       F.avg((n > 1).cast("double")).alias("fraction_split_gt1"),
                       F.avg((n > 0).cast("double")).alias("fraction_any_overlap"),
                       F.avg("overlap_bp").alias("mean_overlap_bp"),
                       F.avg(safe_divide("overlap_bp", "_len")).alias("mean_overlap_fraction")))
+        stats = with_medians(stats, counted, SAMPLE, {"median_target_overlaps": n})
         every = segments.select(*SAMPLE).distinct()
         rows = (every.join(stats, list(SAMPLE), "left").na.fill(0, ["n_source_segments"])
                 .withColumn("source_tool", F.lit(source)).withColumn("target_tool", F.lit(target)))

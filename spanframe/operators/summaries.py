@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions import nan_to_null, safe_divide
+from spanframe.operators.medians import with_medians
 from spanframe.operators.ranges import merge_intervals
+from spanframe.session import materialize
 
 
 
@@ -19,20 +21,22 @@ def _length() -> Column:
 def region_stats(regions: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("sample_id", "tool")) -> DataFrame:
     """Merged regions per key: count, bp, genome coverage, length distribution."""
     genome = sizes.agg(F.sum("size").alias("_genome"))
-    lengths = merge_intervals(regions, keys).withColumn("_l", _length())
+    lengths = materialize(merge_intervals(regions, keys), "merged").withColumn("_l", _length())
     stats = lengths.groupBy(*keys).agg(
         F.count("*").alias("n_regions"), F.sum("_l").alias("total_bp"), F.avg("_l").alias("mean_length"),
-        F.median("_l").alias("median_length"), F.stddev_samp("_l").alias("std_length"),
-        F.min("_l").alias("min_length"), F.max("_l").alias("max_length"))
+        F.stddev_samp("_l").alias("std_length"), F.min("_l").alias("min_length"), F.max("_l").alias("max_length"))
+    stats = with_medians(stats, lengths, keys, {"median_length": F.col("_l")})
     return (stats.crossJoin(F.broadcast(genome))  # one row
             .withColumn("genome_coverage_pct", 100.0 * F.col("total_bp") / F.col("_genome")).drop("_genome"))
 
 
 def segment_summary(segments: DataFrame, keys: Sequence[str] = ("sample_id", "tool")) -> DataFrame:
     """Segments as given (not merged): count, bp, length distribution."""
-    return (segments.withColumn("_l", _length()).groupBy(*keys).agg(
+    lengths = segments.withColumn("_l", _length())
+    stats = lengths.groupBy(*keys).agg(
         F.count("*").alias("n_segments"), F.sum("_l").alias("total_bp"), F.avg("_l").alias("mean_length_bp"),
-        F.median("_l").alias("median_length_bp"), F.min("_l").alias("min_length_bp"), F.max("_l").alias("max_length_bp")))
+        F.min("_l").alias("min_length_bp"), F.max("_l").alias("max_length_bp"))
+    return with_medians(stats, lengths, keys, {"median_length_bp": F.col("_l")})
 
 
 def long_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -43,19 +47,20 @@ def long_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> D
 
 def group_summary(df: DataFrame, key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Per metric and key: rows used, mean, median, max, and rows excluded as null."""
-    return long_metrics(df, key, metrics).groupBy("metric", *key).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"),
+    long = long_metrics(df, key, metrics)
+    stats = long.groupBy("metric", *key).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"),
         F.max("value").alias("max"), F.count_if(F.col("value").isNull()).alias("n_excluded"))
+    return with_medians(stats, long, ["metric", *key], {"median": F.col("value")})
 
 
 def per_tool_summary(df: DataFrame, key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """One row per key: mean, median, std, min, max of every metric, nulls skipped."""
+    values = {m: nan_to_null(F.col(m).cast("double")) for m in metrics}
     aggs = []
-    for m in metrics:
-        v = nan_to_null(F.col(m).cast("double"))
-        aggs += [F.avg(v).alias(f"{m}_mean"), F.median(v).alias(f"{m}_median"), F.stddev_samp(v).alias(f"{m}_std"),
-                 F.min(v).alias(f"{m}_min"), F.max(v).alias(f"{m}_max")]
-    return df.groupBy(*key).agg(*aggs)
+    for m, v in values.items():
+        aggs += [F.avg(v).alias(f"{m}_mean"), F.stddev_samp(v).alias(f"{m}_std"), F.min(v).alias(f"{m}_min"), F.max(v).alias(f"{m}_max")]
+    return with_medians(df.groupBy(*key).agg(*aggs), df, key, {f"{m}_median": v for m, v in values.items()})
 
 
 def cohort_manifest(samples: DataFrame, min_splits: int, include: Sequence[str] | None = None,
