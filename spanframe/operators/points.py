@@ -73,7 +73,7 @@ def missing_context(regions: DataFrame, points: DataFrame, focus: Sequence[str],
 
 
 def region_mean(regions: DataFrame, points: DataFrame, keys: Sequence[str] = ("sample_id",),
-                by: Sequence[str] = (), value: str = "beta", split_long: bool = True) -> DataFrame:
+                by: Sequence[str] = (), value: str = "beta", split_long: bool = False) -> DataFrame:
     """Mean over overlapping points; regions without any are absent.
 
     Points with equal coordinates are combined before the join, equal regions
@@ -114,7 +114,7 @@ def region_features(beta: DataFrame, regions: DataFrame, sample: str = "sample_i
     """
     distinct = regions.select("region_index", "chrom", "start", "end")
     pairs = range_join(beta.where(F.col("beta").isNotNull()).select(sample, "chrom", "start", "end", "beta"), distinct,
-                       prefix="r_")
+                       prefix="r_", split_long=False)
     means = pairs.groupBy(sample, F.col("r_region_index").alias("region_index")).agg(F.avg("beta").alias("value"))
     grid = beta.select(sample, "chrom").distinct().join(distinct.select("chrom", "region_index"), "chrom").drop("chrom")
     return grid.join(means, [sample, "region_index"], "left")

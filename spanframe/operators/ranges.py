@@ -68,7 +68,10 @@ def range_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), *, rule: st
     ``b`` columns other than keys and chrom come out with ``prefix``.
 
     ``split_long=False`` skips the wide-bin classes: right when ``b`` is merged,
-    since disjoint intervals fill at most rows + genome/bin slots per key.
+    since disjoint intervals fill at most rows + genome/bin slots per key, and
+    when ``a`` holds points, so that the large side is not doubled. With the
+    ``start`` rules a point has one bin always; a long ``b`` takes every bin it
+    covers, each of which gives result rows where it holds points.
     ``salt`` > 1 spreads each bin of ``a`` over that many sub-keys and copies
     the ``b`` rows of the bin to each, for sessions without adaptive skew joins.
     """
@@ -87,15 +90,8 @@ def range_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), *, rule: st
     else:
         last = be if rule == "start_closed" else be - 1
         hit = (bs <= start) & (start <= last)
-        own = F.shiftright(start, BIN_SHIFT) * 4
-        if split_long:
-            is_long = F.shiftright(last, BIN_SHIFT) - F.shiftright(bs, BIN_SHIFT) >= SPAN_BINS
-            left = a.withColumn("_slot", F.explode(F.array(own, F.shiftright(start, COARSE_SHIFT) * 4 + 2)))
-            right = right.withColumn("_slot", F.explode(
-                F.when(is_long, _slots(bs, last, COARSE_SHIFT, 2)).otherwise(_slots(bs, last, BIN_SHIFT, 0))))
-        else:
-            left = a.withColumn("_slot", own)
-            right = right.withColumn("_slot", F.explode(_slots(bs, last, BIN_SHIFT, 0)))
+        left = a.withColumn("_slot", F.shiftright(start, BIN_SHIFT) * 4)
+        right = right.withColumn("_slot", F.explode(_slots(bs, last, BIN_SHIFT, 0)))
 
     on = [*part, "_slot"]
     if salt > 1:
@@ -260,40 +256,59 @@ def exclude_near(a: DataFrame, b: DataFrame, proximity: int = 0, keys: Sequence[
     return marked.where("NOT _hit").drop("_hit")
 
 
+def first_covers(b: DataFrame, keys: Sequence[str] = (), name: str = "before") -> DataFrame:
+    """Merged ``b`` with the end of the interval before each (null for the first).
+
+    An interval is the first that a row [s, e) overlaps exactly when the one
+    before ends at s or earlier; so pairs that say so count each row once,
+    however long it is.
+    """
+    merged = merge_intervals(b, keys).withColumnRenamed("start", "pos")
+    return prefix_scan(merged, _part(keys), maxes=["end"]).select(*_part(keys), F.col("pos").alias("start"), "end", F.col("end_before").alias(name))
+
+
+def is_first_cover(start: Column, before: Column) -> Column:
+    return before.isNull() | (before <= start)
+
+
 def _point_slots(points: DataFrame) -> DataFrame:
-    short = F.col("end") - F.col("start") <= 2
-    return points.withColumn("_slot", F.when(short, F.shiftright("start", BIN_SHIFT)).otherwise(
-        F.raise_error(F.lit("points are at most 2 long")).cast("bigint")))
+    return points.withColumn("_slot", F.shiftright("start", BIN_SHIFT))
 
 
-def _cover_slots(b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    merged = merge_intervals(b, keys)
-    return merged.select(*_part(keys), F.col("start").alias("_bs"), F.col("end").alias("_be"),
-                         F.explode(_slots(F.col("start") - 1, F.col("end") - 1, BIN_SHIFT, 0)).alias("_s4")) \
+def _longest(points: DataFrame) -> int:
+    """Length of the longest row: how far left of an interval one can start and still overlap it."""
+    return points.agg(F.max(F.col("end") - F.col("start")).alias("n")).first()["n"] or 1
+
+
+def _cover_slots(b: DataFrame, keys: Sequence[str], longest: int) -> DataFrame:
+    return first_covers(b, keys, "_before").select(
+        *_part(keys), F.col("start").alias("_bs"), F.col("end").alias("_be"), "_before",
+        F.explode(_slots(F.col("start") - (longest - 1), F.col("end") - 1, BIN_SHIFT, 0)).alias("_s4")) \
         .withColumn("_slot", F.shiftright("_s4", 2)).drop("_s4")
 
 
 def _meets(part: Sequence[str]) -> list[Column]:
     same = [F.col(f"p.{c}") == F.col(f"r.{c}") for c in [*part, "_slot"]]
-    return [*same, F.col("p.start") < F.col("r._be"), F.col("r._bs") < F.col("p.end")]
+    return [*same, F.col("p.start") < F.col("r._be"), F.col("r._bs") < F.col("p.end"), is_first_cover(F.col("p.start"), F.col("r._before"))]
 
 
 def points_in(points: DataFrame, b: DataFrame, keys: Sequence[str] = (), how: str = "left_semi") -> DataFrame:
-    """Points (at most 2 long) that overlap some ``b`` (``left_semi``) or none
+    """Points, of any length, that overlap some ``b`` (``left_semi``) or none
     (``left_anti``). Each point has one bin, so the big side is shuffled once and
     a bin holding many points is split by the adaptive skew join."""
-    joined = _point_slots(points).alias("p").join(_cover_slots(b, keys).alias("r"), _meets(_part(keys)), how)
+    joined = _point_slots(points).alias("p").join(_cover_slots(b, keys, _longest(points)).alias("r"), _meets(_part(keys)), how)
     return joined.select(*[F.col(f"p.{c}") for c in points.columns])
 
 
 def flag_points(points: DataFrame, sets: dict[str, DataFrame], keys: Sequence[str] = ()) -> DataFrame:
     """Points with one flag per interval set. All joins share the points' bins, so
-    one shuffle of the points serves every set. A point of length 1 or 2 meets at
-    most one interval of a merged set, so no row is repeated."""
+    one shuffle of the points serves every set. A point meets the first interval
+    it overlaps only, so no row is repeated, whatever its length."""
     out = _point_slots(points)
+    longest = _longest(points)
     columns = list(points.columns)
     for name, b in sets.items():
-        joined = out.alias("p").join(_cover_slots(b, keys).alias("r"), _meets(_part(keys)), "left")
+        joined = out.alias("p").join(_cover_slots(b, keys, longest).alias("r"), _meets(_part(keys)), "left")
         out = joined.select(*[F.col(f"p.{c}") for c in [*columns, "_slot"]], F.col("r._bs").isNotNull().alias(name))
         columns.append(name)
     return out.drop("_slot")
@@ -416,27 +431,37 @@ def pairwise_matrices(df: DataFrame, keys: Sequence[str] = ("sample_id",), tool:
 
     ``merge_first=False`` sums the overlaps of the rows as given over the merged
     total, so a tool that overlaps itself can exceed 1.
+
+    One scan over all tools' depths answers every pair: where a and b have
+    depths x and y over n positions, their rows share x * y * n positions and
+    their unions n. Rows that pile up are never paired. Tools are labels: their
+    list is read once, and a position holds one depth for each.
     """
     from spanframe.functions import safe_divide
 
-    tooled = [*keys, tool]
-    merged = materialize(merge_intervals(df, tooled), "merged")
-    bp = merged.groupBy(*tooled).agg(F.sum(F.col("end") - F.col("start")).alias("bp"))
-    rows = merged if merge_first else df.select(*tooled, "chrom", "start", "end")
-    shared = (range_join(rows, rows, keys, split_long=not merge_first)
-              .groupBy(*keys, tool, f"b_{tool}").agg(F.sum("overlap_bp").alias("overlap_bp")))
-    if merge_first:
-        union_overlap = shared
-    else:
-        union_overlap = (range_join(merged, merged, keys, split_long=False)
-                         .groupBy(*keys, tool, f"b_{tool}").agg(F.sum("overlap_bp").alias("overlap_bp")))
-    grid = bp.join(bp.select(*keys, F.col(tool).alias(f"b_{tool}"), F.col("bp").alias("b_bp")), list(keys))
-    on = [*keys, tool, f"b_{tool}"]
-    out = (grid.join(shared, on, "left")
-           .join(union_overlap.withColumnRenamed("overlap_bp", "_merged_overlap"), on, "left")
-           .na.fill(0, ["overlap_bp", "_merged_overlap"]))
+    names = sorted(r[tool] for r in df.select(tool).where(F.col(tool).isNotNull()).distinct().collect())
+    other = f"b_{tool}"
+    depths = {f"_d{i}": (F.col(tool) == F.lit(t)).cast("bigint") for i, t in enumerate(names)}
+    if not names:
+        depths = {"_d0": F.lit(0)}
+    pieces = depth_segments(df.where(F.col(tool).isNotNull()), keys, depths)
+    entries = [F.struct(F.lit(t).alias("t"), F.col(f"_d{i}").alias("d")) for i, t in enumerate(names)] or [F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("d"))]
+    present = F.filter(F.array(*entries), lambda x: x["d"] > 0)
+    length = F.col("end") - F.col("start")
+    pairs = pieces.select(*keys, length.alias("_n"), present.alias("_p")).withColumn("_a", F.explode("_p")).withColumn("_b", F.explode("_p"))
+    times = F.lit(1) if merge_first else F.col("_a.d") * F.col("_b.d")
+    shared = pairs.groupBy(*keys, F.col("_a.t").alias(tool), F.col("_b.t").alias(other)).agg(
+        F.sum(F.col("_n") * times).alias("overlap_bp"), F.sum("_n").alias("_merged_overlap"))
+    # one entry for each pair of a key's tools that meet; a tool's own merged overlap is its size
+    listed = shared.groupBy(*keys).agg(F.collect_list(F.struct(tool, other, "overlap_bp", "_merged_overlap")).alias("_s"))
+    own = F.filter("_s", lambda x: x[tool] == x[other])
+    grid = listed.select(*keys, F.map_from_entries(F.transform("_s", lambda x: F.struct(F.struct(x[tool].alias("a"), x[other].alias("b")), x))).alias("_m"), own.alias("_o"))
+    grid = grid.select(*keys, "_m", "_o", F.explode("_o").alias("_a")).select(*keys, "_m", "_a", F.explode("_o").alias("_b"))
+    met = F.element_at("_m", F.struct(F.col(f"_a.{tool}").alias("a"), F.col(f"_b.{tool}").alias("b")))
+    out = grid.select(*keys, F.col(f"_a.{tool}").alias(tool), F.col(f"_b.{tool}").alias(other), F.col("_a._merged_overlap").alias("bp"), F.col("_b._merged_overlap").alias("b_bp"),
+                      F.coalesce(met["overlap_bp"], F.lit(0)).cast("bigint").alias("overlap_bp"), F.coalesce(met["_merged_overlap"], F.lit(0)).alias("_merged_overlap"))
     union = F.col("bp") + F.col("b_bp") - F.col("_merged_overlap")
-    return out.select(*on, "bp", "b_bp", "overlap_bp", safe_divide("overlap_bp", "bp").alias("pct_cover"),
+    return out.select(*keys, tool, other, "bp", "b_bp", "overlap_bp", safe_divide("overlap_bp", "bp").alias("pct_cover"),
                       safe_divide(F.col("_merged_overlap"), union).alias("jaccard"))
 
 

@@ -12,7 +12,7 @@ from spanframe.functions import f1_score, safe_divide
 from spanframe.operators.cleaning import tag_intervals
 from spanframe.operators.points import region_mean
 from spanframe.operators.medians import with_medians
-from spanframe.operators.ranges import (flag_points, merge_intervals, overlap_metrics, overlap_totals, overlaps_none,
+from spanframe.operators.ranges import (first_covers, flag_points, is_first_cover, merge_intervals, overlap_metrics, overlap_totals, overlaps_none,
                                         range_join, slop, tagged_depth)
 from spanframe.operators.scan import prefix_scan
 from spanframe.session import materialize
@@ -127,10 +127,9 @@ def point_confusion(points: DataFrame, truth: DataFrame, calls: DataFrame, toler
     scored = materialize(scored, "scored")  # read for the totals and for the calls
     totals = scored.groupBy(*SAMPLE).agg(
         F.sum("w").alias("n"), F.coalesce(F.sum(F.when(F.col("is_truth"), F.col("w"))), F.lit(0)).alias("n_truth"))
-    merged = merge_intervals(calls, CALLER)
+    merged = first_covers(calls, CALLER)
     called = (range_join(scored, merged, SAMPLE, prefix="c_", split_long=False)
-              .groupBy(*SAMPLE, F.col("c_tool").alias("tool"), "chrom", "start", "end")
-              .agg(F.max("w").alias("w"), F.max("is_truth").alias("is_truth")).groupBy(*CALLER)
+              .where(is_first_cover(F.col("start"), F.col("c_before"))).withColumnRenamed("c_tool", "tool").groupBy(*CALLER)
               .agg(F.sum("w").alias("n_pred"),
                    F.coalesce(F.sum(F.when(F.col("is_truth"), F.col("w"))), F.lit(0)).alias("bp_tp")))
     every = (callers if callers is not None else calls).select(*CALLER).distinct()

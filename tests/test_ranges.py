@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanframe.operators import ranges as R
+from spanframe.operators.points import region_mean
 
 SCHEMA = "k string, chrom string, start bigint, end bigint"
 
@@ -188,3 +189,46 @@ def test_scans_share_their_exchange(spark, name):
     out = entry.queries()[name](spark, "/root/testdata/sf0.001")
     out.collect()
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_of_any_length_meet_their_first_interval(spark):
+    """Lengths from 1 to a million, nested, touching and chromosome-long intervals: one row a point."""
+    import random
+    rng = random.Random(8)
+    pts = [("s", "chr1", s, s + n) for n in (1, 2, 3, 50, 20_000, 1_000_000) for s in (rng.randrange(3_000_000) for _ in range(25))] + [("s", "chr2", 7, 8)]
+    ivs = [("s", "chr1", s, s + rng.choice([1, 2, 40, 30_000])) for s in (rng.randrange(3_000_000) for _ in range(60))]
+    ivs += [("s", "chr1", 100_000, 101_000), ("s", "chr1", 100_200, 100_300), ("s", "chr1", 101_000, 101_500), ("s", "chr2", 0, 240_000_000)]
+    p = spark.createDataFrame(pts, "k string, chrom string, start bigint, end bigint")
+    r = spark.createDataFrame(ivs, "k string, chrom string, start bigint, end bigint")
+    hit = {x for x in pts if any(x[1] == y[1] and x[2] < y[3] and y[2] < x[3] for y in ivs)}
+    assert rows(R.points_in(p, r, ["k"])) == sorted(x for x in pts if x in hit)
+    assert rows(R.points_in(p, r, ["k"], "left_anti")) == sorted(x for x in pts if x not in hit)
+    flagged = R.flag_points(p, {"hit": r}, ["k"])
+    assert rows(flagged) == sorted((*x, x in hit) for x in pts)
+
+
+def test_points_stay_one_row_beside_long_regions(spark):
+    pts = spark.createDataFrame([("chr1", i * 10_000, i * 10_000 + 2, float(i)) for i in range(300)], "chrom string, start bigint, end bigint, beta double").withColumn("sample_id", F.lit("s"))
+    regions = spark.createDataFrame([("chr1", 0, 250_000_000), ("chr1", 15_000, 95_001), ("chr1", 20_000, 20_001)], "chrom string, start bigint, end bigint").withColumn("sample_id", F.lit("s"))
+    got = {(r.start, r.end): r.n_points for r in region_mean(regions, pts).collect()}
+    assert got == {(0, 250_000_000): 300, (15_000, 95_001): 8, (20_000, 20_001): 1}
+    plan = R.range_join(pts, regions, ["sample_id"], rule="start")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # the regions' bins; points have one each
+
+
+def test_depth_products_are_overlaps_of_all_pairs(spark):
+    import random
+    rng = random.Random(9)
+    data = [(k, t, "chr1", s, s + rng.randrange(1, 60)) for k in "ab" for t in "xyz" for s in (rng.randrange(300) for _ in range(40))] + [("c", "x", "chr1", 5, 9), ("c", "y", "chr1", 20, 30), ("c", "y", "chr1", 20, 30)]
+    df = spark.createDataFrame(data, "sample_id string, tool string, chrom string, start bigint, end bigint")
+    out = R.pairwise_matrices(df, merge_first=False)
+    got = {(r.sample_id, r.tool, r.b_tool): (r.bp, r.overlap_bp, round(r.jaccard, 9)) for r in out.collect()}
+    cover = {(k, t): {p for kk, tt, _, s, e in data if (kk, tt) == (k, t) for p in range(s, e)} for k, t in {(d[0], d[1]) for d in data}}
+    for (k, a), mine in cover.items():
+        for (kk, b), theirs in cover.items():
+            if kk == k:
+                shared = sum(max(0, min(x[4], y[4]) - max(x[3], y[3])) for x in data for y in data if x[:2] == (k, a) and y[:2] == (k, b))
+                assert got.pop((k, a, b)) == (len(mine), shared, round(len(mine & theirs) / len(mine | theirs), 9))
+    assert not got
+    # the only join puts the running sums of earlier tiles to their tile
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
