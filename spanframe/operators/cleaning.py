@@ -159,17 +159,28 @@ def require_unique(df: DataFrame, column: str) -> DataFrame:
 def downsample(df: DataFrame, n: int, key: Sequence[str], seed: int = 0, part: Sequence[str] = ()) -> DataFrame:
     """Exactly min(n, rows) rows per ``part``, chosen by a hash of the row's key.
 
-    Ranks come from hash-prefix blocks, so neither the sample nor the rows
-    behind it pass through one task, whatever ``n``.
+    A histogram over 65,536 hash blocks, counted map side, tells the block in which
+    the n-th row falls; only rows up to that block are shuffled and ranked, about
+    n and not the table.
     """
+    part = list(part)
     hashed = df.withColumn("_h", key_hash(seed, *key)).withColumn("_b", F.substring("_h", 1, 4))
-    return ranked(hashed, part, ["_h"], block="_b", name="_rank").where(F.col("_rank") <= n).select(*df.columns)
+    running = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = hashed.groupBy(*part, "_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+    needed = blocks.where(F.col("_before") < n)
+    if part:
+        near = hashed.join(needed.groupBy(*part).agg(F.max("_b").alias("_cut")), part)
+    else:
+        near = hashed.crossJoin(F.broadcast(needed.agg(F.max("_b").alias("_cut"))))  # one row
+    near = near.where(F.col("_b") <= F.col("_cut"))
+    return ranked(near, part, ["_h"], block="_b", name="_rank").where(F.col("_rank") <= n).select(*df.columns)
 
 
 def map_tools(df: DataFrame, mapping: DataFrame, raw: str = "tool") -> DataFrame:
     """Canonical id, label and rank from a (raw, tool_id, label, rank_order)
-    dimension table; unknown tools are dropped."""
-    return df.join(mapping.withColumnRenamed("raw", raw), raw).orderBy("rank_order")
+    dimension table; unknown tools are dropped. Rows keep no order: sort the
+    report by ``rank_order`` where it is shown."""
+    return df.join(mapping.withColumnRenamed("raw", raw), raw)
 
 
 def tag_intervals(df: DataFrame, keys: Sequence[str] = (), prefix: str = "T", first: int = 1) -> DataFrame:

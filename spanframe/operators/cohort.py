@@ -195,11 +195,13 @@ def sample_pca(rows: DataFrame, components: int = 2, features: str = "features")
 
 def completed_run_checks(results: DataFrame, predictions: DataFrame, expected_rows: dict[str, int],
                          patients: DataFrame) -> DataFrame:
-    """Per task: rows per feature set as expected, patients in one fold per
-    repeat, and the same folds as every other task of the cohort."""
-    want = F.create_map(*[F.lit(x) for kv in expected_rows.items() for x in kv])
-    rows = results.groupBy("task", "feature_set").agg(F.count("*").alias("n")) \
-        .withColumn("_bad", F.coalesce(F.col("n") != want[F.col("feature_set")], F.lit(True)))
+    """Per task: rows per feature set as expected (missing and unknown sets are wrong
+    ones), patients in one fold per repeat, and the same folds as every other task
+    of the cohort."""
+    want = F.array(*[F.struct(F.lit(k).alias("feature_set"), F.lit(n).cast("bigint").alias("want")) for k, n in expected_rows.items()])
+    wanted = results.select("task").distinct().select("task", F.explode(want).alias("w")).select("task", "w.*")
+    rows = results.groupBy("task", "feature_set").agg(F.count("*").alias("n")).join(wanted, ["task", "feature_set"], "full").na.fill(0, ["n"]) \
+        .withColumn("_bad", F.coalesce(F.col("n") != F.col("want"), F.lit(True)))
     counts = rows.groupBy("task").agg(F.sum("n").alias("n_rows"), F.count_if(F.col("_bad")).alias("n_wrong_sets"))
     placed = predictions.select("task", "cohort_id", "repeat", "fold", "sample_id").distinct().join(patients, "sample_id")
     leaks = placed.groupBy("task", "repeat", "patient_id").agg(F.countDistinct("fold").alias("f")) \

@@ -320,10 +320,21 @@ def sample_regions(regions: DataFrame, n: int, seed: int = 42, part: Sequence[st
 
 
 def select_samples(samples: DataFrame, n: int, min_group_size: int, seed: int = 42, group: str = "project_id",
-                   anchor: str | None = None, all_normals_above: int = 800) -> DataFrame:
+                   anchor: str | None = None, all_normals_above: int = 800, tumor_only: bool = False, by_type: bool = False) -> DataFrame:
     """Stratified choice of samples: a minimum per eligible group, the rest in
     rounds over the groups with room, one optional anchor sample in place of the
-    last chosen; all normals are added for large requests. Too few raises."""
+    last chosen; all normals are added for large requests. Too few raises.
+
+    ``tumor_only`` chooses among primary tumours; ``by_type`` makes groups of
+    ``group`` and sample type.
+    """
+    normals = samples.where("sample_type = 'Solid Tissue Normal'")
+    columns = samples.columns
+    if tumor_only:
+        samples = samples.where("sample_type = 'Primary Tumor'")
+    samples = samples.dropDuplicates(["sample"])
+    if by_type:
+        samples, group = samples.withColumn("_group", F.concat_ws(" | ", group, "sample_type")), "_group"
     hashed = samples.withColumn("_h", key_hash(seed, "sample")).withColumn("_b", F.substring("_h", 1, 4))
     inside = ranked(hashed, [group], ["_h"], block="_b", name="_r")
     sizes = inside.groupBy(group).agg(F.count("*").alias("_size")).where(F.col("_size") >= min_group_size)
@@ -338,8 +349,7 @@ def select_samples(samples: DataFrame, n: int, min_group_size: int, seed: int =
     by_round = eligible.withColumn("_round", F.greatest(F.col("_r"), F.lit(min_group_size).cast("bigint")))
     # anchor first: it is always chosen when eligible
     first = [F.when(F.col("sample") == F.lit(anchor), 0).otherwise(1)] if anchor else []
-    chosen = by_round.orderBy(*first, "_round", "_h").limit(n).select(*samples.columns)
+    chosen = by_round.orderBy(*first, "_round", "_h").limit(n).select(*columns)
     if n > all_normals_above:
-        normals = samples.where("sample_type = 'Solid Tissue Normal'")
         chosen = chosen.unionByName(normals.join(chosen.select("sample"), "sample", "left_anti"))
     return chosen.withColumn("is_anchor", F.coalesce(F.col("sample") == F.lit(anchor), F.lit(False)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import safe_divide
 from spanframe.operators.scan import ranked
+from spanframe.session import materialize
 
 # Parts of metric names where a lower value is better.
 LOWER_IS_BETTER = ("_mabe", "_distance_from_1", "avg_false_pmd_beta", "mean_false_pmds_called")
@@ -39,6 +40,11 @@ def f1_like(df: DataFrame, group: str, config: str, member: str) -> DataFrame:
                  F.avg(r).alias("mean_bp_recall"), F.avg(p).alias("mean_bp_precision")))
 
 
+def end_overlap_mean(df: DataFrame, group: str, config: str, member: str, percent: str = "pct_regions_with_lad_at_either_end", count: str = "n_regions") -> DataFrame:
+    """Mean percent of regions with a feature at either end, and mean number of regions, per configuration."""
+    return df.groupBy(group, config).agg(F.countDistinct(member).alias("n_samples"), F.avg(percent).alias("mean_pct_lad_end_overlap"), F.avg(count).alias("mean_n_regions"))
+
+
 def composite_mean(df: DataFrame, group: str, config: str, parts: Sequence[str]) -> DataFrame:
     """Means of the parts and their average, per configuration."""
     means = df.groupBy(group, config).agg(*[F.avg(c).alias(f"mean_{c}") for c in parts])
@@ -146,12 +152,22 @@ def lookup_summary(summary: DataFrame, metric: str, aliases: dict[str, str], **f
 
 def manifest_chunks(manifest: DataFrame, key: str, chunks: int) -> DataFrame:
     """1-based chunk of each manifest row in key order: chunk i holds rows
-    floor((i-1)n/k) to floor(in/k). Keys are ranked in prefix blocks."""
-    blocked = manifest.withColumn("_b", F.substring(key, 1, 15))
-    numbered = ranked(blocked, [], [key], block="_b", name="_i").drop("_b")
-    total = manifest.agg(F.count("*").alias("_n"))
-    chunk = F.floor((F.col("_i") * chunks - 1) / F.col("_n")).cast("bigint") + 1
-    return numbered.crossJoin(F.broadcast(total)).withColumn("chunk", chunk).drop("_i", "_n")  # one row
+    floor((i-1)n/k) to floor(in/k).
+
+    Spark samples the keys for range boundaries, so keys with one long common
+    prefix still spread; a row's place is its place in its range after the rows of
+    the ranges before. Only the ranges' sizes reach the driver.
+    """
+    held = materialize(manifest.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["_range"], r["n"]) for r in held.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    total, offsets = 0, []
+    for number, n in sizes:
+        offsets += [F.lit(number), F.lit(total).cast("bigint")]
+        total += n
+    if not total:
+        return manifest.withColumn("chunk", F.lit(None).cast("bigint")).limit(0)
+    place = F.create_map(*offsets)[F.col("_range")] + F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return held.withColumn("chunk", F.floor((place * chunks - 1) / F.lit(total)).cast("bigint") + 1).drop("_range")
 
 
 def stack_tools(tables: dict[str, DataFrame]) -> DataFrame:

@@ -208,8 +208,11 @@ def recovery_metrics(truth: DataFrame, calls: DataFrame, points: DataFrame, tole
     measures = ["truth_hits", "recalled_hits", "recall", "precision", "f1", "per_region_recall_fraction", "mabe"]
     resolution = region_resolution(pairs, counts).groupBy(*CALLER).pivot("hit_level", list(HIT_LEVELS)).agg(
         *[F.first(m).alias(m) for m in measures])
-    falses = false_positive_regions(truth, calls, tolerance, sizes).groupBy(*CALLER).agg(
-        F.count("*").alias("n_false_regions"), F.sum(F.col("end") - F.col("start")).alias("false_region_bp"))
+    wrong = materialize(false_positive_regions(truth, calls, tolerance, sizes), "false")
+    # a region's mean over its points, then the mean over regions that have points
+    valued = points if "beta" in points.columns else points.withColumn("beta", safe_divide("meth", "coverage"))
+    falses = false_region_betas(wrong, valued).groupBy(*CALLER).agg(
+        F.count("*").alias("n_false_regions"), F.sum(F.col("end") - F.col("start")).alias("false_region_bp"), F.avg("mean_beta").alias("avg_false_pmd_beta"))
     on = list(CALLER)
     return (counts.join(resolution, on).join(fragmentation_absorption(pairs, counts), on)
             .join(point_confusion(points, truth, calls, tolerance, sizes), on)
@@ -299,6 +302,32 @@ def multiclass_report(predictions: DataFrame, classes: Sequence[str], y_true: st
     return scored.select(*columns).unionByName(macro.select(*columns)).unionByName(micro.select(*columns))
 
 
+def class_counts(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
+    """(split, label, count) of both sides."""
+    sides = [df.groupBy(label).agg(F.count("*").alias("count")).select(F.lit(name).alias("split"), F.col(label).alias("label"), "count") for name, df in (("train", train), ("test", test))]
+    return sides[0].unionByName(sides[1])
+
+
+def classification_overview(predictions: DataFrame, classes: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred", scores: str = "scores") -> DataFrame:
+    """(metric, value) rows: samples, classes, accuracy, macro and micro scores, and AUC and average
+    precision: of the class named like ``normal`` (else the last) with two classes, else the macro mean
+    of one against the rest. A mean over classes of which one has no rows, or all, is null."""
+    report = multiclass_report(predictions, classes, y_true, y_pred)
+    rest = one_vs_rest(predictions, classes, y_true, scores)
+    totals = predictions.agg(F.count("*").cast("double").alias("n_test_samples"), F.lit(float(len(classes))).alias("n_classes"),
+                             F.avg((F.col(y_true) == F.col(y_pred)).cast("double")).alias("accuracy"))
+    wide = report.where(F.col("class").isin("macro", "micro")).groupBy().agg(*[
+        F.max(F.when(F.col("class") == k, F.col(c))).alias(f"{k}_{c}") for k in ("macro", "micro") for c in ("f1", "precision")])
+    if len(classes) == 2:
+        one = next((c for c in classes if "normal" in c.lower()), classes[-1])
+        ranks = rest.where(F.col("class") == one).groupBy().agg(F.max("roc_auc").alias("roc_auc"), F.max("average_precision").alias("average_precision"))
+    else:
+        whole = F.count("roc_auc") == len(classes)
+        ranks = rest.groupBy().agg(F.when(whole, F.avg("roc_auc")).alias("roc_auc_ovr_macro"), F.when(whole, F.avg("average_precision")).alias("average_precision_macro"))
+    every = totals.crossJoin(F.broadcast(wide)).crossJoin(F.broadcast(ranks))  # one row each
+    return every.unpivot([], every.columns, "metric", "value")
+
+
 def one_vs_rest(predictions: DataFrame, classes: Sequence[str], y_true: str = "y_true", scores: str = "scores") -> DataFrame:
     """AUC and average precision of each class against the rest; ``scores`` is an
     array in class order."""

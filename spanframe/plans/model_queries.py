@@ -18,7 +18,6 @@ from spanframe.operators.points import region_features
 from spanframe.operators.summaries import cohort_manifest
 from spanframe.plans.interval_queries import SAME_SAMPLE
 from spanframe.plans.registry import CTE, merge_sql, query, rounded
-from spanframe.plans.scoring_queries import runs
 from spanframe.plans.summary_queries import matrix
 from spanframe.plans.table_queries import md5_sql
 from spanframe.session import materialize
@@ -214,6 +213,24 @@ def _(t):
     return Z.select_samples(t.samples, 60, 5).select("sample", "project_id")
 
 
+@query("select_tumor_samples", "R14", f"""
+    WITH r AS (SELECT *, {md5_sql(42, 'sample')} AS h FROM samples WHERE sample_type = 'Primary Tumor'),
+         k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY h) AS i, count(*) OVER (PARTITION BY project_id) AS c FROM r),
+         p AS (SELECT * FROM k WHERE c >= 5 ORDER BY greatest(i, 5), h LIMIT 60)
+    SELECT sample, project_id, sample_type FROM p""")
+def _(t):
+    return Z.select_samples(t.samples, 60, 5, tumor_only=True).select("sample", "project_id", "sample_type")
+
+
+@query("select_samples_by_type", "R14", f"""
+    WITH r AS (SELECT *, concat(project_id, ' | ', sample_type) AS g, {md5_sql(42, 'sample')} AS h FROM samples),
+         k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY h) AS i, count(*) OVER (PARTITION BY g) AS c FROM r),
+         p AS (SELECT * FROM k WHERE c >= 5 ORDER BY greatest(i, 5), h LIMIT 150)
+    SELECT sample, project_id, sample_type FROM p""")
+def _(t):
+    return Z.select_samples(t.samples, 150, 5, by_type=True).select("sample", "project_id", "sample_type")
+
+
 # --------------------------------------------------------------------- cohorts
 
 CTE["observed"] = """
@@ -460,17 +477,48 @@ def _(t):
                    (F.abs(squares[1] / total - ratios[1]) < 1e-6).alias("explained_fits"))
 
 
-@query("completed_run_checks", "M10", """
-    SELECT concat(cohort_id, '_10') AS task, count(*) AS n_rows,
-           CAST(count(DISTINCT feature_set) AS BIGINT) AS n_sets FROM runs GROUP BY cohort_id""")
+# tasks of four cohorts over the same folds: whole runs; one without a set; one set short of rows; one with moved patients
+CTE["task_rows"] = f"""
+    SELECT c AS cohort_id, concat(c, '_', CAST(n_features AS VARCHAR)) AS task, feature_set, split FROM
+        (SELECT unnest(['whole', 'missing', 'short', 'moved']) AS c), set_sizes, (SELECT DISTINCT split FROM fold_members),
+        (SELECT 'PMD' AS feature_set UNION ALL SELECT 'Always cancer' UNION ALL SELECT 'CGI' FROM range(0, {DRAWS}))
+    WHERE NOT (n_features = 5 AND (c = 'missing' AND feature_set = 'CGI' OR c = 'short' AND feature_set = 'PMD' AND split = 0))"""
+CTE["task_samples"] = f"""
+    SELECT c AS cohort_id, concat(c, '_', CAST(n_features AS VARCHAR)) AS task, repeat, sample_id, patient_id,
+           CASE WHEN c = 'moved' AND n_features = 5 AND CAST(substr(sample_id, 2) AS BIGINT) % 14 = 0 THEN ({FOLDS} - 1) - fold ELSE fold END AS fold
+    FROM (SELECT unnest(['whole', 'missing', 'short', 'moved']) AS c), set_sizes, (SELECT * FROM fold_members WHERE is_test)"""
+
+
+@query("completed_run_checks", "M10", f"""
+    WITH n AS (SELECT count(DISTINCT split) AS n FROM fold_members),
+         w AS (SELECT task, 'PMD' AS feature_set, n AS want FROM (SELECT DISTINCT task FROM task_rows), n UNION ALL SELECT task, 'Always cancer', n FROM (SELECT DISTINCT task FROM task_rows), n
+               UNION ALL SELECT task, 'CGI', n * {DRAWS} FROM (SELECT DISTINCT task FROM task_rows), n),
+         c AS (SELECT w.task, sum(coalesce(r.k, 0)) AS n_rows, count(*) FILTER (coalesce(r.k, 0) <> want) AS n_wrong_sets
+               FROM w LEFT JOIN (SELECT task, feature_set, count(*) AS k FROM task_rows GROUP BY ALL) r ON r.task = w.task AND r.feature_set = w.feature_set GROUP BY w.task),
+         l AS (SELECT task, count(*) FILTER (f > 1) AS n FROM (SELECT task, repeat, patient_id, count(DISTINCT fold) AS f FROM task_samples GROUP BY ALL) GROUP BY task),
+         d AS (SELECT a.task, count(*) FILTER (b.n < 2) AS n FROM task_samples a
+               JOIN (SELECT cohort_id, repeat, fold, sample_id, count(DISTINCT task) AS n FROM task_samples GROUP BY ALL) b
+               ON b.cohort_id = a.cohort_id AND b.repeat = a.repeat AND b.fold = a.fold AND b.sample_id = a.sample_id GROUP BY a.task)
+    SELECT c.task, CAST(n_rows AS BIGINT) AS n_rows, n_wrong_sets, l.n AS n_leaking_patients, d.n AS n_fold_differences, n_wrong_sets = 0 AND l.n = 0 AND d.n = 0 AS ok
+    FROM c JOIN l ON l.task = c.task JOIN d ON d.task = c.task""")
 def _(t):
-    r = runs(t).withColumn("task", F.concat("cohort_id", F.lit("_10")))
-    predictions = labelled(t).select(F.col("sample").alias("sample_id"), "patient_id", F.substring("cohort_id", 6, 9).alias("cohort_id"))
-    folds = M.group_kfold(labelled(t), 5, 1).select(F.col("sample").alias("sample_id"), "repeat", "fold")
-    placed = predictions.join(folds, "sample_id").withColumn("task", F.concat("cohort_id", F.lit("_10")))
-    checks = M.completed_run_checks(r, placed.drop("patient_id"), {"no such set": 0}, predictions.select("sample_id", "patient_id"))
-    return checks.where("n_leaking_patients = 0 AND n_fold_differences = 0").select(
-        "task", "n_rows", F.col("n_wrong_sets").alias("n_sets"))  # every set here is unexpected
+    members = materialize(FF.fold_members(assigned(t), FOLDS).where("is_test"), "tests")
+    cases = F.explode(F.array(*[F.lit(c) for c in ("whole", "missing", "short", "moved")]))
+    sizes = F.explode(F.array(*[F.lit(n) for n in SIZES]))
+
+    def tasks(df):
+        return df.withColumn("cohort_id", cases).withColumn("n", sizes).withColumn("task", F.concat_ws("_", "cohort_id", "n"))
+
+    sets = F.explode(F.array(F.lit("PMD"), F.lit("Always cancer"), *[F.lit("CGI")] * DRAWS))
+    small = F.col("n") == 5
+    lacking = small & ((F.col("cohort_id") == "missing") & (F.col("feature_set") == "CGI") | (F.col("cohort_id") == "short") & (F.col("feature_set") == "PMD") & (F.col("split") == 0))
+    results = tasks(members.select("split").distinct()).withColumn("feature_set", sets).where(~lacking)
+    number = F.substring("sample_id", 2, 9).cast("bigint")
+    moved = small & (F.col("cohort_id") == "moved") & (number % 14 == 0)
+    placed = tasks(members).withColumn("fold", F.when(moved, FOLDS - 1 - F.col("fold")).otherwise(F.col("fold")))
+    runs_of = FOLDS * REPEATS
+    return M.completed_run_checks(results, placed.drop("patient_id"), {"PMD": runs_of, "Always cancer": runs_of, "CGI": runs_of * DRAWS},
+                                  members.select("sample_id", "patient_id").distinct())
 
 
 # --------------------------------------------------------------------- context

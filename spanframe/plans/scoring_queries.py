@@ -173,20 +173,25 @@ def _(t):
     return rounded(B.false_region_betas(false, t.beta_points), 9, "mean_beta")
 
 
+CTE["false_betas"] = f"""
+    SELECT a.sample_id, a.tool, a.chrom, a.start, a."end", avg(b.beta) AS mean_beta FROM false_calls a LEFT JOIN beta_points b ON {SAME_SAMPLE} GROUP BY ALL"""
+
+
 @query("recovery_metrics", "B7, J1", """
     WITH any_hits AS (SELECT sample_id, tool, count(*) AS h, avg(mabe_bp) AS m FROM best_hits WHERE hit_level = 'any' GROUP BY ALL),
          f AS (SELECT sample_id, tool, count(*) AS n, sum("end" - start) AS bp FROM false_calls GROUP BY ALL)
     SELECT c.sample_id, c.tool, c.n_truth, c.n_calls, a.h AS any_truth_hits, round(a.h / c.n_truth, 9) AS any_recall,
            round(a.m, 4) AS any_mabe, x.bp_tp, x.bp_fp, x.bp_fn, x.bp_tn, coalesce(f.n, 0) AS n_false_regions,
-           CAST(coalesce(f.bp, 0) AS BIGINT) AS false_region_bp
+           CAST(coalesce(f.bp, 0) AS BIGINT) AS false_region_bp, round(m.b, 9) AS avg_false_pmd_beta
     FROM caller_counts c JOIN any_hits a ON a.sample_id = c.sample_id AND a.tool = c.tool
     JOIN confusion x ON x.sample_id = c.sample_id AND x.tool = c.tool
-    LEFT JOIN f ON f.sample_id = c.sample_id AND f.tool = c.tool""")
+    LEFT JOIN f ON f.sample_id = c.sample_id AND f.tool = c.tool
+    LEFT JOIN (SELECT sample_id, tool, avg(mean_beta) AS b FROM false_betas GROUP BY ALL) m ON m.sample_id = c.sample_id AND m.tool = c.tool""")
 def _(t):
     out = B.recovery_metrics(t.truth, t.calls, t.points, TOL, t.sizes)
-    return rounded(rounded(out, 9, "any_recall"), 4, "any_mabe").select(
+    return rounded(rounded(out, 9, "any_recall", "avg_false_pmd_beta"), 4, "any_mabe").select(
         *ST, "n_truth", "n_calls", "any_truth_hits", "any_recall", "any_mabe", "bp_tp", "bp_fp", "bp_fn", "bp_tn",
-        "n_false_regions", "false_region_bp")
+        "n_false_regions", "false_region_bp", "avg_false_pmd_beta")
 
 
 @query("bp_precision_recall", "B8", f"""
@@ -471,6 +476,32 @@ def _(t):
     return rounded(B.one_vs_rest(multi(t), CLASSES), 9, "roc_auc", "average_precision")
 
 
+CTE["class_ranks"] = """
+    WITH l AS (SELECT 'F' AS class, y_true = 'F' AS t, s1 AS s FROM multi UNION ALL SELECT 'O', y_true = 'O', s2 FROM multi
+               UNION ALL SELECT 'P', y_true = 'P', s3 FROM multi),
+         g AS (SELECT class, s, count(*) FILTER (t) AS p, count(*) FILTER (NOT t) AS n FROM l GROUP BY ALL),
+         k AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY class ORDER BY s DESC))
+    SELECT class, sum(n * (cp - p / 2)) / (sum(p) * sum(n)) AS roc_auc, sum(p * cp / (cp + cn)) / sum(p) AS average_precision FROM k GROUP BY class"""
+
+
+@query("classification_overview", "B17, M8", """
+    WITH t AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS a FROM multi),
+         m AS (SELECT avg(p) AS p, avg(f) AS f, sum(tp) / sum(tp + fp) AS mp, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS mf FROM class_scores),
+         r AS (SELECT avg(roc_auc) AS u, avg(average_precision) AS v FROM class_ranks)
+    SELECT unnest(['n_test_samples', 'n_classes', 'accuracy', 'macro_f1', 'macro_precision', 'micro_f1', 'micro_precision', 'roc_auc_ovr_macro', 'average_precision_macro']) AS metric,
+           round(unnest([n, 3.0, a, f, p, mf, mp, u, v]), 9) AS value FROM t, m, r""")
+def _(t):
+    return rounded(B.classification_overview(multi(t), CLASSES), 9, "value")
+
+
+@query("class_counts", "B17", """
+    SELECT CASE WHEN s1 < 0.5 THEN 'train' ELSE 'test' END AS split, y_true AS label, count(*) AS count FROM multi GROUP BY ALL""")
+def _(t):
+    rows = multi(t).withColumn("label", F.col("y_true"))
+    low = F.col("scores")[0] < 0.5
+    return B.class_counts(rows.where(low), rows.where(~low))
+
+
 # --------------------------------------------------- ranking and comparisons
 
 CTE["configs"] = """
@@ -510,6 +541,39 @@ def _(t):
     return rounded(out, 9, "composite_score", "mean_bp_precision", "mean_bp_recall")
 
 
+CTE["sweep"] = """
+    SELECT config_name, platform, sample, bp_precision AS signal_ratio, bp_recall AS peak_ratio, bp_precision * bp_recall AS peak_overlap_fraction,
+           100 * bp_recall AS pct_regions_with_lad_at_either_end, CAST(1000 * bp_precision AS BIGINT) AS n_regions FROM configs"""
+
+
+def sweep(t):
+    p, r = F.col("bp_precision"), F.col("bp_recall")
+    return configs(t).select("config_name", "platform", "sample", p.alias("signal_ratio"), r.alias("peak_ratio"), (p * r).alias("peak_overlap_fraction"),
+                             (100 * r).alias("pct_regions_with_lad_at_either_end"), F.round(1000 * p).cast("bigint").alias("n_regions"))
+
+
+@query("rank_configs_by_three_ratios", "W1", """
+    WITH c AS (SELECT platform, config_name, round(avg(signal_ratio), 9) AS s, round(avg(peak_ratio), 9) AS p, round(avg(peak_overlap_fraction), 9) AS o FROM sweep GROUP BY ALL)
+    SELECT platform, config_name, round((s + p + o) / 3, 8) AS composite_score, s AS mean_signal_ratio, p AS mean_peak_ratio, o AS mean_peak_overlap_fraction,
+           row_number() OVER (PARTITION BY platform ORDER BY round((s + p + o) / 3, 8) DESC, s DESC, p DESC, config_name) AS rank FROM c""")
+def _(t):
+    parts = ["signal_ratio", "peak_ratio", "peak_overlap_fraction"]
+    scored = rounded(W.composite_mean(sweep(t), "platform", "config_name", parts), 9, *[f"mean_{c}" for c in parts])
+    total = sum((F.col(f"mean_{c}") for c in parts[1:]), F.col(f"mean_{parts[0]}"))
+    scored = scored.withColumn("composite_score", F.round(total / 3, 8))
+    return W.rank_configs(scored, "platform", "config_name", ["composite_score", "mean_signal_ratio", "mean_peak_ratio"])
+
+
+@query("rank_configs_by_end_overlap", "W1", """
+    WITH c AS (SELECT platform, config_name, count(DISTINCT sample) AS n_samples, round(avg(pct_regions_with_lad_at_either_end), 9) AS p, round(avg(n_regions), 9) AS n FROM sweep GROUP BY ALL)
+    SELECT platform, config_name, n_samples, p AS mean_pct_lad_end_overlap, n AS mean_n_regions,
+           row_number() OVER (PARTITION BY platform ORDER BY p DESC, n DESC, config_name) AS rank FROM c""")
+def _(t):
+    columns = ["mean_pct_lad_end_overlap", "mean_n_regions"]
+    scored = rounded(W.end_overlap_mean(sweep(t), "platform", "config_name", "sample"), 9, *columns)
+    return W.rank_configs(scored, "platform", "config_name", columns)
+
+
 @query("best_per_key", "W2", """
     SELECT sample_id, tool, chrom, start, "end", region_id FROM (
         SELECT *, row_number() OVER (PARTITION BY sample_id, tool, chrom ORDER BY "end" - start DESC, start, region_id) AS k FROM regions)
@@ -637,10 +701,10 @@ def _(t):
 
 
 @query("stack_tools", "W11", """
-    SELECT tool, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS bp FROM regions WHERE tool IN ('1', '2', '3') GROUP BY tool""")
+    SELECT tool, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS bp FROM regions GROUP BY tool""")
 def _(t):
     r = t.regions
-    stacked = W.stack_tools({k: r.where(F.col("tool") == k) for k in ("1", "2", "3")})
+    stacked = W.stack_tools({k: r.where(F.col("tool") == k) for k in ("1", "2", "3", "4", "5")})
     return stacked.groupBy("tool").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bp"))
 
 

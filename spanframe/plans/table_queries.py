@@ -95,6 +95,20 @@ def _(t):
     return S.rows_per_task(S.collect_outputs(t.spark, root, S.BED))
 
 
+@query("collect_task_tables", "S9", """
+    SELECT concat(sample_id, '_', tool) AS task, count(*) AS n_results_rows, count(DISTINCT (chrom, start, "end")) AS n_regions_rows,
+           count(DISTINCT chrom) AS n_predictions_rows FROM regions GROUP BY ALL""")
+def _(t):
+    """Three tables of every task written, found again and counted."""
+    rows = t.regions.withColumn("task", F.concat_ws("_", "sample_id", "tool"))
+    written = {"results": rows.select("task", "chrom", "start", "end"), "regions": rows.select("task", "chrom", "start", "end").distinct(),
+               "predictions": rows.select("task", "chrom").distinct()}
+    root = fresh_dir(t.spark, "task-tables")
+    for name, df in written.items():
+        S.write_table(df, f"{root}/{name}", header=True, partition_by=["task"])
+    return S.collect_task_tables(t.spark, root, {"results": S.BED, "regions": S.BED, "predictions": "chrom string"})[1]
+
+
 @query("export_tracks", "S11", """
     SELECT sample_id, concat('tool_', tool) AS track, count(*) AS n_regions FROM merged GROUP BY ALL
     UNION ALL SELECT 'shared', 'consensus', count(*) FROM consensus

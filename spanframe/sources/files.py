@@ -117,6 +117,22 @@ def collect_outputs(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return rows.withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), r"/task=([^/]+)/", 1))
 
 
+def collect_task_tables(spark: SparkSession, root: str, schemas: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables by name, one row a task) of folders ``<name>/task=<key>`` below ``root``.
+
+    Each table is stacked over its tasks and tagged with them; the summary counts
+    the rows of every table. A task that lacks a table raises when it is read.
+    """
+    tables = {name: collect_outputs(spark, f"{root}/{name}", schema) for name, schema in schemas.items()}
+    counted = None
+    for name, df in tables.items():
+        rows = df.groupBy("task").agg(F.count("*").alias("n")).withColumn("table", F.lit(name))
+        counted = rows if counted is None else counted.unionByName(rows)
+    wide = counted.groupBy("task").agg(*[F.max(F.when(F.col("table") == k, F.col("n"))).alias(f"n_{k}_rows") for k in schemas])
+    checked = [F.coalesce(f"n_{k}_rows", F.raise_error(F.concat(F.lit(f"missing {k} of task "), F.col("task"))).cast("bigint")).alias(f"n_{k}_rows") for k in schemas]
+    return tables, wide.select("task", *checked)
+
+
 def rows_per_task(outputs: DataFrame) -> DataFrame:
     return outputs.groupBy("task").agg(F.count("*").alias("n_rows"))
 
