@@ -33,35 +33,50 @@ def context_features(points: DataFrame, windows: Sequence[int], keys: Sequence[s
 
     Running sums are read just before each window and just after it, so the work
     follows the number of positions whatever the window, and windows may be wider
-    than a tile. Values and squares are added as decimals of 15 and 30 places,
-    so a difference of two sums is the sum of what lies between.
+    than a tile. A window's edge tells the position it belongs to, so edges only
+    carry a flag each and nothing is joined back. Sums are whole numbers, so a
+    difference of two is the sum of what lies between: values with 15 places in
+    two parts, and values of 11 places with their squares in three, for the spread
+    (33 million points of one chromosome and key fit).
     """
     part = [*keys, "chrom"]
-    v = F.col(value).cast("decimal(18,15)")
-    columns = ["n", "s", "ss", "nh", "ni"]
-    packed = materialize(points.groupBy(*part, "start").agg(
-        F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0)).cast("decimal(30,15)").alias("s"),
-        F.coalesce(F.sum(v * v), F.lit(0)).cast("decimal(38,30)").alias("ss"),
-        F.count_if(F.col(value) > high).alias("nh"), F.count_if((F.col(value) >= low) & (F.col(value) <= int_high)).alias("ni"),
-        F.sum(value).alias("_sum")), "positions")
-    marks = F.array(*[F.struct(F.lit(w).alias("w"), (F.col("start") + at).alias("pos"), F.lit(sign).alias("sign"))
-                      for w in windows for at, sign in ((-(w // 2), -1), (w // 2 + 1, 1))])
-    asked = packed.select(*part, "start", F.explode(marks).alias("m")).select(*part, "start", "m.*")
-    zeros = [F.lit(0).cast(packed.schema[c].dataType).alias(c) for c in columns]
-    steps = (packed.select(*part, F.col("start").alias("pos"), *columns).unionByName(asked.select(*part, "pos", *zeros))
-             .groupBy(*part, "pos").agg(*[F.sum(c).cast(packed.schema[c].dataType).alias(c) for c in columns]))
-    sums = prefix_scan(steps, part, sums=columns).select(*part, "pos", *[F.col(f"{c}_before").alias(c) for c in columns])
-    inside = asked.join(sums, [*part, "pos"]).groupBy(*part, "start").agg(
-        *[F.sum(F.when(F.col("w") == w, F.when(F.col("sign") > 0, F.col(c)).otherwise(-F.col(c)))).alias(f"{c}_{w}") for w in windows for c in columns])
+    v = F.col(value)
+    fine, coarse = F.round(v * 1e15).cast("bigint"), F.round(v * 1e11).cast("bigint")
+    high_part, low_part = F.shiftright(coarse, 19), coarse.bitwiseAND((1 << 19) - 1)
+    sums = {"n": F.count(v), "sh": F.sum(F.shiftright(fine, 25)), "sl": F.sum(fine.bitwiseAND((1 << 25) - 1)), "q": F.sum(coarse),
+            "aa": F.sum(high_part * high_part), "ab": F.sum(high_part * low_part), "bb": F.sum(low_part * low_part),
+            "nh": F.count_if(v > high), "ni": F.count_if((v >= low) & (v <= int_high))}
+    columns = list(sums)
+    zero = F.lit(0).cast("bigint")
+    packed = materialize(points.groupBy(*part, "start").agg(*[F.coalesce(x, zero).alias(c) for c, x in sums.items()], F.sum(v).alias("_sum")), "positions")
+    # (window, distance of its edge from the position, sign of the sums there)
+    edges = [(w, at, sign) for w in windows for at, sign in ((-(w // 2), -1), (w // 2 + 1, 1))]
+    flags = [f"_e{i}" for i in range(len(edges))]
+    rows = F.array(F.struct(F.col("start").alias("pos"), *[F.col(c) for c in columns], *[F.lit(False).alias(f) for f in flags]), *[
+        F.struct((F.col("start") + at).alias("pos"), *[zero.alias(c) for c in columns], *[F.lit(i == j).alias(f) for j, f in enumerate(flags)])
+        for i, (_, at, _) in enumerate(edges)])
+    steps = packed.select(*part, F.explode(rows).alias("m")).select(*part, "m.*").groupBy(*part, "pos").agg(
+        *[F.sum(c).alias(c) for c in columns], *[F.max(f).alias(f) for f in flags])
+    at_edges = prefix_scan(steps, part, sums=columns).where(" OR ".join(flags))
+    nothing = [F.lit(None).cast("bigint")] * len(columns)
+    shares = F.filter(F.array(*[F.struct((F.col("pos") - at).alias("start"), F.col(f).alias("asked"), *[
+        (F.col(f"{c}_before") * sign if w == own else nothing[0]).alias(f"{c}_{w}") for w in windows for c in columns])
+        for f, (own, at, sign) in zip(flags, edges)]), lambda x: x["asked"])
+    found = at_edges.select(*part, F.explode(shares).alias("x")).select(*part, "x.*").drop("asked")
+    named = [f"{c}_{w}" for w in windows for c in columns]
+    own = packed.select(*part, "start", "n", "_sum", *[F.lit(None).cast("bigint").alias(c) for c in named])
+    met = found.select(*part, "start", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("_sum"), *named).unionByName(own)
+    inside = met.groupBy(*part, "start").agg(F.max("n").alias("n"), F.max("_sum").alias("_sum"), *[F.sum(c).alias(c) for c in named])
     out = [F.try_divide(F.col("_sum"), F.col("n")).alias(value)]
     for w in windows:
-        n, s, ss = (F.col(f"{c}_{w}").cast("double") for c in ("n", "s", "ss"))
-        mean = safe_divide(s, n)
-        out += [F.col(f"n_{w}"), mean.alias(f"mean_{w}"),
-                F.sqrt(F.greatest(safe_divide(ss, n) - mean * mean, F.lit(0.0))).alias(f"std_{w}"),
+        n, sh, sl, q, aa, ab, bb = (F.col(f"{c}_{w}").cast("double") for c in ("n", "sh", "sl", "q", "aa", "ab", "bb"))
+        mean, rough = safe_divide((sh * float(1 << 25) + sl) / 1e15, n), safe_divide(q, n)
+        squares = aa * float(1 << 38) + ab * float(1 << 20) + bb
+        spread = F.sqrt(F.greatest(safe_divide(squares, n) - rough * rough, F.lit(0.0))) / 1e11
+        out += [F.col(f"n_{w}"), mean.alias(f"mean_{w}"), spread.alias(f"std_{w}"),
                 safe_divide(F.col(f"nh_{w}"), n).alias(f"fraction_high_{w}"),
                 safe_divide(F.col(f"ni_{w}"), n).alias(f"fraction_intermediate_{w}")]
-    return packed.select(*part, "start", "n", "_sum").join(inside, [*part, "start"]).select(*part, "start", *out)
+    return inside.select(*part, "start", *out)
 
 
 def states_by_rule(features: DataFrame, window: int, cutoffs: dict | None = None, value: str = "beta") -> DataFrame:

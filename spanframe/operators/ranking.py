@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -98,15 +99,12 @@ def largest_gap(summary: DataFrame, subject: str, others: Sequence[str], scope:
             .select(scope, "g.*").withColumn("absolute_difference", F.abs("difference")))
 
 
-def lower_is_better(metric: str) -> bool:
-    return any(part in metric for part in LOWER_IS_BETTER)
-
-
 def order_tools(summary: DataFrame, metric: str, priority: Sequence[str] = ()) -> DataFrame:
     """Tools in the metric's direction (near-1 metrics by distance), ties by fixed
     priority and name; adds ``position``."""
     column = NEAR_ONE.get(metric, metric)
-    key = F.asc_nulls_last(column) if lower_is_better(column) else F.desc_nulls_last(column)
+    rising = re.search("|".join(map(re.escape, LOWER_IS_BETTER)), column)
+    key = F.asc_nulls_last(column) if rising else F.desc_nulls_last(column)
     place = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("tool")), F.lit(0)) if priority \
         else F.lit(0)
     place = F.when(place == 0, len(priority) + 1).otherwise(place)
