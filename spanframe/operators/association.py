@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanframe.functions import f1_score, safe_divide
 from spanframe.operators.points import region_mean
 from spanframe.operators.medians import with_medians
-from spanframe.operators.ranges import (boundaries, end_windows, mark_overlaps, merge_intervals, overlap_totals,
+from spanframe.operators.ranges import (boundaries, end_windows, merge_intervals, overlap_totals,
                                         overlaps_any, range_join)
 from spanframe.operators.scan import bracket
 from spanframe.session import materialize
@@ -43,15 +43,8 @@ def nearest_distance(queries: DataFrame, targets: DataFrame, keys: Sequence[str]
     return near.select(*part, "pos", F.coalesce(gap, F.lit(float("inf"))).alias(name))
 
 
-def nearest_feature(regions: DataFrame, features: DataFrame, keys: Sequence[str] = ("sample_id", "tool"),
-                    feature_id: str = "feature_id") -> DataFrame:
-    """Per region: endpoint-to-endpoint distance to the nearest feature boundary,
-    the same with 0 for overlapping regions, and the nearest feature's id.
-
-    ``features`` are disjoint. Overlapping regions name the feature with the
-    largest overlap, ties by id; others the closest boundary, ties by position.
-    """
-    coords = [*keys, "chrom", "start", "end"]
+def _nearest_edge(regions: DataFrame, features: DataFrame, feature_id: str) -> DataFrame:
+    """``regions`` with the closest feature boundary to either end (``_best``: d, pos; ties by position) and its feature (``_fid``)."""
     edges = features.select("chrom", F.explode(F.array("start", "end")).alias("pos"), F.col(feature_id).alias("_fid"))
     edges = edges.groupBy("chrom", "pos").agg(F.min("_fid").alias("_fid"))
     ends = regions.select("chrom", F.explode(F.array("start", "end")).alias("pos"))
@@ -63,8 +56,20 @@ def nearest_feature(regions: DataFrame, features: DataFrame, keys: Sequence[str]
         return F.when(F.col(edge).isNotNull(), F.struct(F.abs(F.col(at) - F.col(edge)).alias("d"), F.col(edge).alias("pos")))
 
     best = F.least(candidate("start", "_p1"), candidate("start", "_n1"), candidate("end", "_p2"), candidate("end", "_n2"))
-    placed = (regions.join(low, ["chrom", "start"]).join(high, ["chrom", "end"]).withColumn("_best", best)
-              .withColumn("pos", F.col("_best.pos")).join(edges, ["chrom", "pos"], "left"))
+    placed = regions.join(low, ["chrom", "start"]).join(high, ["chrom", "end"]).withColumn("_best", best)
+    return placed.withColumn("pos", F.col("_best.pos")).join(edges, ["chrom", "pos"], "left").select(*regions.columns, "_best", "_fid")
+
+
+def nearest_feature(regions: DataFrame, features: DataFrame, keys: Sequence[str] = ("sample_id", "tool"),
+                    feature_id: str = "feature_id") -> DataFrame:
+    """Per region: endpoint-to-endpoint distance to the nearest feature boundary,
+    the same with 0 for overlapping regions, and the nearest feature's id.
+
+    ``features`` are disjoint. Overlapping regions name the feature with the
+    largest overlap, ties by id; others the closest boundary, ties by position.
+    """
+    coords = [*keys, "chrom", "start", "end"]
+    placed = _nearest_edge(regions, features, feature_id)
     largest = (range_join(regions.select(*coords), features.select("chrom", "start", "end", F.col(feature_id).alias("id")))
                .groupBy(*coords).agg(F.min(F.struct((-F.col("overlap_bp")).alias("o"), F.col("b_id").alias("id"))).alias("_top")))
     joined = placed.join(largest, coords, "left")
@@ -144,25 +149,32 @@ def feature_association(regions: DataFrame, features: DataFrame, window_bp: int,
     return out
 
 
+def _details(regions: DataFrame, features: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(region details, regions of each feature per key), both from one join of regions and features."""
+    coords = [*keys, "chrom", "start", "end"]
+    spots = regions.groupBy(*coords).agg(F.count("*").alias("_copies"))
+    pairs = materialize(range_join(spots, features.select("chrom", "start", "end", "feature_id"), prefix="f_"), "pairs")
+    held = pairs.groupBy(*keys, "f_feature_id").agg(F.sum("_copies").alias("_regions"))
+    top = F.min(F.struct((-F.col("overlap_bp")).alias("o"), F.col("f_feature_id").alias("id")))
+    met = pairs.join(held, [*keys, "f_feature_id"]).groupBy(*coords).agg(
+        F.count("*").alias("n_features"), F.sum("overlap_bp").alias("total_overlap_bp"), F.max(F.col("_regions") > 1).alias("shares_feature"), top.alias("_top"))
+    near = _nearest_edge(spots.drop("_copies"), features, "feature_id")
+    hit, length = F.col("_top").isNotNull(), F.col("end") - F.col("start")
+    joined = regions.join(near, coords).join(met, coords, "left")
+    out = joined.select(
+        *regions.columns, F.coalesce("total_overlap_bp", F.lit(0)).alias("total_overlap_bp"), F.coalesce("n_features", F.lit(0)).alias("n_features"),
+        F.coalesce("shares_feature", F.lit(False)).alias("shares_feature"),
+        F.when(hit, F.lit(0).cast("bigint")).otherwise(F.col("_best.d")).alias("dist_to_feature"), F.col("_best.d").alias("dist_to_boundary"),
+        F.coalesce(F.col("_top.id"), F.col("_fid")).alias("nearest_feature_id"), length.alias("region_length"),
+        F.coalesce(safe_divide("total_overlap_bp", length), F.lit(0.0)).alias("overlap_fraction"), hit.alias("overlaps_feature"))
+    return out, held
+
+
 def region_detail(regions: DataFrame, features: DataFrame, keys: Sequence[str] = ("sample_id", "tool")) -> DataFrame:
     """Per region: feature overlap, number of features, distances, nearest id and
     whether it shares a feature with another region of its key. ``features``
     carry a ``feature_id`` and are disjoint."""
-    keys = list(keys)
-    coords = [*keys, "chrom", "start", "end"]
-    plain, spots = features.select("chrom", "start", "end"), regions.select(*coords).distinct()
-    totals = overlap_totals(spots, plain, (), count="n_features", bp="total_overlap_bp")
-    pairs = range_join(regions.select(*coords), plain, prefix="f_")
-    shared = (pairs.groupBy(*keys, "chrom", F.col("f_start").alias("start"), F.col("f_end").alias("end"))
-              .agg(F.count("*").alias("_n")).where("_n > 1"))
-    # each part reads the regions on its own: chaining them would repeat the earlier ones
-    flags = mark_overlaps(spots, shared, keys, name="shares_feature")
-    near = nearest_feature(spots, features, keys)
-    length = F.col("end") - F.col("start")
-    return (regions.join(totals, coords).join(flags, coords).join(near, coords)
-            .withColumn("region_length", length)
-            .withColumn("overlap_fraction", F.coalesce(safe_divide("total_overlap_bp", length), F.lit(0.0)))
-            .withColumn("overlaps_feature", F.col("n_features") > 0))
+    return _details(regions, features, list(keys))[0]
 
 
 def association_scores(regions: DataFrame, features: DataFrame, keys: Sequence[str] = ("sample_id", "tool"),
@@ -170,9 +182,8 @@ def association_scores(regions: DataFrame, features: DataFrame, keys: Sequence[s
     """The 13 association metrics per key in long form, with mode, threshold and
     the number of regions passing. A key without regions scores 0 throughout."""
     keys = list(keys)
-    detail = region_detail(regions, features, keys)
-    touched = range_join(regions.select(*keys, "chrom", "start", "end"), features.select("chrom", "feature_id", "start", "end"))
-    n_touched = touched.groupBy(*keys, "b_feature_id").agg(F.lit(1)).groupBy(*keys).agg(F.count("*").alias("_features_hit"))
+    detail, held = _details(regions, features, keys)
+    n_touched = held.groupBy(*keys).agg(F.count("*").alias("_features_hit"))
     near, free = F.col("dist_to_boundary") <= NEAR_BP, F.col("dist_to_feature") > 0
     has = F.col("dist_to_boundary").isNotNull()
     hit = F.col("overlaps_feature")
