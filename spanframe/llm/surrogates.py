@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.batches import with_fields
+from spanframe.llm.batches import free_names, with_fields
 from spanframe.session import materialize, ship_package
 
 #: Titles by the gender they tell.
@@ -55,11 +55,11 @@ _DIGIT = re.compile(r"[0-9]")
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of all mentions, in order and without overlap; kinds earlier in the list win."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))  # one mark a character, so a mention costs its own length, however many there are
 
     def add(a: int, b: int, kind: str, norm: str) -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+        if 1 not in taken[a:b]:
+            taken[a:b] = b"\x01" * (b - a)
             found.append((a, b, kind, norm))
 
     digits = _DIGIT.search(text) is not None
@@ -291,16 +291,17 @@ def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "te
     table = assign(named.select(F.col("settled").alias("kind"), "norm"), secret)
     again = table.where("attempt > 0").select(F.col("kind").alias("settled"), "norm", "attempt")
     changed = named.join(again, ["settled", "norm"], "left").where("attempt is not null or settled <> kind")
-    redrawn = materialize(changed.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_set(F.struct("kind", "norm", "settled", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias("_redrawn")), "redrawn")
     kept = docs.drop("n_entities")
-    joined = kept.join(redrawn, kept[key].cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    of, redrawn_name = free_names(kept.columns, "_id", "_redrawn")
+    redrawn = materialize(changed.groupBy(F.col("doc_id").alias(of)).agg(
+        F.collect_set(F.struct("kind", "norm", "settled", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias(redrawn_name)), "redrawn")
+    joined = kept.join(redrawn, kept[key].cast("long").eqNullSafe(F.col(of)), "left").drop(of)
 
     def run(batches):
         keyed = Keyed(secret)
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            values, other = batch.column(at).to_pylist(), batch.column("_redrawn").to_pylist()
+            values, other = batch.column(at).to_pylist(), batch.column(redrawn_name).to_pylist()
             count = [0] * len(values)
             for i, value in enumerate(values):
                 if value and (found := find(value)):
@@ -311,8 +312,8 @@ def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "te
                         parts += [value[head:a], render(kind, value[a:b], keyed.surrogate(settled, norm, attempt))]
                         head = b
                     values[i], count[i] = "".join([*parts, value[head:]]), len(found)
-            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "_redrawn"]
+            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != redrawn_name]
             columns[at] = pa.array(values, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64())], names=[*[n for n in batch.schema.names if n != "_redrawn"], "n_entities"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64())], names=[*[n for n in batch.schema.names if n != redrawn_name], "n_entities"])
 
     return joined.mapInArrow(run, with_fields(kept.schema, n_entities="long"))

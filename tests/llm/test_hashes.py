@@ -94,3 +94,16 @@ def test_lines_of_random_letters_keep_few_states():
     assert len(machine.states) <= 2 * machine.limit
     tokens = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     assert got[::400].tolist() == [len(tokens.encode(x, add_special_tokens=False).ids) for x in lines[::400]]
+
+
+def test_mentions_cost_their_length_and_column_names_survive(make):
+    import time
+
+    from spanframe.llm import surrogates
+    text = " ".join(f"mail user{i}@host{i}.example.com," for i in range(12_000))
+    began = time.perf_counter()
+    found = surrogates.find(text)
+    assert len(found) == 12_000 and time.perf_counter() - began < 3
+    docs = make([(1, "Mr. John Smith, john@mail.example.com"), (2, None)], _id="i", _redrawn="r")
+    got = surrogates.replace(docs, b"k").orderBy("doc_id").collect()
+    assert [(r._id, r._redrawn) for r in got] == [("i", "r")] * 2 and got[0].n_entities >= 2 and got[1].text is None
