@@ -39,3 +39,18 @@ def test_wide_components_drop_empty_features_and_raise_on_missing_values(spark):
     holed = rows.withColumn("features", F.when(F.col("sample_id") == "a", F.array(*[F.lit(x) for x in (1.0, None, None, 4.0)])).otherwise(F.col("features")))
     with pytest.raises(Exception, match="missing values"):
         M.sample_pca(holed)
+
+
+@pytest.mark.parametrize("shape", [130.0, 5000.0, 1e7])
+def test_gammas_of_large_shape(shape):
+    u = (np.arange(200_000) + 0.5) / 200_000
+    x = gamma_quantiles(u, shape, 1.0)
+    assert abs(x.mean() / shape - 1) < 1e-4 and abs(x.std() / np.sqrt(shape) - 1) < 1e-2
+    assert abs(gamma_shape(shape, np.log(shape) - 1 / (2 * shape) - 1 / (12 * shape ** 2)) / shape - 1) < 1e-4
+
+
+def test_nearly_equal_lengths_are_fitted(spark):
+    rows = spark.createDataFrame([(0, "k", 1_000_000 + 100 * i) for i in range(40)], "split bigint, kind string, length bigint")
+    fit = FF.length_fits(rows).first()
+    assert abs(fit.shape * fit.scale / 1_001_950 - 1) < 1e-6
+    assert 1_000_000 < fit.min_realistic_length < 1_001_950
