@@ -591,7 +591,7 @@ CTE["fuzzy_all"] = merge_sql("regions", "", 1000)
     FROM fuzzy_all f JOIN regions r ON r.chrom = f.chrom AND r.start >= f.start AND r.start < f."end" GROUP BY ALL
     ORDER BY sample_count DESC, length DESC, f.chrom, f.start LIMIT 100""")
 def _(t):
-    return W.recurrent_top(R.merge_with_provenance(t.regions), 100).drop("samples")
+    return W.recurrent_top(R.merge_with_provenance(t.regions), 100, exactly=False).drop("samples")
 
 
 @query("top_variance", "W4", f"""

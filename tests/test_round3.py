@@ -54,3 +54,9 @@ def test_nearly_equal_lengths_are_fitted(spark):
     fit = FF.length_fits(rows).first()
     assert abs(fit.shape * fit.scale / 1_001_950 - 1) < 1e-6
     assert 1_000_000 < fit.min_realistic_length < 1_001_950
+
+
+def test_recurrent_regions_of_which_there_are_few(spark):
+    regions = spark.createDataFrame([("chr1", 0, 10, 2, 10), ("chr1", 20, 30, 1, 10)], "chrom string, start bigint, end bigint, sample_count bigint, length bigint")
+    assert [r.start for r in W.recurrent_top(regions, 3, exactly=False).collect()] == [0, 20]
+    assert W.recurrent_top(regions, 1, exactly=False).count() == 1
