@@ -60,3 +60,12 @@ def test_recurrent_regions_of_which_there_are_few(spark):
     regions = spark.createDataFrame([("chr1", 0, 10, 2, 10), ("chr1", 20, 30, 1, 10)], "chrom string, start bigint, end bigint, sample_count bigint, length bigint")
     assert [r.start for r in W.recurrent_top(regions, 3, exactly=False).collect()] == [0, 20]
     assert W.recurrent_top(regions, 1, exactly=False).count() == 1
+
+
+def test_tied_points_open_one_span():
+    con = duckdb.connect()
+    # spans of one to three points, every point many times, in mixed order
+    con.execute("""CREATE TABLE points AS SELECT 'P' AS sample_id, 'chr1' AS chrom, p * 10000 + q * 1000 AS start, p * 10000 + q * 1000 + 2 AS "end"
+                   FROM range(0, 40000) a(p), range(0, 3) b(q), range(0, 12) c(copy) WHERE q <= p % 3 ORDER BY hash(p * 100 + q * 20 + copy)""")
+    got = con.sql(f"""SELECT count(*), CAST(sum("end" - start) AS BIGINT) FROM ({merge_sql(DISTINCT_POINTS, "sample_id", 2999)})""").fetchall()
+    assert got == [(40_000, sum(p % 3 * 1000 + 2 for p in range(40_000)))]
