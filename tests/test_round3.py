@@ -69,3 +69,17 @@ def test_tied_points_open_one_span():
                    FROM range(0, 40000) a(p), range(0, 3) b(q), range(0, 12) c(copy) WHERE q <= p % 3 ORDER BY hash(p * 100 + q * 20 + copy)""")
     got = con.sql(f"""SELECT count(*), CAST(sum("end" - start) AS BIGINT) FROM ({merge_sql(DISTINCT_POINTS, "sample_id", 2999)})""").fetchall()
     assert got == [(40_000, sum(p % 3 * 1000 + 2 for p in range(40_000)))]
+
+
+def test_profile_keeps_bins_without_signal(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT CAST(o AS BIGINT) AS o_orderkey, CAST(21 AS BIGINT) AS o_custkey, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority
+                    FROM (VALUES (1000), (3000)) t(o)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)""")
+    con.execute(f"""COPY (SELECT CAST(219 AS BIGINT) AS c_custkey, 80.0 AS c_acctbal) TO '{tmp_path}/customer.parquet' (FORMAT parquet)""")
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = entry.queries()["scaled_profile"](spark, str(tmp_path)).toPandas()
+    want = con.sql(entry.oracle_sql()["scaled_profile"]).df()
+    assert len(got) == 20 and got["n_regions"].min() == 0 and got["n_regions"].max() > 0
+    assert compare(got, want).startswith("ok")
