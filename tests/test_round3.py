@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from spanframe.functions.draws import gamma_quantiles, gamma_shape
+from spanframe.llm.ngram_join import similar_groups
 from spanframe.operators import cohort as M
 from spanframe.operators import fold_features as FF
 from spanframe.operators import ranking as W
@@ -75,6 +76,7 @@ def test_profile_keeps_bins_without_signal(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"""COPY (SELECT CAST(o AS BIGINT) AS o_orderkey, CAST(21 AS BIGINT) AS o_custkey, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority
                     FROM (VALUES (1000), (3000)) t(o)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)""")
+    con.execute(f"COPY (SELECT 0 AS r_regionkey) TO '{tmp_path}/region.parquet' (FORMAT parquet)")
     con.execute(f"""COPY (SELECT CAST(219 AS BIGINT) AS c_custkey, 80.0 AS c_acctbal) TO '{tmp_path}/customer.parquet' (FORMAT parquet)""")
     con = duckdb.connect()
     for t in ("orders", "customer"):
@@ -83,3 +85,26 @@ def test_profile_keeps_bins_without_signal(spark, tmp_path):
     want = con.sql(entry.oracle_sql()["scaled_profile"]).df()
     assert len(got) == 20 and got["n_regions"].min() == 0 and got["n_regions"].max() > 0
     assert compare(got, want).startswith("ok")
+
+
+@pytest.mark.parametrize("percent", [55, 60, 70, 75, 80])
+def test_short_texts_of_frequent_words_link(spark, percent):
+    rng = np.random.default_rng(percent)
+    words = [f"w{i}" for i in range(40)]
+    sets = [set(rng.choice(words[:12] if i % 2 else words, rng.integers(2, 7), replace=False)) for i in range(60)]
+    docs = [" ".join(sorted(s)) for s in sets] + ["w%d x%d" % (w, i) for i in range(12) for w in range(40)]  # every word stands often, so it is frequent
+    sets = [set(d.split()) for d in docs]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    got = similar_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), words=1, percent=percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: root(i) for i in range(len(sets))}
