@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from spanframe.functions.draws import gamma_quantiles, gamma_shape
+from spanframe.llm import toxicity
 from spanframe.llm.ngram_join import similar_groups
 from spanframe.operators import cohort as M
 from spanframe.operators import fold_features as FF
@@ -108,3 +109,21 @@ def test_short_texts_of_frequent_words_link(spark, percent):
                 parent[y] = x
     got = similar_groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), words=1, percent=percent)
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: root(i) for i in range(len(sets))}
+
+
+def test_toxicity_counts_every_labelled_row(spark, monkeypatch):
+    # 5,000 clean texts and 1,250 toxic ones: more than the sample that training used to take
+    rows = [(i, f"wort{i % 300} wort{i % 7} " + ("grumpf" if i % 5 == 0 else "gut"), "de") for i in range(6250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    seen = []
+    real = toxicity._counts
+    monkeypatch.setattr(toxicity, "_counts", lambda *args: seen.append(real(*args)) or seen[-1])
+    model = toxicity.fit(docs, labels, epochs=2)
+    times, _ = seen[0]
+    used = docs.select("doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0)
+    assert times[0, :, :].max() == used.where("doc_id % 5 <> 0").count() and times[0, 1].max() == used.where("doc_id % 5 = 0").count()
+    again = toxicity.fit(docs.repartition(5), labels, epochs=2)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(got[i].predicted == (i % 5 == 0) for i, _, _ in rows)
+    assert {r.doc_id: r.predicted for r in toxicity.score(docs, again).collect()} == {i: r.predicted for i, r in got.items()}
