@@ -10,6 +10,7 @@ from spanframe.functions.draws import gamma_quantiles, gamma_shape
 from spanframe.llm import toxicity
 from spanframe.llm.ngram_join import similar_groups
 from spanframe.operators import cohort as M
+from spanframe.operators import context as G
 from spanframe.operators import fold_features as FF
 from spanframe.operators import ranking as W
 from spanframe.plans.interval_queries import DISTINCT_POINTS
@@ -127,3 +128,23 @@ def test_toxicity_counts_every_labelled_row(spark, monkeypatch):
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert all(got[i].predicted == (i % 5 == 0) for i, _, _ in rows)
     assert {r.doc_id: r.predicted for r in toxicity.score(docs, again).collect()} == {i: r.predicted for i, r in got.items()}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_context_takes_one_exchange_and_windows_across_tiles(spark):
+    rng = np.random.default_rng(5)
+    at = np.sort(rng.integers(2**20 - 30_000, 2**20 + 30_000, 400))
+    beta = rng.random(400)
+    df = spark.createDataFrame([("s", "chr1", int(p), float(b)) for p, b in zip(at, beta)], "sample_id string, chrom string, start bigint, beta double")
+    out = G.context_features(df, [10_000, 40_000])
+    assert plan(out).count("Exchange") == 1
+    rows = out.collect()
+    assert sorted(r.start for r in rows) == sorted(set(at.tolist()))
+    for r in rows:
+        for w in (10_000, 40_000):
+            own = beta[abs(at - r.start) <= w // 2]
+            assert r[f"n_{w}"] == len(own)
+            assert np.allclose([r[f"mean_{w}"], r[f"std_{w}"], r[f"fraction_high_{w}"]], [own.mean(), own.std(), (own > 0.8).mean()])
