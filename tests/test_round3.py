@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from spanframe.functions.draws import gamma_quantiles, gamma_shape
 from spanframe.llm import toxicity
 from spanframe.llm.ngram_join import similar_groups
+from spanframe.operators import cleaning as C
 from spanframe.operators import cohort as M
 from spanframe.operators import context as G
 from spanframe.operators import fold_features as FF
@@ -148,3 +149,14 @@ def test_context_takes_one_exchange_and_windows_across_tiles(spark):
             own = beta[abs(at - r.start) <= w // 2]
             assert r[f"n_{w}"] == len(own)
             assert np.allclose([r[f"mean_{w}"], r[f"std_{w}"], r[f"fraction_high_{w}"]], [own.mean(), own.std(), (own > 0.8).mean()])
+
+
+def test_downsample_does_not_shuffle_the_table_by_part(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("p"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = C.downsample(df, 50, ["id"], part=["p"])
+        assert "BroadcastHashJoin" in plan(out)
+        assert {r.p: r["count"] for r in out.groupBy("p").count().collect()} == {0: 50, 1: 50, 2: 50}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
