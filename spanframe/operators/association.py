@@ -245,8 +245,9 @@ def overlap_by_sample(segments: DataFrame, features: DataFrame, keys: Sequence[s
 def filter_features_by_mean(features: DataFrame, points: DataFrame, minimum: float, sample: str = "sample_id") -> DataFrame:
     """Features whose mean (over samples of the per-sample means) reaches the
     minimum; all of them when none does."""
-    packed = points.groupBy(sample, "chrom", "start", "end").agg(F.sum("beta").alias("_s"), F.count("beta").alias("_n"))
-    pairs = range_join(packed, features.select("chrom", "start", "end").distinct(), prefix="f_")
+    place = [sample, "chrom", "start", "end"]
+    pairs = range_join(points.select(*place, "beta"), features.select("chrom", "start", "end").distinct(), prefix="f_", split_long=False,
+                       pack=(place, [F.sum("beta").alias("_s"), F.count("beta").alias("_n")]))
     per_sample = (pairs.groupBy(sample, "chrom", F.col("f_start").alias("start"), F.col("f_end").alias("end"))
                   .agg(safe_divide(F.sum("_s"), F.sum("_n")).alias("mean_beta")).where("mean_beta IS NOT NULL"))
     means = per_sample.groupBy("chrom", "start", "end").agg(F.avg("mean_beta").alias("mean_beta"))

@@ -1,6 +1,11 @@
 """Steps whose memory or time must follow the input: what their plans must, and must not, hold."""
 
+from pyspark.sql import functions as F
+
+from spanframe.operators import association as L
 from spanframe.operators import cohort as M
+from spanframe.operators import fold_features as FF
+from spanframe.operators import ranges as R
 
 
 def plan(df):
@@ -16,3 +21,35 @@ def test_training_regions_do_not_meet_by_sample(spark):
     assert "hashpartitioning(sample_id" not in plan(out) and "BroadcastHashJoin" in plan(out)
     got = {(r.fold, r.chrom, r.start, r.end, tuple(r.samples)) for r in out.collect()}
     assert got == {(0, "chr1", 0, 900, ("a", "b")), (0, "chr2", 0, 10, ("a",)), (1, "chr1", 5000, 5100, ("c",))}
+
+
+def test_features_by_mean_deal_points_once_in_tasks_that_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "PACKED_ROWS", 10)
+    at = [(s, "chr1", p, p + 2, b) for s, b in (("a", 0.2), ("b", 0.9)) for p in range(0, 40_000, 500) for _ in range(2)]
+    points = spark.createDataFrame(at, "sample_id string, chrom string, start bigint, end bigint, beta double")
+    features = spark.createDataFrame([("chr1", 0, 700, 1), ("chr1", 16_000, 33_500, 2), ("chr1", 50_000, 60_000, 3), ("chr2", 0, 700, 4)], "chrom string, start bigint, end bigint, feature_id int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = L.filter_features_by_mean(features, points, 0.5)
+        assert "hashpartitioning(sample_id" not in plan(out).split("f_start")[-1] and ", 32), REPARTITION_BY_NUM" in plan(out)
+        assert {(r.feature_id, round(r.mean_beta, 9)) for r in out.collect()} == {(1, 0.55), (2, 0.55)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_random_places_keep_anchors_once_a_split(spark, monkeypatch):
+    sizes = spark.createDataFrame([("chr1", 3_000_000)], "chrom string, size bigint")
+    anchors = spark.range(0, 3_000_000, 300).select(F.lit(0).cast("bigint").alias("split"), F.lit("chr1").alias("chrom"), F.col("id").alias("anchor_pos"))
+    references = spark.createDataFrame([(0, k, "chr1", i * 10_000, i * 10_000 + n + i, n + i) for k, n in (("x", 900), ("y", 2000), ("z", 5000)) for i in range(30)],
+                                       "split bigint, kind string, chrom string, start bigint, end bigint, length bigint")
+    excluded = spark.createDataFrame([(0, "chr1", 1_000_000, 1_200_000), (0, "chr1", 1_200_100, 2_000_000)], "split bigint, chrom string, start bigint, end bigint")
+    written = {}
+    real = FF.materialize
+    monkeypatch.setattr(FF, "materialize", lambda df, label="stage": written.setdefault(label, real(df, label)) if label == "anchors" else real(df, label))
+    got = FF.placed_regions(references, excluded, sizes, anchors, 20, draws=2, min_points=2).collect()
+    assert written["anchors"].count() == anchors.where("anchor_pos < 1000000 or anchor_pos >= 2000000").count()
+    assert len(got) == 3 * 2 * 20
+    for r in got:
+        assert (0 <= r.start and r.end <= 1_000_000) or (2_000_000 <= r.start and r.end <= 3_000_000)
+        assert r.n_points == -(-r.end // 300) - -(-r.start // 300) >= 2
+        assert {"x": 900, "y": 2000, "z": 5000}[r.kind] <= r.length
