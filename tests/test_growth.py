@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spanframe.operators import association as L
 from spanframe.operators import cohort as M
 from spanframe.operators import fold_features as FF
+from spanframe.operators import randomize as Z
 from spanframe.operators import ranges as R
 
 
@@ -53,3 +54,21 @@ def test_random_places_keep_anchors_once_a_split(spark, monkeypatch):
         assert (0 <= r.start and r.end <= 1_000_000) or (2_000_000 <= r.start and r.end <= 3_000_000)
         assert r.n_points == -(-r.end // 300) - -(-r.start // 300) >= 2
         assert {"x": 900, "y": 2000, "z": 5000}[r.kind] <= r.length
+
+
+def test_injection_checks_deal_both_tables_once(spark, monkeypatch):
+    monkeypatch.setattr(Z, "PACKED_ROWS", 10)
+    at = "sample_id string, chrom string, start bigint, end bigint, coverage bigint, meth bigint"
+    old = [(s, "chr1", p, p + 2, 10, 5) for s in "abc" for p in range(0, 40_000, 800)] + [("a", "chr1", 0, 2, 10, 1), ("a", "chr1", None, 2, 10, 1)]
+    new = [(s, c, p, e, 11 if s == "b" and p == 800 else n, 12 if s == "b" and p == 1600 else 3, p is not None and 700 <= p < 20_000)
+           for s, c, p, e, n, _ in old if s != "c"] + [("d", "chr1", 5, 7, 0, 0, False)]
+    before, after = spark.createDataFrame(old, at), spark.createDataFrame(new, f"{at}, in_truth boolean")
+    truth = spark.createDataFrame([(s, "chr1", a, b) for s in "ab" for a, b in ((700, 9000), (8000, 20_000))], "sample_id string, chrom string, start bigint, end bigint")
+    out = Z.injection_checks(before, after, truth)
+    text = plan(out)
+    assert ", 31), REPARTITION_BY_NUM" in text and text.count("Union") == 1
+    got = {r.sample_id: (r.n_before, r.n_after, r.n_modified, r.n_changed_keys, r.n_out_of_range, r.n_truth, r.ok) for r in out.collect()}
+    assert got == {"a": (52, 52, 24, 0, 0, 2, True), "b": (50, 50, 24, 2, 1, 2, False), "c": (50, None, None, 50, None, 0, False), "d": (None, 1, 0, 1, 0, 0, False)}
+    means = {r.sample_id: (r.mean_beta_before, r.mean_beta_after) for r in out.collect()}
+    assert means["a"][0] == 0.5 and abs(means["a"][1] - 0.3) < 1e-12
+    assert means["c"] == (None, None) and means["d"] == (None, None)
