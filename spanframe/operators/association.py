@@ -89,17 +89,17 @@ def boundary_metrics(regions: DataFrame, features: DataFrame, thresholds: Sequen
     # boundaries on a chromosome a key has no regions on are out of reach: they
     # count in the recall denominator only, so an equi-join on chrom is enough
     asked = region_edges.select(*keys, "chrom").distinct().join(feature_edges, "chrom")
-    near = bracket(region_edges.select("chrom", "pos"), feature_edges, ["chrom"])
+    near = bracket(region_edges.select("chrom", "pos").distinct(), feature_edges, ["chrom"], distinct=True)
     forward = region_edges.join(near, ["chrom", "pos"]).withColumn(
         "d", F.least(F.col("pos") - F.col("prev_pos"), F.col("next_pos") - F.col("pos")))
-    backward = bracket(asked, region_edges, [*keys, "chrom"]).withColumn(
+    backward = bracket(asked, region_edges, [*keys, "chrom"], distinct=True).withColumn(
         "d", F.least(F.col("pos") - F.col("prev_pos"), F.col("next_pos") - F.col("pos")))
     total = feature_edges.agg(F.count("*").alias("n_feature_boundaries"))
 
     def side(df, median, hits):
         far = materialize(df.select(*keys, "d"), "distances")
         stats = far.groupBy(*keys).agg(F.count("*").alias(f"_{hits}"), *[F.count_if(F.col("d") <= t).alias(f"_{hits}_{t}") for t in thresholds])
-        return with_medians(stats, far, keys, {median: F.col("d")})
+        return with_medians(stats, far, keys, {median: F.col("d")}, written=True)
 
     out = (side(forward, "median_region_to_feature_bp", "near")
            .join(side(backward, "median_feature_to_region_bp", "reached"), keys, "left")

@@ -1,12 +1,19 @@
 """Steps whose memory or time must follow the input: what their plans must, and must not, hold."""
 
+import bisect
+import random
+import re
+import statistics
+
 from pyspark.sql import functions as F
 
 from spanframe.operators import association as L
 from spanframe.operators import cohort as M
 from spanframe.operators import fold_features as FF
 from spanframe.operators import randomize as Z
+from spanframe.operators import medians
 from spanframe.operators import ranges as R
+from spanframe.operators.scan import bracket
 
 
 def plan(df):
@@ -72,3 +79,34 @@ def test_injection_checks_deal_both_tables_once(spark, monkeypatch):
     means = {r.sample_id: (r.mean_beta_before, r.mean_beta_after) for r in out.collect()}
     assert means["a"][0] == 0.5 and abs(means["a"][1] - 0.3) < 1e-12
     assert means["c"] == (None, None) and means["d"] == (None, None)
+
+
+def test_nearest_targets_from_running_frames_and_one_exchange_of_the_queries(spark):
+    draw = random.Random(3)
+    asked = {(c, draw.randrange(-3 << 20, 9 << 20)) for c in "xyz" for _ in range(300)} | {("x", 0), ("y", 1 << 20)}
+    known = {(c, draw.randrange(0, 6 << 20)) for c in "xy" for _ in range(20)} | {("x", 0), ("y", 1 << 20), ("y", (1 << 20) + 1)}
+    queries, targets = (spark.createDataFrame(sorted(rows), "chrom string, pos bigint") for rows in (asked, known))
+    want = {}
+    for c, p in asked:
+        mine = sorted(q for k, q in known if k == c)
+        low, high = bisect.bisect_right(mine, p), bisect.bisect_left(mine, p)
+        want[c, p] = (mine[low - 1] if low else None, mine[high] if high < len(mine) else None)
+    one = bracket(queries, targets, ["chrom"], distinct=True)
+    for out in (one, bracket(queries.unionAll(queries), targets.unionAll(targets), ["chrom"])):
+        assert "unboundedfollowing" not in plan(out).lower()
+        rows = out.collect()
+        assert {(r.chrom, r.pos): (r.prev_pos, r.next_pos) for r in rows} == want and len(rows) == len(want)
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(one))
+    assert dealt and not [x for x in dealt if "pos#" in x]
+
+
+def test_medians_of_written_rows_shuffle_the_middle_only(spark, monkeypatch):
+    draw = random.Random(4)
+    groups = {"a": [draw.lognormvariate(0, 9) for _ in range(2001)], "b": [draw.choice((-2.0, 0.0, 1.0)) for _ in range(900)], "c": [float("inf"), 1.0], None: [4.0, None, 2.0], "d": [None]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, value double")
+    written = {}
+    real = medians.materialize
+    monkeypatch.setattr(medians, "materialize", lambda df, label="stage": written.setdefault(label, real(df, label)))
+    got = {r.k: r.median for r in medians.long_medians(rows, ["k"], written=True).collect()}
+    assert got == {k: statistics.median(x) for k, vs in groups.items() if (x := [v for v in vs if v is not None])}
+    assert "value-counts" not in written and written["middle-block"].where("k = 'a'").count() < 50
