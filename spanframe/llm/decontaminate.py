@@ -13,7 +13,8 @@ from spanframe.session import materialize, ship_package
 WINDOW = 13
 #: Windows in one broadcast; a larger benchmark is scanned for in several passes.
 BLOCK_WINDOWS = 1_000_000
-FILTER_BITS = 24
+#: Bits of the table that tells most strangers: for each window, and at most.
+FILTER_SPARE, FILTER_BITS = 7, 24
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -63,15 +64,17 @@ class WindowSet:
             self.behind.setdefault((width, h & (1 << 64) - 1), {}).setdefault(phrase, []).append(name)
         for width in sorted({w for w, _ in self.behind}):
             self.widths[width] = np.array(sorted(h for w, h in self.behind if w == width), np.uint64)
-        self.maybe = np.zeros(1 << FILTER_BITS, bool)
+        bits = min(FILTER_BITS, max(1, len(self.behind).bit_length() + FILTER_SPARE))
+        self.shift = np.uint64(64 - bits)
+        self.maybe = np.zeros(1 << bits, bool)
         for hashes in self.widths.values():
-            self.maybe[hashes >> np.uint64(64 - FILTER_BITS)] = True
+            self.maybe[hashes >> self.shift] = True
 
     def hits(self, hashes: np.ndarray, row_of: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray):
         """Yield (first word, width, items) of each verified occurrence."""
         for width, known in self.widths.items():
             windows = window_hashes(hashes, width)
-            at = np.flatnonzero(self.maybe[windows >> np.uint64(64 - FILTER_BITS)])
+            at = np.flatnonzero(self.maybe[windows >> self.shift])
             at = at[row_of[at] == row_of[at + width - 1]]
             place = np.minimum(np.searchsorted(known, windows[at]), len(known) - 1)
             for i in at[known[place] == windows[at]].tolist():
@@ -93,35 +96,35 @@ def _scan(docs: DataFrame, shared, text: str, more: bool) -> DataFrame:
         known = known if isinstance(known, WindowSet) else WindowSet(known)
         for batch in batches:
             data, marks, _ = texts(batch, text)
-            n = len(marks) - 1
-            n_words, n_hit = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            spans, items = [[] for _ in range(n)], [set() for _ in range(n)]
-            if more:
-                spans = [[(s["first"], s["last"]) for s in x] for x in batch.column("hit_spans").to_pylist()]
-                items = [set(x) for x in batch.column("items").to_pylist()]
             for low, high in row_slices(marks):
+                part = batch.slice(low, high - low)
+                n = high - low
+                spans, items = [[] for _ in range(n)], [set() for _ in range(n)]
+                if more:
+                    spans = [[(s["first"], s["last"]) for s in x] for x in part.column("hit_spans").to_pylist()]
+                    items = [set(x) for x in part.column("items").to_pylist()]
+                n_hit = np.zeros(n, np.int64)
                 flat, starts, ends, first, hashes = _words(data[marks[low]: marks[high]], marks[low: high + 1] - marks[low])
-                row_of = np.repeat(np.arange(high - low), np.diff(first))
-                n_words[low:high] = np.diff(first)
+                row_of = np.repeat(np.arange(n), np.diff(first))
                 for i, width, names_ in known.hits(hashes, row_of, flat.tobytes(), starts, ends):
-                    row = low + int(row_of[i])
-                    spans[row].append((i - int(first[row - low]), i - int(first[row - low]) + width))
+                    row = int(row_of[i])
+                    spans[row].append((i - int(first[row]), i - int(first[row]) + width))
                     items[row].update(names_)
-            for row in range(n):
-                if spans[row]:
-                    joined: list[list[int]] = []
-                    for a, b in sorted(spans[row]):
-                        if joined and a <= joined[-1][1]:
-                            joined[-1][1] = max(joined[-1][1], b)
-                        else:
-                            joined.append([a, b])
-                    spans[row] = joined
-                    n_hit[row] = sum(b - a for a, b in joined)
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(n_words), pa.array(n_hit), pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], span_type),
-                 pa.array([sorted(s) for s in items], pa.list_(pa.string()))], names=[*names, *_SCHEMA])
+                for row in range(n):
+                    if spans[row]:
+                        joined: list[list[int]] = []
+                        for a, b in sorted(spans[row]):
+                            if joined and a <= joined[-1][1]:
+                                joined[-1][1] = max(joined[-1][1], b)
+                            else:
+                                joined.append([a, b])
+                        spans[row] = joined
+                        n_hit[row] = sum(b - a for a, b in joined)
+                kept = [part.column(part.schema.get_field_index(c)) for c in names]
+                span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(np.diff(first).astype(np.int64)), pa.array(n_hit), pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], span_type),
+                     pa.array([sorted(s) for s in items], pa.list_(pa.string()))], names=[*names, *_SCHEMA])
 
     return docs.mapInArrow(lean("contamination", run), schema)
 
@@ -161,29 +164,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
 
 def remove_spans(marked: DataFrame, text: str = "text") -> DataFrame:
-    """Cut the words of ``hit_spans``, with what stands between them, out of ``text``; other texts stay as they are."""
+    """Cut the words of ``hit_spans``, with what stands between them, out of ``text``; other texts stay as they are.
+
+    Only rows with a span go through Python, so ``marked``, a written table at best, is read twice.
+    """
     spark = marked.sparkSession
     ship_package(spark)
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            data, marks, null = texts(batch, text)
-            spans = batch.column("hit_spans").to_pylist()
-            new = batch.column(at).to_pylist()
-            for row in [i for i, s in enumerate(spans) if s]:
-                body = data[marks[row]: marks[row + 1]]
-                starts, ends, _ = word_spans(body, np.array([0, len(body)]), _INSIDE)
-                raw, parts, head = body.tobytes(), [], 0
-                for s in spans[row]:
-                    parts.append(raw[head: starts[s["first"]]])
-                    head = int(ends[s["last"] - 1])
-                new[row] = b"".join([*parts, raw[head:]]).decode("utf-8")
-            columns = list(batch.columns)
-            columns[at] = pa.array(new, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return marked.mapInArrow(lean("contamination", run), marked.schema)
+            data, marks, _ = texts(batch, text)
+            for low, high in row_slices(marks):
+                part = batch.slice(low, high - low)
+                spans, new = part.column("hit_spans").to_pylist(), []
+                for row in range(low, high):
+                    body = data[marks[row]: marks[row + 1]]
+                    starts, ends, _ = word_spans(body, np.array([0, len(body)]), _INSIDE)
+                    raw, parts, head = body.tobytes(), [], 0
+                    for s in spans[row - low]:
+                        parts.append(raw[head: starts[s["first"]]])
+                        head = int(ends[s["last"] - 1])
+                    new.append(b"".join([*parts, raw[head:]]).decode("utf-8"))
+                columns = list(part.columns)
+                columns[at] = pa.array(new, part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    some = F.coalesce(F.size("hit_spans") > 0, F.lit(False))
+    return marked.where(~some).unionAll(marked.where(some).mapInArrow(lean("contamination", run), marked.schema))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:

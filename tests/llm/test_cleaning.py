@@ -65,6 +65,19 @@ def test_decontamination(spark, make, monkeypatch):
     assert not decontaminate.find_contamination(make(docs), benchmark.limit(0)).where("n_hit > 0 or contaminated").count()
 
 
+def test_only_texts_with_a_passage_are_cut_in_python(spark, make):
+    passage = " ".join(f"p{i}" for i in range(13))
+    long = " ".join(f"w{i}" for i in range(400))
+    docs = [(i, f"{long}, {passage}. {long} {i}" if i % 10 == 0 else f"{long} {i}") for i in range(100)]
+    marked = decontaminate.find_contamination(make(docs), spark.createDataFrame([(1, passage)], "item_id int, text string"))
+    out = decontaminate.remove_spans(marked)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and re.search(r"\n\+- MapInArrow.*\n\W+(Project.*\n\W+)?Filter .*size\(hit_spans", plan), plan
+    assert {r.doc_id: r.text for r in out.collect()} == {i: f"{long}, . {long} {i}" if i % 10 == 0 else t for i, t in docs}
+    one = decontaminate.WindowSet([("a", 13, -5, b"x"), ("b", 13, 7, b"y")])
+    assert len(one.maybe) < 1024 and one.maybe.sum() == 2
+
+
 def test_decontamination_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
