@@ -142,6 +142,48 @@ def test_signatures_are_shared_by_similar_sets():
     assert missed == 0
 
 
+def test_near_copies_are_ruled_out_without_pairs(make, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    docs = []
+    for n in range(240):  # one word in about forty, as rare as the edits of large groups are: many of these copies link with none
+        words = list(base)
+        for at in rng.sample(range(0, 150, 6), rng.choice([0, 1, 2, 3, 4, 5])):
+            words[at] = f"x{n}y{at}"
+        docs.append((n, " ".join(words)))
+    looked_at = []
+
+    def linked(pairs, *rest):
+        looked_at.append(pairs.count())
+        return whole(pairs, *rest)
+
+    whole = ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", linked)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(make(docs)).collect()}
+    assert got == brute_groups(docs)
+    assert sum(looked_at) <= 10 * len(docs)
+
+
+def test_lists_of_pairs_hold_what_reaches():
+    rng = np.random.default_rng(3)
+    seen = 0
+    for _ in range(3000):
+        n = int(rng.integers(4, 80))
+        a = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, len(a) // 6 + 1)):], rng.integers(1, 1 << 62, int(rng.integers(0, len(a) // 6 + 1))).astype(np.uint64)]))
+        both = np.intersect1d(a, b)
+        if 100 * len(both) < 80 * (len(a) + len(b) - len(both)):
+            continue
+        # what both hold is frequent, and some of the rest
+        kinds = [np.isin(x, both) | (x >> np.uint64(20) & np.uint64(3) == 0) for x in (a, b)]
+        signs = [ngram_join.signature(x, k, 80) for x, k in zip((a, b), kinds)]
+        assert any(s & np.uint64(1) for s in np.intersect1d(*signs))
+        far = [ngram_join.reach(len(x), int((~k).sum()), 80) for x, k in zip((a, b), kinds)]
+        assert far[0] >= 80 * len(b) and far[1] >= 80 * len(a)
+        seen += 1
+    assert seen > 300
+
+
 def test_ngram_join_hard_rows(make):
     docs = make([(10, "a b c d e f g h i"), (11, "A B C D E F G H I"), *HARD], component_id="clash")
     got = ngram_join.similar_groups(docs).collect()
