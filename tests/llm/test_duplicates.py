@@ -180,6 +180,11 @@ def test_lists_of_pairs_hold_what_reaches():
         assert any(s & np.uint64(1) for s in np.intersect1d(*signs))
         far = [ngram_join.reach(len(x), int((~k).sum()), 80) for x, k in zip((a, b), kinds)]
         assert far[0] >= 80 * len(b) and far[1] >= 80 * len(a)
+        # the first pair that both list stands early enough in both
+        pairs = [s[s & np.uint64(1) == 1] for s in signs]
+        first = [int(np.flatnonzero(np.isin(p, pairs[1 - k]))[0]) for k, p in enumerate(pairs)]
+        rare = [int((~k).sum()) for k in kinds]
+        assert ngram_join.meets(len(a), rare[0], first[0], len(b), rare[1], 80) and ngram_join.meets(len(b), rare[1], first[1], len(a), rare[0], 80)
         seen += 1
     assert seen > 300
 
