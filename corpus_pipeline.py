@@ -44,7 +44,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows are numbered first, so repeated and null ids are rows like others.
     """
     numbered = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    groups = ngram_join.similar_groups(numbered, key="row").select(F.col("doc_id").alias("row"), "component_id")
+    groups = ngram_join.similar_groups(numbered, key="row", count_links=False).select(F.col("doc_id").alias("row"), "component_id")
     placed = groups.join(numbered.select("row", "doc_id"), "row")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = placed.groupBy("component_id").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("component_id", "f.row")
